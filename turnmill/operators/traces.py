@@ -157,24 +157,20 @@ def import_errors(lines: DataFrame, fmt: str = "messages", value: str = "value")
     return _emit(lines, fmt, "_c.error_class IS NOT NULL", value).drop("messages")
 
 
-def first_error(errors: DataFrame, order_by: Sequence[str]) -> ImportFormatError | None:
-    """The earliest faulty line in ``order_by``: one small aggregate."""
-    row = errors.agg(
-        F.min(F.struct(*order_by, "error_class", "detail")).alias("first")
-    ).first()["first"]
-    if row is None:
-        return None
-    found = row.asDict()
-    return ImportFormatError(
-        found["error_class"], found["detail"], found.get("file"), found.get("lineno")
-    )
+def first_error(errors: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """The earliest faulty line in ``order_by`` as one row, or no row."""
+    earliest = F.min(F.struct(*order_by, "error_class", "detail")).alias("_first")
+    return errors.agg(earliest).where("_first IS NOT NULL").select("_first.*")
 
 
 def fail_loud(errors: DataFrame, order_by: Sequence[str]) -> None:
     """Raise on the earliest faulty line, if any."""
-    error = first_error(errors, order_by)
-    if error is not None:
-        raise error
+    row = first_error(errors, order_by).first()
+    if row is not None:
+        found = row.asDict()
+        raise ImportFormatError(
+            found["error_class"], found["detail"], found.get("file"), found.get("lineno")
+        )
 
 
 def usable_conversations(conversations: DataFrame, min_messages: int = 2) -> DataFrame:
