@@ -73,8 +73,8 @@ def path_comparison(
     time_ratio = F.try_divide(of(fused, "mean_s"), of(other, "mean_s"))
     rate_ratio = F.try_divide(of(fused, "tokens_per_s"), of(other, "tokens_per_s"))
     return summary.where(F.col("path").isin(fused, other)).groupBy(*by).agg(
-        F.round(100 * (1 - time_ratio), 1).alias("step_time_reduction_pct"),
-        F.round(100 * (rate_ratio - 1), 1).alias("throughput_gain_pct"),
+        (F.round(100 * (1 - time_ratio), 1) + 0.0).alias("step_time_reduction_pct"),
+        (F.round(100 * (rate_ratio - 1), 1) + 0.0).alias("throughput_gain_pct"),
     )
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from turnmill.workload.inputs import (
-    FAULTS,
-    LONE_USER,
-)
+from turnmill.workload.inputs import FAULTS, LONE_USER
 from turnmill.workload.queries import RECORDS, SEED, TEST_SIZE, TOKENS_PER_STEP
 
 _BLANK = (
@@ -253,8 +250,8 @@ FROM summary""",
     "path_comparison": f"""
 WITH {_SUMMARY}, a AS (SELECT * FROM summary WHERE path = 'view'),
 b AS (SELECT * FROM summary WHERE path = 'click')
-SELECT round(100 * (1 - round(a.mean_raw, 3) / round(b.mean_raw, 3)), 1) AS step_time_reduction_pct,
-       round(100 * (round(a.tokens_per_s_raw, 1) / round(b.tokens_per_s_raw, 1) - 1), 1)
+SELECT round(100 * (1 - round(a.mean_raw, 3) / round(b.mean_raw, 3)), 1) + 0.0 AS step_time_reduction_pct,
+       round(100 * (round(a.tokens_per_s_raw, 1) / round(b.tokens_per_s_raw, 1) - 1), 1) + 0.0
          AS throughput_gain_pct
 FROM a, b""",
     "bench_tidy": f"""

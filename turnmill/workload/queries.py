@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnmill.functions import chat, ratios
 from turnmill.functions.text import is_blank
 from turnmill.operators import metrics, rollouts, shaping, tasks, traces
-from turnmill.session import fresh_dir
+from turnmill.session import checkpointed, fresh_dir
 from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import scan_bench_record, scan_metrics_jsonl, task_catalog
 from turnmill.sources.sinks import stage_dataset, write_messages_jsonl
@@ -277,8 +277,10 @@ def clip_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- dataset shaping -------------------------------------------------------
 
 def _conversation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the usable conversations, imported once: splitting reads them
+    more than once."""
     lines = inputs.messages_lines(spark, sf_dir)
-    return traces.import_conversations(lines).select("lineno")
+    return checkpointed(traces.import_conversations(lines).select("lineno"))
 
 
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
