@@ -112,30 +112,33 @@ def first_hashed(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> Co
     return F.coalesce(here <= last.scalar(), F.lit(True))
 
 
+def nth_key(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
+    """The key of the ``n``-th row as one row with the struct ``_last``; NULL or
+    no row where there are fewer. Only keys are sorted."""
+    keys = df.select(*order_by)
+    if n > TOP_N:
+        return _nth_of_sorted(keys, n, order_by)
+    last = F.when(F.count(F.lit(1)) == n, F.max(F.struct(*order_by)))
+    return keys.orderBy(*order_by).limit(n).agg(last.alias("_last"))
+
+
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in the order of ``order_by``, which must identify a
-    row.
-
-    Only keys are sorted. Rows are then kept by comparing with the n-th key, a
-    plain filter that can reach the scan.
-    """
+    row. Rows are kept by comparing with the n-th key, a plain filter that can
+    reach the scan."""
     if n <= 0:
         return df.where(F.lit(False))
-    keys = df.select(*order_by)
-    if n <= TOP_N:
-        last = keys.orderBy(*order_by).limit(n).agg(F.max(F.struct(*order_by)).alias("_last"))
-    else:
-        last = _nth_of_sorted(keys, n, order_by)
-    return df.where(F.coalesce(F.struct(*order_by) <= last.scalar(), F.lit(True)))
+    last = nth_key(df, n, order_by).scalar()
+    return df.where(F.coalesce(F.struct(*order_by) <= last, F.lit(True)))
 
 
 def _nth_of_sorted(keys: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The n-th key as one row, or no row when there are fewer. The sorted keys
+    """The n-th key as one row, or no row where there are fewer. The sorted keys
     are written out, as their ranges must be the same when they are counted and
     when one of them is searched."""
-    sorted_keys = checkpointed(
-        keys.orderBy(*order_by).select(*order_by)
-    ).withColumn("_part", F.spark_partition_id())
+    sorted_keys = checkpointed(keys.orderBy(*order_by)).withColumn(
+        "_part", F.spark_partition_id()
+    )
     counts = sorted_keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     edge = (
         bounded_offsets(counts, "_n", "_part")

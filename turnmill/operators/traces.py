@@ -105,20 +105,25 @@ def _closer_look(line: str, parse: Callable[[str, str], str]) -> str:
     )
 
 
-def _emit(lines: DataFrame, fmt: str, keep: str, value: str) -> DataFrame:
-    """Generate the results ``_c`` of the lines for which ``keep`` holds."""
+def _emit(
+    lines: DataFrame, fmt: str, keep: str, fields: Sequence[str], value: str
+) -> DataFrame:
+    """Generate ``fields`` of the results ``_c`` of the lines for which ``keep``
+    holds."""
     prepare(lines.sparkSession)
     others = [c for c in lines.columns if c != value]
     line = f"`{value}`"
-    result = F.expr(f"inline(filter(array({_checked(line, fmt)}), _c -> {keep}))")
+    picked = ", ".join(f"'{name}', _c.{name}" for name in fields)
+    kept = f"filter(array({_checked(line, fmt)}), _c -> {keep})"
+    result = F.expr(f"inline(transform({kept}, _c -> named_struct({picked})))")
     return lines.where(is_visible(line)).select(*others, result)
 
 
 def parse_lines(lines: DataFrame, fmt: str, min_messages: int = 2, value: str = "value") -> DataFrame:
     """Usable conversations and faulty lines in one pass: messages, or else
     error_class and detail, are set."""
-    usable = chat.is_usable("_c.messages", min_messages)
-    return _emit(lines, fmt, f"_c.error_class IS NOT NULL OR {usable}", value)
+    keep = f"_c.error_class IS NOT NULL OR {chat.is_usable('_c.messages', min_messages)}"
+    return _emit(lines, fmt, keep, ["messages", "error_class", "detail"], value)
 
 
 def import_conversations(
@@ -144,7 +149,7 @@ def import_conversations(
             f"CASE WHEN _c.error_class IS NOT NULL THEN CAST(raise_error({text}) AS BOOLEAN) "
             f"ELSE {usable} END"
         )
-    return _emit(lines, fmt, keep, value).drop("error_class", "detail")
+    return _emit(lines, fmt, keep, ["messages"], value)
 
 
 def _check_mode(on_error: str) -> None:
@@ -154,7 +159,7 @@ def _check_mode(on_error: str) -> None:
 
 def import_errors(lines: DataFrame, fmt: str = "messages", value: str = "value") -> DataFrame:
     """Faulty lines: their other columns, ``error_class`` and ``detail``."""
-    return _emit(lines, fmt, "_c.error_class IS NOT NULL", value).drop("messages")
+    return _emit(lines, fmt, "_c.error_class IS NOT NULL", ["error_class", "detail"], value)
 
 
 def first_error(errors: DataFrame, order_by: Sequence[str]) -> DataFrame:

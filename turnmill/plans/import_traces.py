@@ -7,12 +7,11 @@ from dataclasses import dataclass
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from turnmill.errors import ImportFormatError
+from turnmill.operators.ranks import nth_key
 from turnmill.operators.traces import (
     fail_loud,
     import_conversations,
     import_errors,
-    limit_conversations,
     parser_for,
     require_conversations,
 )
@@ -21,7 +20,6 @@ from turnmill.sources.lines import number_lines, scan_jsonl
 from turnmill.sources.sinks import to_messages_jsonl
 
 PLACE = ("file", "lineno")
-_SPLIT_PLACE = ("file", "split_start", "row_id")
 _FIRST_FILES = 8
 
 
@@ -53,14 +51,15 @@ def import_files(
     prepare(spark)
     if limit is None:
         lines = scan_jsonl(spark, path)
-        kept = import_conversations(lines, fmt, min_messages, on_error)
     else:
-        lines, kept = _limited(spark, path, fmt, min_messages, limit, on_error)
+        lines = _limited(spark, path, fmt, min_messages, limit)
+    kept = import_conversations(lines, fmt, min_messages, on_error)
     seen = Observation("import")
     counted = to_messages_jsonl(kept.observe(seen, F.count(F.lit(1)).alias("conversations")))
     try:
         counted.write.mode(mode).text(out)
     except PySparkException:
+        _remove_if_empty(spark, out)
         if on_error == "fail":
             raise_first_error(spark, path, fmt)
         raise
@@ -68,6 +67,15 @@ def import_files(
     return ImportResult(out, fmt, written)
 
 
+def _remove_if_empty(spark: SparkSession, out: str) -> None:
+    """Remove the folder an aborted write job leaves, so the job can be run
+    again. Anything in it makes this do nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path) and not len(fs.listStatus(path)):
+        fs.delete(path, False)
+
+
 def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
     """Raise on the earliest faulty line of the files, if any. The faulty file
     is found first, and only that file's lines are numbered."""
@@ -78,32 +86,25 @@ def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
         fail_loud(import_errors(number_lines(one), fmt), PLACE)
 
 
-def _limited(
-    spark: SparkSession, path, fmt: str, min_messages: int, limit: int, on_error: str
-) -> tuple[DataFrame, DataFrame]:
-    """Lines and kept conversations for a limit: as few leading files as hold
-    enough conversations, in steps that grow eightfold."""
+def _limited(spark: SparkSession, path, fmt: str, min_messages: int, limit: int) -> DataFrame:
+    """The lines up to the one that holds the last conversation wanted.
+
+    As few leading files are read as hold enough conversations, in steps that
+    grow eightfold.
+    """
     wanted = max(limit, 1)
     files = sorted(spark.read.text(path).inputFiles())
-    last, n_files = None, _FIRST_FILES
+    last_file, n_files = None, _FIRST_FILES
     while n_files < len(files):
         leading = scan_jsonl(spark, path, until_file=files[n_files - 1])
-        found = import_conversations(leading, fmt, min_messages, "skip").count()
-        if found >= wanted:
-            last = files[n_files - 1]
+        if import_conversations(leading, fmt, min_messages, "skip").count() >= wanted:
+            last_file = files[n_files - 1]
             break
         n_files *= 8
-    lines = scan_jsonl(spark, path, line_numbers=True, until_file=last)
+    lines = scan_jsonl(spark, path, line_numbers=True, until_file=last_file)
     usable = import_conversations(lines, fmt, min_messages, "skip")
-    kept = limit_conversations(usable, wanted, PLACE)
-    if on_error == "fail":
-        ends = kept.agg(F.max(F.struct(*PLACE)).alias("last"), F.count(F.lit(1)).alias("n")).first()
-        errors = import_errors(lines, fmt)
-        if ends["n"] >= wanted:
-            end = F.struct(*[F.lit(ends["last"][c]).alias(c) for c in PLACE])
-            errors = errors.where(F.struct(*PLACE) < end)
-        fail_loud(errors, PLACE)
-    return lines, kept
-
-
-__all__ = ["ImportFormatError", "ImportResult", "import_files", "raise_first_error"]
+    row = nth_key(usable, wanted, PLACE).first()
+    if row is None or row["_last"] is None:
+        return lines
+    end = F.struct(*[F.lit(row["_last"][c]).alias(c) for c in PLACE])
+    return lines.where(F.struct(*PLACE) <= end)
