@@ -1,5 +1,7 @@
 """Agent tasks, rollout logs, timings and curves."""
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,12 +72,16 @@ def timings(spark):
     return metrics.mark_warmup(spark.createDataFrame(rows, "path string, step int, seconds double"))
 
 
-def test_timing_summary_on_published_numbers(timings):
-    summary = metrics.step_timing_summary(timings, 7569)
+@pytest.mark.parametrize("marked", [True, False])
+def test_timing_summary_on_published_numbers(timings, marked):
+    given = timings if marked else timings.drop("is_warmup")
+    summary = metrics.step_timing_summary(given, 7569)
     got = {r.path: r for r in summary.collect()}
     assert (got[metrics.FUSED].mean_s, got[metrics.FUSED].stdev_s) == (12.915, 0.229)
     assert (got[metrics.TWO_PASS].mean_s, got[metrics.TWO_PASS].stdev_s) == (16.771, 0.458)
     assert got[metrics.FUSED].tokens_per_s == 586.0 and got[metrics.TWO_PASS].tokens_per_s == 451.3
+    assert got[metrics.FUSED].stdev_raw == pytest.approx(statistics.stdev(FUSED), rel=1e-12)
+    assert (got[metrics.FUSED].steps, got["single"].steps) == (8, 1)
     assert got["single"].stdev_s == 0.0 and got["single"].mean_s == 2.0
     assert "only_warmup" not in got
     row = metrics.path_comparison(summary).first()

@@ -11,46 +11,67 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.functions.chat import bound
+from turnmill.session import broadcast_if_small
 
 # Names of the two compared paths and of the default metric.
 FUSED, TWO_PASS = "native_1pass", "custom_2pass"
 CORRECT_METRIC = "env/all/correct"
 
+# First steps, one row of some 100 bytes per path: at most about 100 MB.
+BROADCAST_PATHS = 1_000_000
+
 
 def mark_warmup(timings: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
-    """Add ``is_warmup``: the first step of each path. Needs one row per path
-    besides the timings, not a window over a path's steps."""
+    """Add ``is_warmup``: the first step of each path. The first steps are one
+    row per path; while they are few they are broadcast, so the timings of a
+    path that has most of the rows stay where they are."""
     first = timings.groupBy(*by).agg(F.min("step").alias("_first"))
-    return timings.join(first, [*by]).withColumn(
-        "is_warmup", F.col("step") == F.col("_first")
-    ).drop("_first")
+    return (
+        timings.join(broadcast_if_small(first, BROADCAST_PATHS), [*by])
+        .withColumn("is_warmup", F.col("step") == F.col("_first"))
+        .drop("_first")
+    )
 
 
 def step_timing_summary(
     timings: DataFrame, tokens: int | str, by: Sequence[str] = ("path",)
 ) -> DataFrame:
-    """Mean, sample deviation and throughput of each path without its warm-up.
+    """Mean, sample deviation and throughput of each path without its warm-up:
+    the rows marked ``is_warmup`` or, where there is no such column, the first
+    step. That one is taken out of the path's count, mean and sum of squares, so
+    one aggregate with partial sums does it all.
 
     ``tokens`` is the number of tokens per step, or a column that is constant
     within a path.
     """
     per_step = F.lit(tokens) if isinstance(tokens, int) else F.max(tokens)
-    timed = timings.where(~F.col("is_warmup")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("steps"),
-        F.avg("seconds").alias("mean_raw"),
-        F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("stdev_raw"),
+    marked = "is_warmup" in timings.columns
+    rows = timings.where(~F.col("is_warmup")) if marked else timings
+    sums = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("seconds").alias("_mean"),
+        F.var_pop("seconds").alias("_var"),
+        F.min_by("seconds", "step").alias("_first"),
         per_step.alias("_tokens"),
     )
-    rate = F.col("_tokens") / F.col("mean_raw")
-    return timed.select(
+    n, mean, squares = F.col("_n"), F.col("_mean"), F.col("_var") * F.col("_n")
+    if not marked:
+        off = F.col("_first") - mean
+        sums = sums.where(n > 1)
+        n, mean = n - 1, mean - off / (n - 1)
+        squares = squares - off * (F.col("_first") - mean)
+    deviation = F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1))).otherwise(0.0)
+    return sums.select(
         *by,
-        "steps",
-        "mean_raw",
-        "stdev_raw",
-        rate.alias("tokens_per_s_raw"),
+        n.alias("steps"),
+        mean.alias("mean_raw"),
+        deviation.alias("stdev_raw"),
+        (F.col("_tokens") / mean).alias("tokens_per_s_raw"),
+    ).select(
+        "*",
         F.round("mean_raw", 3).alias("mean_s"),
         F.round("stdev_raw", 3).alias("stdev_s"),
-        F.round(rate, 1).alias("tokens_per_s"),
+        F.round("tokens_per_s_raw", 1).alias("tokens_per_s"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -39,10 +39,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/turnmill/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder; its lineage is cut, so
     a lost executor costs a read and not a recomputation."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` written out and counted, with a broadcast hint if it has at most
+    ``max_rows`` rows; otherwise the join it goes into shuffles."""
+    written = checkpointed(df)
+    return F.broadcast(written) if written.count() <= max_rows else written

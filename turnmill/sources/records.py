@@ -143,14 +143,16 @@ def scan_metrics_jsonl(
 
 
 def scan_task_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of the files of all task folders below ``root``. Only the
-    known file names are read."""
+    """(path, content) of the files of all task folders below ``root``. Files of
+    other names are not even opened."""
+    names = ",".join(name.rsplit("/", 1)[-1] for name in TASK_FILES)
     wanted = F.lit(False)
     for name in TASK_FILES:
         wanted = wanted | F.col("path").endswith(f"/{name}")
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", f"{{{names}}}")
         .load(root)
         .where(wanted)
         .select("path", F.col("content").cast("string").alias("content"))

@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents. A file smaller than one split has few row groups and is
+    read by one task; its rows are then spread, which moves less than one split
+    of data. Larger tables are read as they are."""
+    docs = table(spark, sf_dir, "documents")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_TABLE_BYTES:
+        return docs
+    return docs.repartition(spark.sparkContext.defaultParallelism)
+
+
+SMALL_TABLE_BYTES = 128 * 1024 * 1024
+
 # Role spellings by doc_id % 4, for even and odd positions.
 SPELLINGS = (("human", "ai"), ("user", "MODEL"), ("Human", "Assistant"), ("USER", "model"))
 LONE_USER = 10  # doc_id % 10 = 9: the other side never answers
@@ -51,7 +64,7 @@ def messages_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda p, i: F.struct(_spelled(i).alias("role"), p.alias("content")),
     )
     return _lines(
-        table(spark, sf_dir, "documents"), F.to_json(F.struct(messages.alias("messages")))
+        documents(spark, sf_dir), F.to_json(F.struct(messages.alias("messages")))
     )
 
 
@@ -79,7 +92,7 @@ def openai_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     messages = F.flatten(F.transform(_paragraphs(), per_paragraph))
     return _lines(
-        table(spark, sf_dir, "documents"),
+        documents(spark, sf_dir),
         F.to_json(F.struct(messages.alias("messages")), {"ignoreNullFields": "false"}),
     )
 
@@ -111,7 +124,7 @@ def anthropic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(
         F.lit('{"system":'), system, F.lit(',"messages":'), F.to_json(messages), F.lit("}")
     )
-    return _lines(table(spark, sf_dir, "documents"), value)
+    return _lines(documents(spark, sf_dir), value)
 
 
 def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

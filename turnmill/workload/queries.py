@@ -82,7 +82,7 @@ def flatten_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     blocks = F.array_join(F.transform(F.split("text", "\n"), block), ",")
     content = F.parse_json(F.concat(F.lit("["), blocks, F.lit("]")))
-    return table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).select(
+    return inputs.documents(spark, sf_dir).select("doc_id", content.alias("content")).select(
         "doc_id", F.expr(chat.flatten_content("content")).alias("flat")
     )
 
@@ -364,8 +364,7 @@ def verdict_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metrics ---------------------------------------------------------------
 
 def step_timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = metrics.mark_warmup(inputs.timings(spark, sf_dir))
-    summary = metrics.step_timing_summary(timed, TOKENS_PER_STEP)
+    summary = metrics.step_timing_summary(inputs.timings(spark, sf_dir), TOKENS_PER_STEP)
     raw = ("mean_raw", "stdev_raw", "tokens_per_s_raw")
     return summary.withColumns({c: F.round(c, 6) for c in raw})
 
@@ -375,8 +374,7 @@ def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = metrics.mark_warmup(inputs.timings(spark, sf_dir))
-    summary = metrics.step_timing_summary(timed, TOKENS_PER_STEP)
+    summary = metrics.step_timing_summary(inputs.timings(spark, sf_dir), TOKENS_PER_STEP)
     return metrics.path_comparison(summary, "view", "click")
 
 
@@ -396,8 +394,7 @@ def _record_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bench_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as pretty JSON, one file each, read and made tidy."""
     by = ["record_id", "path"]
-    timed = metrics.mark_warmup(_record_timings(spark, sf_dir), by)
-    summary = metrics.step_timing_summary(timed, TOKENS_PER_STEP, by)
+    summary = metrics.step_timing_summary(_record_timings(spark, sf_dir), TOKENS_PER_STEP, by)
 
     def side(path: str) -> Column:
         fields = {"mean_s": "mean_raw", "stdev_s": "stdev_raw", "tokens_per_s": "tokens_per_s_raw"}
