@@ -47,8 +47,10 @@ _WITH_NAN = {**_PLAIN_JSON, "allowNonNumericNumbers": "true"}
 
 
 def bound(value: str, name: str, body: str) -> str:
-    """``body``, in which ``name`` stands for ``value``, evaluated once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    """``body``, in which ``name`` stands for ``value``, evaluated once: the
+    finish step of an aggregate over no rows, whose start is ``value``. Unlike an
+    element of a transformed one-row array, it copies nothing."""
+    return f"aggregate(array(), {value}, (_a, _e) -> _a, {name} -> {body})"
 
 
 def part(value: str, path: str, as_type: str = "variant") -> str:
