@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 
 from turnmill.errors import EmptyResultError, ImportFormatError
 from turnmill.operators.traces import import_conversations, import_errors
-from turnmill.plans.import_traces import import_files
+from turnmill.plans.import_traces import import_files, input_files
 from turnmill.sources.lines import number_lines, scan_jsonl
 from turnmill.sources.records import (
     scan_bench_record,
@@ -120,10 +120,12 @@ def test_import_limit_over_many_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(20):
-        (folder / f"{i:02d}.jsonl").write_text(f"{GOOD}\n" if i < 12 else "{not json\n")
+        (folder / f"{i:02d} x.jsonl").write_text(f"{GOOD}\n" if i < 12 else "{not json\n")
+    files = input_files(spark, str(folder))
+    assert scan_jsonl(spark, str(folder), until_file=files[7]).count() == 8
     assert import_files(spark, str(folder), str(tmp_path / "o1"), limit=3).conversations == 3
     assert import_files(spark, str(folder), str(tmp_path / "o2"), limit=12).conversations == 12
-    with pytest.raises(ImportFormatError, match="line 1: invalid_json.*12.jsonl"):
+    with pytest.raises(ImportFormatError, match="line 1: invalid_json.*12%20x.jsonl"):
         import_files(spark, str(folder), str(tmp_path / "o3"), limit=13)
 
 

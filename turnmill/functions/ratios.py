@@ -28,13 +28,14 @@ def sequence_log_ratio(new: Column, old: Column, advantages: Column) -> Column:
     trained = F.filter(
         F.zip_with(gaps, advantages, lambda g, a: F.when(a != 0, g)), lambda g: g.isNotNull()
     )
-    mean = F.transform(
-        F.array(trained),  # named once, as it is used twice
+    return F.aggregate(  # over no rows: names ``trained`` once, as it is used twice
+        F.array(),
+        trained,
+        lambda g, _: g,
         lambda g: F.when(
             F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda s, x: s + x) / F.size(g)
         ).otherwise(F.lit(float("nan"))),
     )
-    return mean[0]
 
 
 def importance_ratio(log_ratio: Column) -> Column:

@@ -25,7 +25,7 @@ def batch_plan(df: DataFrame, key: Sequence[str], batch_size: int = 8, seed: int
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     ranked = shuffled_rank(df, key, seed)
-    return ranked.withColumn("batch", F.floor(F.col("rank") / F.lit(batch_size)))
+    return ranked.withColumn("batch", F.expr(f"rank DIV {int(batch_size)}"))
 
 
 def _every(step: Column, steps: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -86,6 +87,12 @@ def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
         fail_loud(import_errors(number_lines(one), fmt), PLACE)
 
 
+def input_files(spark: SparkSession, path) -> list[str]:
+    """The files in import order, spelled as scans spell them: a local file has
+    one slash after the scheme there and three in the listing."""
+    return sorted(re.sub("^file:/+", "file:/", f) for f in spark.read.text(path).inputFiles())
+
+
 def _limited(spark: SparkSession, path, fmt: str, min_messages: int, limit: int) -> DataFrame:
     """The lines up to the one that holds the last conversation wanted.
 
@@ -93,7 +100,7 @@ def _limited(spark: SparkSession, path, fmt: str, min_messages: int, limit: int)
     grow eightfold.
     """
     wanted = max(limit, 1)
-    files = sorted(spark.read.text(path).inputFiles())
+    files = input_files(spark, path)
     last_file, n_files = None, _FIRST_FILES
     while n_files < len(files):
         leading = scan_jsonl(spark, path, until_file=files[n_files - 1])
