@@ -1,6 +1,8 @@
 """Dataset shaping for training: splits, batches, schedules, rollout plans.
 
-The order of conversations is the hash of (seed, key), fixed for all runs.
+The order of conversations is the hash of (seed, key), fixed for all runs. The
+keys are read before the rows are, to count them, so the input should be a table
+or staged files and not a costly import.
 """
 
 from __future__ import annotations

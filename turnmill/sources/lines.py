@@ -87,7 +87,7 @@ def number_lines(placed: DataFrame) -> DataFrame:
 def _group_span(spark: SparkSession) -> int:
     """Bytes of a file that at most ``_SPLITS_PER_GROUP`` full splits cover."""
     size = spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")
-    units = {"k": 1024, "m": 1024**2, "g": 1024**3}
+    units = {"k": 1024, "m": 1024**2, "g": 1024**3, "t": 1024**4, "p": 1024**5}
     last = size[-1].lower()
     size_bytes = int(size[:-1]) * units[last] if last in units else int(size)
     return size_bytes * _SPLITS_PER_GROUP
