@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm.decontamination import contamination
+from turnmill.llm.jaccard_join import similarity_join
 from turnmill.llm.packing import pack_sequences
 
 
@@ -32,9 +33,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = similarity_join(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op8_benchmark_decontamination, op10_packing)
+    for f in (op6_jaccard_join, op8_benchmark_decontamination, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
