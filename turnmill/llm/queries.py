@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnmill.llm.decontamination import contamination
 from turnmill.llm.jaccard_join import similarity_join
 from turnmill.llm.packing import pack_sequences
+from turnmill.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("text_bytes", 256).alias("kept_sha256"),
+    )
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -40,7 +52,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op6_jaccard_join, op8_benchmark_decontamination, op10_packing)
+    for f in (op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
