@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm.decontamination import contamination
 from turnmill.llm.jaccard_join import similarity_join
+from turnmill.llm.network import training_fold
 from turnmill.llm.packing import pack_sequences
+from turnmill.llm.quality import train_quality
 from turnmill.llm.suffix_dedup import remove_repeats
+from turnmill.llm.toxicity import train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        "doc_id",
+        (~training_fold(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(train_quality(docs, table(spark, sf_dir, "labels")).scores(docs), 0.7)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(train_toxicity(docs, table(spark, sf_dir, "labels")).scores(docs), 0.3)
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = similarity_join(table(spark, sf_dir, "documents"))
     return members.select("doc_id", "n_shingles", "component_id")
@@ -52,7 +74,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
+    for f in (op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
