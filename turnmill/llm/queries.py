@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm.decontamination import contamination
 from turnmill.llm.jaccard_join import similarity_join
+from turnmill.llm.neighbours import nearest
 from turnmill.llm.network import training_fold
 from turnmill.llm.packing import pack_sequences
 from turnmill.llm.quality import train_quality
 from turnmill.llm.suffix_dedup import remove_repeats
 from turnmill.llm.toxicity import train_toxicity
+from turnmill.llm.url_rules import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def _scored(scores: DataFrame, least: float) -> DataFrame:
     return scores.select(
         "doc_id",
@@ -74,7 +85,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
+    for f in (op1_url_filters, op2_nearest_neighbours, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
 }
 
 ORACLES: dict[str, str] = {}
