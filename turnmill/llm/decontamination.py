@@ -124,15 +124,51 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_pat
     doc_ids are judged each for itself. Empty tables give no rows, or no hits.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
-    weight = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = 1 + weight * size // max_pattern_bytes  # every byte of an item is in up to ``size`` windows
+    groups = _groups(benchmark, size, max_pattern_bytes)
     none = F.array().cast("array<long>")
     rows = texts_of(docs, none.alias("item_ids"), none.alias("hits"))
-    for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text")
-        held = spark.sparkContext.broadcast({"items": [tuple(r) for r in own.collect()]})
-        if k == parts - 1:
-            return rows.mapInArrow(_scanner(held, size, True), SCHEMA)
+    for own in groups[:-1]:
+        held = spark.sparkContext.broadcast({"items": _rows(own)})
         rows = checkpointed(rows.mapInArrow(_scanner(held, size, False), STATE))
-    raise AssertionError("there is at least one group")
+    held = spark.sparkContext.broadcast({"items": _rows(groups[-1])})
+    return rows.mapInArrow(_scanner(held, size, True), SCHEMA)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_pattern_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of ``docs`` without any window of the benchmark, unchanged; see
+    contamination. Rows with null text stay."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
+    for own in _groups(benchmark, size, max_pattern_bytes):
+        held = docs.sparkSession.sparkContext.broadcast({"items": _rows(own)})
+        rows = rows.mapInArrow(_sieve(held, size), rows.schema)
+    return rows.select("row.*")
+
+
+def _sieve(shared, size: int) -> Callable:
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        if "automaton" not in held:
+            held["automaton"] = automaton_of(held["items"], size)
+        automaton = held["automaton"]
+        for batch in batches:
+            keep = []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                line = f" {b' '.join(words).decode('latin-1')} "
+                keep.append(not (words and len(automaton)) or next(automaton.iter(line), None) is None)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return sieve
+
+
+def _groups(benchmark: DataFrame, size: int, most: int) -> list[DataFrame]:
+    """The items in groups whose windows have at most about ``most`` bytes."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    weight = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = 1 + weight * size // most  # every byte of an item is in up to ``size`` windows
+    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).orderBy("item_id", "text") for k in range(parts)]
+
+
+def _rows(items: DataFrame) -> list[tuple]:
+    return [tuple(r) for r in items.collect()]

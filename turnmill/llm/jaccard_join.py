@@ -9,11 +9,15 @@ similarity needs are verified on the sets themselves.
 Which documents share a tree is settled exactly beforehand: two documents that
 are similar enough share one of each one's first ``n - ceil(threshold n) + 1``
 shingles in any common order of all shingles. The order puts frequent shingles
-last (counted over all documents in a table of fixed size), so a passage that
-many texts share brings no strangers together. Chains of documents that share
+last (counted over all documents in a table of 2 ** ``table_bits`` buckets), so a
+passage that many texts share brings no strangers together; with more shingles
+to a bucket, rare passages tell less from unique ones and groups grow, so the
+table should have a bucket for some tens of shingles (22 bits: 8 MB). Chains of documents that share
 such a shingle, broken where sizes alone exclude all links, form the groups;
 every link lies within a group, and a text travels to its tree once.
 
+Texts travel only if a bitmap of fixed size says that they may be in a group.
+
 Copies are one point. A group beyond ``tile`` shingles is cut into runs by size
 and every pair of runs gets a tree of its own. Within a tree, pairs that are
 connected already are not looked at again: the result is the links that span
@@ -35,7 +39,8 @@ from turnmill.llm.tables import stored
 GROUPS = 256
 _SLICE = 1 << 22
 _POSTING = np.dtype([("token", "<u4"), ("text", "<i8"), ("n", "<u4")])
-_BUCKETS = 1 << 16  # of the frequency table
+_SLICES = 16  # of the frequency table
+_BITS = 1 << 22  # of the bitmap of documents that are to meet
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -104,42 +109,71 @@ def _signatures(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return mix(total[limits[1:]] - total[limits[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def _profiles(size: int) -> Callable:
+def _profiles(size: int, bits: int) -> Callable:
     """Number of shingles and signature of each document; of each task, how
-    often shingles of every bucket occur."""
+    often shingles of every bucket occur, in slices."""
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(_BUCKETS, np.int64)
+        table = np.zeros(1 << bits, np.uint32)
         names = ["doc_id", "n", "sig", "counts"]
         for ids, hashes, limits in _sets(batches, size):
-            table += np.bincount(hashes >> np.uint64(48), minlength=_BUCKETS)
+            bucket, times = np.unique((hashes >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            table[bucket] += times.astype(np.uint32)
             columns = [ids, pa.array(np.diff(limits)), pa.array(_signatures(hashes, limits)), pa.nulls(len(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
+        parts = np.minimum(table, 65_535).astype(np.uint16).reshape(_SLICES, -1)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64())] * 3 + [pa.array([table.tobytes()], pa.binary())], names
+            [pa.nulls(_SLICES, pa.int64()), pa.array(np.arange(_SLICES)), pa.nulls(_SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+            names,
         )
 
     return profile
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_BUCKETS, np.int64)
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for blob in batch.column(0):
-            total += np.frombuffer(blob.as_py(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            part = np.frombuffer(blob.as_buffer(), np.uint16)
+            sums[k] = sums[k] + part if k in sums else part.astype(np.uint32)
+    blobs = [np.minimum(s, 65_535).astype(np.uint16).tobytes() for s in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], ["n", "counts"])
+
+
+def frequencies(profiles: DataFrame, bits: int) -> np.ndarray:
+    """The tasks' tables added up slice by slice, up to 65 535 a bucket: what
+    reaches the driver is two bytes a bucket, whatever the corpus holds."""
+    slices_ = profiles.where("counts is not null").select("n", "counts").repartition(_SLICES, "n")
+    table = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint16)
+    for k, blob in slices_.mapInArrow(_summed, "n long, counts binary").collect():
+        table[k] = np.frombuffer(blob, np.uint16)
+    return table.ravel()
+
+
+def _met(shared) -> Callable:
+    """Rows (doc_id, …) whose id may be in the bitmap."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array(bits[_bit_of(batch.column(0).to_numpy())]))
+
+    return met
+
 
+def _bit_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) % np.uint64(_BITS)).astype(np.int64)
 
-def frequencies(profiles: DataFrame) -> np.ndarray:
-    """The tasks' tables added up, in two steps of sums; of fixed size."""
-    tables = profiles.where("counts is not null").select("counts")
-    tables = tables.repartition(8).mapInArrow(_summed, "counts binary").collect()
-    return sum((np.frombuffer(r[0], np.int64) for r in tables), np.zeros(_BUCKETS, np.int64))
+
+def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(_BITS, bool)
+    for batch in batches:
+        bits[_bit_of(batch.column(0).to_numpy())] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
 
-def _prefixes(shared, size: int, percent: int, buckets: int) -> Callable:
+def _prefixes(shared, size: int, percent: int, buckets: int, bits: int) -> Callable:
     """The first shingles of every text in the common order, packed by bucket."""
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.minimum(shared.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
+        rank = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
@@ -161,7 +195,7 @@ def _prefixes(shared, size: int, percent: int, buckets: int) -> Callable:
             single = np.zeros(len(n), bool)
             single[once] = True
             owner = np.repeat(np.arange(len(n)), n)
-            key = rank[hashes >> np.uint64(48)] | (hashes >> np.uint64(24))
+            key = rank[hashes >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(48) | (hashes & np.uint64((1 << 48) - 1))
             order = np.lexsort((key, owner))
             take = n - (percent * n + 99) // 100 + 1
             at = np.arange(len(hashes)) - np.repeat(limits[:-1], n)
@@ -339,7 +373,9 @@ def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], ["a", "b", "overlap", "union_size"])
 
 
-def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def similarity_join(
+    docs: DataFrame, size: int = 5, percent: int = 75, tile: int = 2_000_000, table_bits: int = 22
+) -> tuple[DataFrame, DataFrame]:
     """Members and links of the documents whose ``size``-word shingle sets have
     a Jaccard similarity of at least ``percent`` / 100.
 
@@ -357,14 +393,14 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int
         raise ValueError("percent from 1 to 100")
     spark = docs.sparkSession
     rows = texts_of(docs)
-    profiles = stored(rows.mapInArrow(_profiles(size), "doc_id long, n long, sig long, counts binary"), "profiles")
-    table = frequencies(profiles)
+    profiles = stored(rows.mapInArrow(_profiles(size, table_bits), "doc_id long, n long, sig long, counts binary"), "profiles")
+    table = frequencies(profiles, table_bits)
     profiles = profiles.where("counts is null").select("doc_id", "n", "sig")
     classes = profiles.where("doc_id is not null and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("class_id"))
 
-    total = int(table.sum())
+    total = profiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = 1 + total * (100 - percent) // 100 // 400_000
-    prefix = _prefixes(spark.sparkContext.broadcast(table), size, percent, buckets)
+    prefix = _prefixes(spark.sparkContext.broadcast(table), size, percent, buckets, table_bits)
     postings = rows.where("doc_id is not null").mapInArrow(prefix, "bucket long, rows binary").repartition(buckets, "bucket")
     groups = components(postings.mapInArrow(_chains(percent), "a long, b long"))
 
@@ -380,7 +416,13 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int
         "sig",
     )
     # A class is read from the row of its smallest doc_id.
-    texts = rows.join(stored(tiles, "tiles"), "doc_id").select("tile", "run", "doc_id", "text", "sig")
+    tiles = stored(tiles, "tiles")
+    bits = np.zeros(_BITS // 8, np.uint8)
+    for r in tiles.select("doc_id").coalesce(16).mapInArrow(_bitmap, "bits binary").collect():
+        bits |= np.frombuffer(r[0], np.uint8)
+    near = _met(spark.sparkContext.broadcast(np.unpackbits(bits).astype(bool)))
+    texts = rows.where("doc_id is not null").mapInArrow(near, "doc_id long, text binary")
+    texts = texts.join(tiles, "doc_id").select("tile", "run", "doc_id", "text", "sig")
     by_tile = texts.repartition("tile").sortWithinPartitions("tile", "doc_id")
     links = stored(by_tile.mapInArrow(_trees(size, percent), "a long, b long, overlap long, union_size long"), "links")
 
@@ -392,3 +434,17 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int
     linked = profiles.where(known).join(labels, ["sig", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.col("component").alias("component_id"))
     alone = profiles.where(~known).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone), links
+
+
+def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` but one of each group of near copies: that of the
+    smallest doc_id; of rows that repeat a doc_id, one. Columns unchanged. Rows
+    with null doc_id and texts without words stay."""
+    members, _ = similarity_join(docs, size, percent)
+    gone = members.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    again = members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    if again:
+        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = known.unionByName(kept.where("doc_id is null"))
+    return kept

@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, functions as F, Window
 from turnmill.llm.columns import byte_rows, mix, ranges, texts_of
 from turnmill.llm.tables import stored
 
-_SEGMENT = 1 << 21  # windows looked at together; long texts are cut here
-_HELD = 600_000  # places a task holds before it sends them
+_SEGMENT = 1 << 20  # windows looked at together; long texts are cut here
+_HELD = 400_000  # places a task holds before it sends them
 _BITS = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -77,11 +77,11 @@ def places_of(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.nda
     none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(data) < length:
         return none
-    assert len(data) <= 4 * _SEGMENT
+    assert len(data) <= 8 * _SEGMENT
     half = length // 2
     hashes = Hashes(data)
     grams = hashes.all(half)
-    low = np.uint64(4 * _SEGMENT - 1)  # the place goes where the hash's last bits are
+    low = np.uint64(8 * _SEGMENT - 1)  # the place goes where the hash's last bits are
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     width, have = length - half + 1, 1
     while 2 * have <= width:  # the least of 2, 4, 8 … neighbours, the first of equals
@@ -389,7 +389,7 @@ def _result_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "copy", "kept", "n_bytes", "n_removed", "spans"])
 
 
-def _cut(length: int) -> Callable:
+def _cut(length: int, whole: bool) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, weight = [], 0
         for doc, copy, text, marks in _by_document(batches, _MARKS):
@@ -398,6 +398,9 @@ def _cut(length: int) -> Callable:
             np.add.at(depth, marks["lo"], 1)
             np.add.at(depth, marks["hi"] + length, -1)
             gone = np.cumsum(depth)[:-1] > 0
+            if whole and gone.any():  # a character goes if all its bytes do
+                first = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(data))))
             sides = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
             spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(sides == 1), np.flatnonzero(sides == -1), strict=True)]
             kept = data[~gone].tobytes()
@@ -411,7 +414,9 @@ def _cut(length: int) -> Callable:
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, block: int = 12 << 20) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, block: int = 12 << 20, whole_characters: bool = False
+) -> DataFrame:
     """Every text without the bytes covered by a string of ``length`` bytes that
     also starts earlier: in a document of smaller doc_id, or earlier in its own.
 
@@ -423,7 +428,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, block: int = 12 << 20) ->
     whole. Of rows with one doc_id, equal texts are one document, returned once,
     and different ones count in the order of their SHA-256. Texts below
     ``length`` bytes stay whole. Empty input: no rows. Other columns are ignored.
-    ``block``: bytes of text to each bucket.
+    ``block``: bytes of text to each bucket. ``whole_characters``: a character
+    stays unless all of its bytes are covered, so that what is left is text.
     """
     if length < 16 or length > 4000:
         raise ValueError("length from 16 to 4000")
@@ -455,7 +461,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, block: int = 12 << 20) ->
     bits = _bitmap(marks)
     texts = rows.mapInArrow(_named(bits, buckets, True), _PACKED)
     met = marks.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    cut = met.mapInArrow(_cut(length), _RESULT).select("doc_id", F.col("kept").alias("text_bytes"), "n_bytes", "n_removed", "spans")
+    cut = met.mapInArrow(_cut(length, whole_characters), _RESULT).select("doc_id", F.col("kept").alias("text_bytes"), "n_bytes", "n_removed", "spans")
     clean = rows.mapInArrow(_named(bits, buckets, False), "doc_id long, text binary, copy int")
     whole = whole.unionByName(clean.select("doc_id", F.col("text").alias("text_bytes")))
     nothing = F.array().cast("array<struct<start: long, end: long>>")
