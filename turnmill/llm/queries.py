@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.llm.decontamination import contamination
 from turnmill.llm.jaccard_join import similarity_join
+from turnmill.llm.licenses import scan_licenses
 from turnmill.llm.neighbours import nearest
 from turnmill.llm.network import training_fold
 from turnmill.llm.packing import pack_sequences
 from turnmill.llm.quality import train_quality
+from turnmill.llm.sentence_spans import remove_repeated_spans
 from turnmill.llm.suffix_dedup import remove_repeats
 from turnmill.llm.toxicity import train_toxicity
 from turnmill.llm.url_rules import judge_urls
@@ -45,6 +47,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("text_bytes", 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_sequences(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -59,6 +66,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def _scored(scores: DataFrame, least: float) -> DataFrame:
     return scores.select(
         "doc_id",
@@ -85,7 +96,18 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_nearest_neighbours, op4_quality_classifier, op5_toxicity, op6_jaccard_join, op7_suffix_array_dedup, op8_benchmark_decontamination, op10_packing)
+    for f in (
+        op1_url_filters,
+        op2_nearest_neighbours,
+        op3_license_scans,
+        op4_quality_classifier,
+        op5_toxicity,
+        op6_jaccard_join,
+        op7_suffix_array_dedup,
+        op8_benchmark_decontamination,
+        op9_substring_dedup,
+        op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -414,6 +414,23 @@ def _cut(length: int, whole: bool) -> Callable:
     return cut
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc_id, text, copy) to compare, rows (doc_id, text_bytes) without
+    doc_id, and the bytes of all texts. ``copy`` orders different texts of one
+    doc_id, equal ones are one; it is 0 everywhere where ids are unique."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    again = ids.dropna().groupBy("doc_id").count().where("count > 1").limit(1).count()
+    rows = texts_of(docs)
+    whole = rows.where("doc_id is null").select("doc_id", F.col("text").alias("text_bytes"))
+    rows = rows.where("doc_id is not null")
+    if not again:
+        return rows.withColumn("copy", F.lit(0)), whole, total
+    rows = rows.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "sha"])
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha"))).drop("sha")
+    return stored(rows, "texts"), whole, total
+
+
 def remove_repeats(
     docs: DataFrame, length: int = 100, block: int = 12 << 20, whole_characters: bool = False
 ) -> DataFrame:
@@ -433,20 +450,8 @@ def remove_repeats(
     """
     if length < 16 or length > 4000:
         raise ValueError("length from 16 to 4000")
-    # Two rows of one doc_id need an order of their own.
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    facts = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
-    again = ids.dropna().groupBy("doc_id").count().where("count > 1").limit(1).count()
-    rows = texts_of(docs)
-    whole = rows.where("doc_id is null").select("doc_id", F.col("text").alias("text_bytes"))
-    rows = rows.where("doc_id is not null")
-    if again:
-        rows = rows.withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "sha"])
-        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha"))).drop("sha")
-        rows = stored(rows, "texts")
-    else:
-        rows = rows.withColumn("copy", F.lit(0))
-    buckets = 1 + facts[0] // block
+    rows, whole, total = keyed(docs)
+    buckets = 1 + total // block
 
     places = rows.mapInArrow(_sample(length, buckets), _PACKED).repartition(buckets, "bucket")
     settled = stored(places.mapInArrow(_ranked(buckets), _PACKED), "places")
