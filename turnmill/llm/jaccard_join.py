@@ -6,15 +6,14 @@ smaller count, and that of a document with an R-tree box at most the same sum
 with the box's upper corner. Pairs whose bound reaches the overlap that the
 similarity needs are verified on the sets themselves.
 
-Which documents share a tree is settled exactly beforehand: two documents that
-are similar enough share one of each one's first ``n - ceil(threshold n) + 1``
-shingles in any common order of all shingles. The order puts frequent shingles
-last (counted over all documents in a table of 2 ** ``table_bits`` buckets), so a
-passage that many texts share brings no strangers together; with more shingles
-to a bucket, rare passages tell less from unique ones and groups grow, so the
-table should have a bucket for some tens of shingles (22 bits: 8 MB). Chains of documents that share
-such a shingle, broken where sizes alone exclude all links, form the groups;
-every link lies within a group, and a text travels to its tree once.
+Which documents share a tree is settled exactly beforehand. Of every set the
+least hashes (two fifths) are sent to meet others; two similar sets must share a
+known number of these. Documents with fewer shared hashes drop out; of the rest,
+the rarest shared hashes (all but that number, plus one) meet again, of which two
+similar sets must share one. Chains of documents that do, broken where sizes
+alone exclude all links, form the groups: every link lies within a group, and a
+passage that many texts share brings no strangers together. All counts are
+exact, no table is broadcast but a bitmap of fixed size.
 
 Texts travel only if a bitmap of fixed size says that they may be in a group.
 
@@ -33,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
 from turnmill.llm.columns import byte_rows, mix, ranges, slices, texts_of
-from turnmill.llm.graph import components
+from turnmill.llm.graph import components, local_components
 from turnmill.llm.tables import stored
 
 GROUPS = 256
 _SLICE = 1 << 22
 _POSTING = np.dtype([("token", "<u4"), ("text", "<i8"), ("n", "<u4")])
-_SLICES = 16  # of the frequency table
+_SHARED = np.dtype([("key", "<u8"), ("times", "<u4"), ("text", "<i8"), ("n", "<u4")])
 _BITS = 1 << 22  # of the bitmap of documents that are to meet
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,46 +108,15 @@ def _signatures(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return mix(total[limits[1:]] - total[limits[:-1]] + n.astype(np.uint64)).view(np.int64)
 
 
-def _profiles(size: int, bits: int) -> Callable:
-    """Number of shingles and signature of each document; of each task, how
-    often shingles of every bucket occur, in slices."""
+def _profiles(size: int) -> Callable:
+    """Number of shingles and signature of each document."""
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "sig", "counts"]
         for ids, hashes, limits in _sets(batches, size):
-            bucket, times = np.unique((hashes >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
-            table[bucket] += times.astype(np.uint32)
-            columns = [ids, pa.array(np.diff(limits)), pa.array(_signatures(hashes, limits)), pa.nulls(len(ids), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-        parts = np.minimum(table, 65_535).astype(np.uint16).reshape(_SLICES, -1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(_SLICES, pa.int64()), pa.array(np.arange(_SLICES)), pa.nulls(_SLICES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-            names,
-        )
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(limits)), pa.array(_signatures(hashes, limits))], ["doc_id", "n", "sig"])
 
     return profile
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            part = np.frombuffer(blob.as_buffer(), np.uint16)
-            sums[k] = sums[k] + part if k in sums else part.astype(np.uint32)
-    blobs = [np.minimum(s, 65_535).astype(np.uint16).tobytes() for s in sums.values()]
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(blobs, pa.binary())], ["n", "counts"])
-
-
-def frequencies(profiles: DataFrame, bits: int) -> np.ndarray:
-    """The tasks' tables added up slice by slice, up to 65 535 a bucket: what
-    reaches the driver is two bytes a bucket, whatever the corpus holds."""
-    slices_ = profiles.where("counts is not null").select("n", "counts").repartition(_SLICES, "n")
-    table = np.zeros((_SLICES, (1 << bits) // _SLICES), np.uint16)
-    for k, blob in slices_.mapInArrow(_summed, "n long, counts binary").collect():
-        table[k] = np.frombuffer(blob, np.uint16)
-    return table.ravel()
-
-
 def _met(shared) -> Callable:
     """Rows (doc_id, …) whose id may be in the bitmap."""
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,86 +138,134 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
 
-def _prefixes(shared, size: int, percent: int, buckets: int, bits: int) -> Callable:
-    """The first shingles of every text in the common order, packed by bucket."""
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+def _sent(n: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of a set of n that are sent: two fifths, and one more than similar
+    sets can lack."""
+    return np.minimum(n, np.maximum((2 * n + 4) // 5, n - (percent * n + 99) // 100 + 1))
+
+
+def _shared_at_least(n: np.ndarray, percent: int) -> np.ndarray:
+    """Sent hashes that a set of n shares with any similar one, at least.
+
+    Two sets of sizes a, b have t (a + b) / (1 + t) elements in common; at most
+    a - sent(a) of these, or b - sent(b), are beyond the last sent hash that both
+    reach. The least over all b from t a to a / t.
+    """
+    t, f = percent / 100, 0.4
+    least = min(f - (1 - t), t / (1 + t) - max(0.0, 1 / (1 + t) - f) / t)
+    return np.maximum(1, np.floor(least * n + 1e-9).astype(np.int64))
 
-        def packed() -> pa.RecordBatch:
-            bucket, rows = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], rows[order]
-            edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            ends = np.append(edge[1:], len(bucket))
-            blobs = [rows[a:b].tobytes() for a, b in zip(edge, ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[edge]), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
+def _packed(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row of bytes for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    edges = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
+    blobs = [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], form: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All rows of a task and the bucket of each."""
+    parts, buckets = [], []
+    for batch in batches:
+        for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            parts.append(np.frombuffer(blob.as_buffer(), form))
+            buckets.append(np.full(len(parts[-1]), bucket))
+    if not parts:
+        return np.zeros(0, form), np.zeros(0, np.int64)
+    return np.concatenate(parts), np.concatenate(buckets)
+
+
+def _postings(size: int, percent: int, buckets: int) -> Callable:
+    """The least hashes of every set, packed by hash."""
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
         for _, hashes, limits in _sets(batches, size):
             n = np.diff(limits)
             sigs = _signatures(hashes, limits)
             # A copy within the run brings nothing new.
-            _, once = np.unique(sigs, return_index=True)
             single = np.zeros(len(n), bool)
-            single[once] = True
-            owner = np.repeat(np.arange(len(n)), n)
-            key = rank[hashes >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(48) | (hashes & np.uint64((1 << 48) - 1))
-            order = np.lexsort((key, owner))
-            take = n - (percent * n + 99) // 100 + 1
-            at = np.arange(len(hashes)) - np.repeat(limits[:-1], n)
-            own = order[(at < take[owner]) & single[owner]]
+            single[np.unique(sigs, return_index=True)[1]] = True
+            take = np.where(single, _sent(n, percent), 0)
+            owner = np.repeat(np.arange(len(n)), take)
+            own = hashes[ranges(limits[:-1], take)]
             rows = np.zeros(len(own), _POSTING)
-            rows["token"], rows["text"], rows["n"] = hashes[own].astype(np.uint32), sigs[owner[own]], n[owner[own]]
-            held.append((((hashes[own] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), rows))
+            rows["token"], rows["text"], rows["n"] = own.astype(np.uint32), sigs[owner], n[owner]
+            held.append(((mix(own) % np.uint64(buckets)).astype(np.int64), rows))
             count += len(own)
-            if count > 2_000_000:
-                count = 0
-                yield packed()
-        if held:
-            yield packed()
-
-    return prefix
-
-
-def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and, of each, the smallest node of its component."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while not np.array_equal(jumped := new[new], new):
-            new = jumped
-        if np.array_equal(new, label):
-            return nodes, nodes[label]
-        label = new
+            if count > 1_000_000:
+                yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, count = [], 0
+        if count:
+            yield _packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return postings
+
+
+def _runs(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by hash, size and text, without repeats; keys; run lengths by row."""
+    key = (bucket.astype(np.uint64) << np.uint64(32)) | rows["token"]
+    order = np.lexsort((rows["text"], rows["n"], key))
+    rows, key = rows[order], key[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (key[1:] != key[:-1]) | (rows["text"][1:] != rows["text"][:-1])
+    rows, key = rows[new], key[new]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    length = np.diff(np.append(first, len(key)))
+    return rows, key, np.repeat(length, length)
+
+
+def _shared(buckets: int) -> Callable:
+    """Hashes that several texts sent, packed by text, with how many did."""
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, bucket = _unpacked(batches, _POSTING)
+        if not len(rows):
+            return
+        rows, key, length = _runs(rows, bucket)
+        several = length > 1
+        out = np.zeros(int(several.sum()), _SHARED)
+        out["key"], out["times"] = key[several], length[several]
+        out["text"], out["n"] = rows["text"][several], rows["n"][several]
+        if len(out):
+            yield _packed((mix(out["text"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
+
+    return shared
+
+
+def _rarest(percent: int) -> Callable:
+    """Of texts with enough shared hashes, the rarest ones, packed by hash again."""
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, _ = _unpacked(batches, _SHARED)
+        if not len(rows):
+            return
+        rows = rows[np.lexsort((rows["key"], rows["times"], rows["text"]))]
+        first = np.flatnonzero(np.concatenate(([True], rows["text"][1:] != rows["text"][:-1])))
+        length = np.diff(np.append(first, len(rows)))
+        take = np.maximum(0, length - _shared_at_least(rows["n"][first].astype(np.int64), percent) + 1)
+        rows = rows[ranges(first, take)]
+        out = np.zeros(len(rows), _POSTING)
+        out["token"], out["text"], out["n"] = rows["key"].astype(np.uint32), rows["text"], rows["n"]
+        if len(out):
+            yield _packed((rows["key"] >> np.uint64(32)).astype(np.int64), out)
+
+    return rarest
 
 
 def _chains(percent: int) -> Callable:
-    """Texts that share a shingle, chained by size; a chain breaks where even
-    the two neighbours' sizes exclude a link, for then they exclude all across.
-    What a task chains it also connects, so few edges leave it."""
+    """Texts that share a hash, chained by size; a chain breaks where even the
+    two neighbours' sizes exclude a link, for then they exclude all across. What
+    a task chains it also connects, so few edges leave it."""
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, rows = [], []
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(blob.as_buffer(), _POSTING)
-                rows.append(part)
-                keys.append(part["token"].astype(np.uint64) | np.uint64(bucket << 32))
-        if not rows:
+        rows, bucket = _unpacked(batches, _POSTING)
+        if not len(rows):
             return
-        rows, keys = np.concatenate(rows), np.concatenate(keys)
-        order = np.lexsort((rows["text"], rows["n"], keys))
-        keys, text, n = keys[order], rows["text"][order], rows["n"][order].astype(np.int64)
-        link = (keys[1:] == keys[:-1]) & (text[1:] != text[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        a, b = text[:-1][link], text[1:][link]
-        if len(a):
-            nodes, roots = local_components(a, b)
+        rows, key, _ = _runs(rows, bucket)
+        n, text = rows["n"].astype(np.int64), rows["text"]
+        link = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        if link.any():
+            nodes, roots = local_components(text[:-1][link], text[1:][link])
             away = nodes != roots
             yield pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(roots[away])], ["a", "b"])
 
@@ -373,9 +389,7 @@ def _link_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], ["a", "b", "overlap", "union_size"])
 
 
-def similarity_join(
-    docs: DataFrame, size: int = 5, percent: int = 75, tile: int = 2_000_000, table_bits: int = 22
-) -> tuple[DataFrame, DataFrame]:
+def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """Members and links of the documents whose ``size``-word shingle sets have
     a Jaccard similarity of at least ``percent`` / 100.
 
@@ -389,20 +403,20 @@ def similarity_join(
     judged by each row's text. Empty input: empty results. Other columns are
     ignored.
     """
-    if not 1 <= percent <= 100:
-        raise ValueError("percent from 1 to 100")
+    if not 65 <= percent <= 100:
+        raise ValueError("percent from 65 to 100")
     spark = docs.sparkSession
     rows = texts_of(docs)
-    profiles = stored(rows.mapInArrow(_profiles(size, table_bits), "doc_id long, n long, sig long, counts binary"), "profiles")
-    table = frequencies(profiles, table_bits)
-    profiles = profiles.where("counts is null").select("doc_id", "n", "sig")
+    profiles = stored(rows.mapInArrow(_profiles(size), "doc_id long, n long, sig long"), "profiles")
     classes = profiles.where("doc_id is not null and n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("class_id"))
 
     total = profiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = 1 + total * (100 - percent) // 100 // 400_000
-    prefix = _prefixes(spark.sparkContext.broadcast(table), size, percent, buckets, table_bits)
-    postings = rows.where("doc_id is not null").mapInArrow(prefix, "bucket long, rows binary").repartition(buckets, "bucket")
-    groups = components(postings.mapInArrow(_chains(percent), "a long, b long"))
+    buckets = 1 + total * 2 // 5 // 600_000
+    packed = "bucket long, rows binary"
+    sent = rows.where("doc_id is not null").mapInArrow(_postings(size, percent, buckets), packed).repartition(buckets, "bucket")
+    shared = sent.mapInArrow(_shared(buckets), packed).repartition(buckets, "bucket")
+    rare = shared.mapInArrow(_rarest(percent), packed).repartition(buckets, "bucket")
+    groups = components(rare.mapInArrow(_chains(percent), "a long, b long"))
 
     by_size = Window.partitionBy("component").orderBy("n", "sig")
     members = groups.join(classes, groups["node"] == classes["sig"]).select("component", "sig", "n", "class_id")
