@@ -8,7 +8,7 @@ from turnmill.operators.metrics import metric_curve
 from turnmill.operators.traces import import_conversations
 from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import scan_metrics_jsonl
-from turnmill.streaming.metrics import metric_curve_stream
+from turnmill.streaming.metrics import append_curve, metric_curve_stream
 from turnmill.streaming.run import land
 from turnmill.streaming.traces import import_stream, scan_jsonl_stream, start_import
 
@@ -71,3 +71,33 @@ def test_metric_stream_equals_batch(spark, tmp_path):
     batch = metric_curve(scan_metrics_jsonl(spark, path)).select("run_id", "step", "value")
     want = [("r1", 1, 25.0), ("r1", 3, 100.0), ("r2", 1, 25.0), ("r2", 3, 100.0)]
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) == want
+
+
+def test_import_goes_on_after_a_restart(spark, folder, tmp_path):
+    for quarantine in (None, str(tmp_path / "bad")):
+        out = str(tmp_path / f"out-{quarantine is None}")
+        start_import(scan_jsonl_stream(spark, str(folder)), out, quarantine=quarantine).awaitTermination()
+        name = f"late-{quarantine is None}.jsonl"
+        (folder / name).write_text(GOOD % 77)
+        start_import(scan_jsonl_stream(spark, str(folder)), out, quarantine=quarantine).awaitTermination()
+        before = len(list(folder.glob("late-*")))
+        assert spark.read.text(out).count() == 20 + before
+        other = tmp_path / f"other-{quarantine is None}"
+        other.mkdir()
+        (other / "0.jsonl").write_text(GOOD % 78)
+        again = start_import(scan_jsonl_stream(spark, str(other)), out, quarantine=quarantine, source="other")
+        again.awaitTermination()
+        assert spark.read.text(out).count() == 21 + before
+        with pytest.raises(ValueError, match="knows of none"):
+            start_import(scan_jsonl_stream(spark, str(folder)), out, checkpoint=str(tmp_path / "fresh"))
+
+
+def test_curve_of_a_growing_file(spark, tmp_path):
+    file = tmp_path / "runs" / "r1" / "metrics.jsonl"
+    file.parent.mkdir(parents=True)
+    path, out = str(tmp_path / "runs" / "*" / "metrics.jsonl"), str(tmp_path / "curve")
+    file.write_text('{"step":1,"env/all/correct":0.5}\n{"step":2,"env/al')
+    assert [(r.step, r.value) for r in append_curve(spark, path, out).collect()] == [(1, 50.0)]
+    file.write_text('{"step":1,"env/all/correct":0.5}\n{"step":2,"env/all/correct":0.75}\n')
+    for _ in range(2):
+        assert sorted((r.step, r.value) for r in append_curve(spark, path, out).collect()) == [(1, 50.0), (2, 75.0)]

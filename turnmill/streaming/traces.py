@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnmill.operators.traces import import_conversations, parse_lines
-from turnmill.session import fresh_dir, prepare
+from turnmill.session import prepare
 from turnmill.sources.sinks import to_messages_jsonl
+from turnmill.streaming.run import checkpoint_of
 
 
 def scan_jsonl_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -33,35 +34,39 @@ def start_import(
     quarantine: str | None = None,
     checkpoint: str | None = None,
     available_now: bool = True,
+    source: str = "main",
 ) -> StreamingQuery:
-    """Write messages JSONL for training to pick up.
+    """Write messages JSONL for training to pick up, below ``out`` in a folder
+    for ``source`` and one for each micro-batch, so that a repeated batch
+    replaces its own output and nothing else.
 
     Without ``quarantine`` a faulty line stops the query. With it, faulty lines
-    go there as JSON with their error; both folders are written once per
-    micro-batch under its number, so a repeated batch replaces its own output.
+    go there as JSON with their error. Without ``checkpoint`` it is kept in
+    ``out``: a later start with the same ``source`` goes on after the last batch.
+    Another folder of dumps is another source and needs a name of its own.
     """
     spark = lines.sparkSession
-    where = checkpoint or fresh_dir(spark, "import-checkpoint")
+    folder = f"{out.rstrip('/')}/source={source}"
+    where = checkpoint_of(spark, folder, checkpoint or f"{out.rstrip('/')}/_checkpoint/{source}")
     if quarantine is None:
-        kept = to_messages_jsonl(import_conversations(lines, fmt, min_messages))
-        writer = kept.writeStream.format("text").option("path", out)
+        parsed = import_conversations(lines, fmt, min_messages)
     else:
         parsed = parse_lines(lines, fmt, min_messages)
 
-        def write(batch: DataFrame, number: int) -> None:
-            batch.persist()
-            try:
-                good = batch.where(F.col("error_class").isNull())
-                to_messages_jsonl(good).write.mode("overwrite").text(f"{out}/batch={number}")
-                bad = batch.where(F.col("error_class").isNotNull())
-                bad.drop("messages").write.mode("overwrite").json(f"{quarantine}/batch={number}")
-            finally:
-                batch.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        if quarantine is None:
+            to_messages_jsonl(batch).write.mode("overwrite").text(f"{folder}/batch={number}")
+            return
+        batch.persist()
+        try:
+            good = batch.where(F.col("error_class").isNull())
+            to_messages_jsonl(good).write.mode("overwrite").text(f"{folder}/batch={number}")
+            bad = batch.where(F.col("error_class").isNotNull())
+            bad.drop("messages").write.mode("overwrite").json(f"{quarantine}/source={source}/batch={number}")
+        finally:
+            batch.unpersist()
 
-        writer = parsed.writeStream.foreachBatch(write)
-    writer = writer.option("checkpointLocation", where).outputMode("append")
+    writer = parsed.writeStream.foreachBatch(write).option("checkpointLocation", where).outputMode("append")
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
-
-
