@@ -12,7 +12,7 @@ def test_import_command(spark, tmp_path, capsys):
     (tmp_path / "b.jsonl").write_text(GOOD)
     out = str(tmp_path / "out")
     assert main(["import", str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl"), "-o", out]) == 0
-    assert "Wrote 4 conversations" in capsys.readouterr().err
+    assert "4 chats from messages input" in capsys.readouterr().err
     assert spark.read.text(out).count() == 4
 
 

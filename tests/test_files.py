@@ -79,7 +79,7 @@ def test_import_file_to_file(spark, tmp_path):
 
 def test_import_without_usable_conversation(spark, tmp_path):
     (tmp_path / "dump.jsonl").write_text(SHORT + "\n")
-    with pytest.raises(EmptyResultError, match="no usable conversations"):
+    with pytest.raises(EmptyResultError, match="every chat was dropped"):
         import_files(spark, str(tmp_path / "dump.jsonl"), str(tmp_path / "out"))
 
 
@@ -186,8 +186,51 @@ def test_task_catalog(spark, tmp_path):
             target = tmp_path / "set" / name / f
             target.parent.mkdir(parents=True, exist_ok=True)
             target.write_text(f"{name}:{f}")
+    (tmp_path / "set" / "grep-log" / "solution").mkdir()
+    (tmp_path / "set" / "grep-log" / "solution" / "instruction.md").write_text("not a task")
+    other = tmp_path / "more" / "sort-file"
+    other.mkdir(parents=True)
+    (other / "instruction.md").write_text("of the other dataset")
+    both = scan_task_catalog(spark, str(tmp_path)).collect()
+    assert sorted((r.dataset, r.task_name) for r in both) == [("more", "sort-file"), ("set", "grep-log"), ("set", "sort-file")]
+    assert next(r for r in both if r.dataset == "more").test_script is None
     rows = {r.task_name: r for r in scan_task_catalog(spark, str(tmp_path / "set")).collect()}
     assert set(rows) == {"sort-file", "grep-log"}
     assert rows["sort-file"].dockerfile == "sort-file:environment/Dockerfile"
     assert rows["grep-log"].test_script == "grep-log:tests/test.sh"
     assert rows["grep-log"].task_toml is None and rows["grep-log"].dockerfile is None
+
+
+def test_output_is_as_before_after_any_failure(spark, tmp_path):
+    out, dump = str(tmp_path / "out"), tmp_path / "a.jsonl"
+    dump.write_text(GOOD_LINE)
+    import_files(spark, str(dump), out)
+    for bad, error in (("{not json", ImportFormatError), ('{"messages":[]}', EmptyResultError)):
+        dump.write_text(bad + "\n")
+        with pytest.raises(error):
+            import_files(spark, str(dump), out, mode="overwrite")
+        assert spark.read.text(out).count() == 1
+        with pytest.raises(error):
+            import_files(spark, str(dump), str(tmp_path / "new"))
+        assert not (tmp_path / "new").exists()
+    dump.write_text(GOOD_LINE * 2 + "[]\n")
+    done = import_files(spark, str(dump), out, mode="overwrite", on_error="skip", quarantine=str(tmp_path / "bad"))
+    assert (done.conversations, done.skipped) == (2, 1) and spark.read.text(out).count() == 2
+    assert [(r.lineno, r.error_class) for r in spark.read.json(str(tmp_path / "bad")).collect()] == [(3, "not_object")]
+    with pytest.raises(EmptyResultError):
+        stage_dataset(spark.createDataFrame([(" ",)], "value string"), str(tmp_path / "staged"))
+    assert not (tmp_path / "staged").exists()
+    assert not [p for p in tmp_path.iterdir() if ".new-" in p.name or ".old-" in p.name]
+
+
+GOOD_LINE = '{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}\n'
+
+
+@pytest.mark.parametrize("last", ["5", '"x"', "{}", "[7]"])
+@pytest.mark.parametrize("key", ["messages", "m\\u0065ssages"])
+def test_last_of_repeated_messages_counts(spark, tmp_path, last, key):
+    dump = tmp_path / "a.jsonl"
+    dump.write_text(GOOD_LINE.strip()[:-1] + f',"{key}":{last}}}\n')
+    for fmt in ("messages", "openai", "anthropic"):
+        with pytest.raises(ImportFormatError):
+            import_files(spark, str(dump), str(tmp_path / f"out-{fmt}"), fmt=fmt)

@@ -141,3 +141,19 @@ def test_frozen_batch_is_not_moved_again(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE frozen")
+
+
+@pytest.mark.parametrize("new", [[-1.0], [-1.0, -2.0, -3.0], [-1.0, None], None])
+def test_uneven_or_missing_logprobs_fail(spark, new):
+    rows = spark.createDataFrame([(1, [-1.0, -2.0], [1.0, 1.0], new)], "seq_id long, logprobs array<double>, advantages array<double>, new_logprobs array<double>")
+    with pytest.raises(PySparkException, match="differ in size or hold NULL"):
+        rollouts.sequence_ratios(rows).collect()
+
+
+@pytest.mark.parametrize("passes", [[], [(2, [-1.0, -2.0])], [(1, [-1.0, -2.0])] * 2, [(1, [-1.0])]])
+def test_second_pass_needs_one_whole_pass_per_sequence(spark, passes):
+    old = spark.createDataFrame([(1, [-1.0, -2.0], [1.0, 1.0])], "seq_id long, logprobs array<double>, advantages array<double>")
+    new = spark.createDataFrame(passes, "seq_id long, logprobs array<double>")
+    for step in (rollouts.swap_logprobs, rollouts.second_pass):
+        with pytest.raises(PySparkException, match="no single new pass"):
+            step(old, new).collect()

@@ -39,13 +39,22 @@ def test_batches(rows, size):
 
 
 def test_schedule(rows):
-    batches = shaping.batch_plan(rows, ["id"], 64)
-    plan = shaping.training_schedule(batches, epochs=2, save_every=5, eval_every=0, max_steps=13)
+    plan = shaping.training_schedule(rows, 64, epochs=2, save_every=5, eval_every=0, max_steps=13)
     got = [tuple(r) for r in plan.orderBy("step").collect()]
     sizes = [64] * 7 + [52]
     assert got == [(s, s // 8, s % 8, sizes[s % 8], (s + 1) % 5 == 0, False) for s in range(13)]
 
 
+def test_schedule_only_counts(rows):
+    plan = shaping.training_schedule(rows, 64, epochs=2)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and plan.count() == 16
+    assert shaping.training_schedule(rows.where("id < 0"), 64).count() == 0
+    for wrong in ({"epochs": 0}, {"save_every": -1}, {"eval_every": -1}):
+        with pytest.raises(ValueError):
+            shaping.training_schedule(rows, 64, **wrong)
+
+
 def test_rollout_plan(rows):
     plan = shaping.rollout_plan(rows.select("id"), ["id"], batch_size=6, group_size=3, seed=1)
     got = sorted((r.step, r.group, r.member, r.id) for r in plan.collect())

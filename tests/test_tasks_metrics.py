@@ -3,6 +3,7 @@
 import statistics
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from turnmill.errors import EmptyResultError
@@ -110,3 +111,22 @@ def test_metric_curve(spark):
     assert [tuple(r) for r in metrics.metric_curve(df).collect()] == [(0, 0, 50.0), (2, 2, 100.0)]
     lr = metrics.metric_curve(df, "optim/lr", 1.0).collect()
     assert [tuple(r) for r in lr] == [(1, 1, 1.0)]
+
+
+def test_outlying_warmup_takes_no_digits(spark):
+    rows = [("p", i, s) for i, s in enumerate([1e8, 12.91, 12.92, 12.93, 12.94, 12.95])]
+    row = metrics.step_timing_summary(spark.createDataFrame(rows, "path string, step int, seconds double"), 100).first()
+    assert row.steps == 5 and abs(row.stdev_raw - 0.0158113883) < 1e-9
+
+
+def test_equal_task_names_are_cut_exactly(spark):
+    named = spark.createDataFrame([("a",), ("a",), ("a",), ("b",)], "task_name string")
+    for n in (1, 2, 3, 4, 9):
+        assert tasks.limit_tasks(named, n).count() == min(n, 4)
+
+
+@pytest.mark.parametrize("row", ['{"env/all/correct":1}', '{"step":1.5,"env/all/correct":1}', '{"step":null,"env/all/correct":1}'])
+def test_metric_row_needs_a_whole_step(spark, row):
+    rows = spark.createDataFrame([(row,)], "value string").selectExpr("parse_json(value) AS row")
+    with pytest.raises(PySparkException, match="whole step"):
+        metrics.metric_curve(rows).collect()

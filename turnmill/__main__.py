@@ -22,6 +22,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     imports.add_argument("--min-messages", type=int, default=2)
     imports.add_argument("--limit", type=int, default=None)
     imports.add_argument("--on-error", choices=["fail", "skip"], default="fail")
+    imports.add_argument("--quarantine", default=None, help="folder for faulty lines, with --on-error skip")
     return parser.parse_args(argv)
 
 
@@ -31,15 +32,15 @@ def main(argv: list[str] | None = None) -> int:
     try:
         result = import_files(
             spark, options.input, options.out, options.format,
-            options.min_messages, options.limit, options.on_error,
+            options.min_messages, options.limit, options.on_error, quarantine=options.quarantine,
         )
     except (EmptyResultError, ImportFormatError) as error:
         print(f"Error: {error}", file=sys.stderr)
         return 1
-    print(
-        f"Wrote {result.conversations} conversations ({result.format} to messages JSONL)",
-        file=sys.stderr,
-    )
+    report = f"{options.out}: {result.conversations} chats from {result.format} input"
+    if result.skipped:
+        report += f"; {result.skipped} faulty lines left out"
+    print(report, file=sys.stderr)
     return 0
 
 

@@ -196,9 +196,18 @@ def json_record(line: str) -> str:
     return f"CASE WHEN NOT {_has_odd_infinity(line)} THEN {found} END"
 
 
+def _may_repeat(line: str) -> str:
+    """Whether the key ``messages`` may occur again, also spelled with escapes. A
+    typed read keeps the first value where the last has another type; the last
+    one counts."""
+    again = f"locate('\"messages\"', {line}, locate('\"messages\"', {line}) + 1) > 0"
+    return f"({again} OR (contains({line}, r'\\u00') AND {line} RLIKE r'\\\\u00[67]'))"
+
+
 def _typed(line: str, as_type: str) -> str:
     pair = _marked(line, ',{"mark":"', '"}]', as_type, _PLAIN_JSON)
-    sole = f"CASE WHEN size(_pair) = 2 AND _pair[1].mark = {_mark(line)} THEN _pair[0] END"
+    once = f"NOT {_may_repeat(line)}"
+    sole = f"CASE WHEN size(_pair) = 2 AND _pair[1].mark = {_mark(line)} AND {once} THEN _pair[0] END"
     return bound(pair, "_pair", sole)
 
 

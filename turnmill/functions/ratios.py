@@ -23,7 +23,14 @@ def trained_positions(advantages: Column) -> Column:
 
 
 def sequence_log_ratio(new: Column, old: Column, advantages: Column) -> Column:
-    """Mean of new - old over the trained positions; NaN when there are none."""
+    """Mean of new - old over the trained positions; NaN when there are none.
+    Arrays of unequal sizes, and NULL arrays or elements, fail the job."""
+    n = F.size(advantages)
+    even = (F.size(new) == n) & (F.size(old) == n) & (n >= 0)
+    whole = ~(F.exists(new, lambda x: x.isNull()) | F.exists(old, lambda x: x.isNull()) | F.exists(advantages, lambda x: x.isNull()))
+    fault = F.raise_error(F.lit("log-probabilities and advantages differ in size or hold NULL"))
+    new, old = (F.coalesce(x, fault.cast("array<double>")) for x in (new, old))
+    advantages = F.when(F.coalesce(even & whole, F.lit(False)), advantages).otherwise(fault.cast("array<double>"))
     gaps = F.zip_with(new, old, lambda n, o: n.cast("double") - o.cast("double"))
     trained = F.filter(
         F.zip_with(gaps, advantages, lambda g, a: F.when(a != 0, g)), lambda g: g.isNotNull()

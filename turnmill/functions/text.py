@@ -32,6 +32,7 @@ def truncate_output(data: str, max_bytes: int = MAX_OUTPUT_BYTES) -> str:
         raise ValueError("max_bytes must not be negative")
     head = f"make_valid_utf8(CAST(substring({data}, 1, {max_bytes}) AS STRING))"
     dropped = f"octet_length({data}) - {max_bytes}"
+    # Fixed value: the note on what was dropped.
     return (
         f"CASE WHEN {dropped} > 0 "
         f"THEN concat({head}, '\\n[truncated: ', {dropped}, ' bytes dropped]') ELSE {head} END"

@@ -11,23 +11,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnmill.functions.chat import bound
-from turnmill.session import broadcast_if_small
 
 # Names of the two compared paths and of the default metric.
 FUSED, TWO_PASS = "native_1pass", "custom_2pass"
 CORRECT_METRIC = "env/all/correct"
 
-# First steps, one row of some 100 bytes per path: at most about 100 MB.
-BROADCAST_PATHS = 1_000_000
-
 
 def mark_warmup(timings: DataFrame, by: Sequence[str] = ("path",)) -> DataFrame:
     """Add ``is_warmup``: the first step of each path. The first steps are one
-    row per path; while they are few they are broadcast, so the timings of a
-    path that has most of the rows stay where they are."""
+    row per path; adaptive execution broadcasts them by their measured size, or
+    splits a path that has most of the rows."""
     first = timings.groupBy(*by).agg(F.min("step").alias("_first"))
     return (
-        timings.join(broadcast_if_small(first, BROADCAST_PATHS), [*by])
+        timings.join(first, [*by])
         .withColumn("is_warmup", F.col("step") == F.col("_first"))
         .drop("_first")
     )
@@ -38,29 +34,23 @@ def step_timing_summary(
 ) -> DataFrame:
     """Mean, sample deviation and throughput of each path without its warm-up:
     the rows marked ``is_warmup`` or, where there is no such column, the first
-    step. That one is taken out of the path's count, mean and sum of squares, so
-    one aggregate with partial sums does it all.
+    step. That one is looked up first and left out, not subtracted, so that an
+    outlying warm-up takes no digits from the others.
 
     ``tokens`` is the number of tokens per step, or a column that is constant
     within a path.
     """
     per_step = F.lit(tokens) if isinstance(tokens, int) else F.max(tokens)
     marked = "is_warmup" in timings.columns
-    rows = timings.where(~F.col("is_warmup")) if marked else timings
+    rows = (timings if marked else mark_warmup(timings, by)).where(~F.col("is_warmup"))
     sums = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.avg("seconds").alias("_mean"),
-        F.var_pop("seconds").alias("_var"),
-        F.min_by("seconds", "step").alias("_first"),
+        F.stddev_samp("seconds").alias("_stdev"),
         per_step.alias("_tokens"),
     )
-    n, mean, squares = F.col("_n"), F.col("_mean"), F.col("_var") * F.col("_n")
-    if not marked:
-        off = F.col("_first") - mean
-        sums = sums.where(n > 1)
-        n, mean = n - 1, mean - off / (n - 1)
-        squares = squares - off * (F.col("_first") - mean)
-    deviation = F.when(n > 1, F.sqrt(F.greatest(squares, F.lit(0.0)) / (n - 1))).otherwise(0.0)
+    n, mean = F.col("_n"), F.col("_mean")
+    deviation = F.when(n > 1, F.col("_stdev")).otherwise(0.0)
     return sums.select(
         *by,
         n.alias("steps"),
@@ -99,10 +89,33 @@ def path_comparison(
     )
 
 
+def bench_record(summary: DataFrame, fused: str = FUSED, other: str = TWO_PASS, by: Sequence[str] = ()) -> DataFrame:
+    """Benchmark records as columns of the two paths and ``summary``, from the
+    rows of ``step_timing_summary`` (with ``path``); one per ``by``."""
+    def side(path: str, name: str) -> Column:
+        values = F.struct(F.col("mean_s"), F.col("stdev_s"), F.col("tokens_per_s"))
+        return F.max(F.when(F.col("path") == path, values)).alias(name)
+
+    sides = summary.groupBy(*by).agg(side(fused, FUSED), side(other, TWO_PASS))
+    gains = F.struct("step_time_reduction_pct", "throughput_gain_pct").alias("summary")
+    compared = path_comparison(summary, fused, other, by).select(*by, gains)
+    if by:
+        return sides.join(compared, [*by], "left")
+    return sides.select(FUSED, TWO_PASS, F.lit(1).alias("_")).join(compared.withColumn("_", F.lit(1)), "_", "left").drop("_")
+
+
+def write_bench_records(records: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """One pretty-printed record per row, in folders by ``by``."""
+    body = F.to_json(F.struct(FUSED, TWO_PASS, "summary"), {"pretty": "true"}).alias("value")
+    writer = records.select(*by, body).write
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
 def bench_tidy(records: DataFrame) -> DataFrame:
     """Benchmark records as rows for drawing: metric, what is better, position
     on the axis, path, value. Other columns travel along."""
     others = [c for c in records.columns if c not in (FUSED, TWO_PASS, "summary")]
+    # The two axes, in the order of the report, and their fields.
     rows = [
         F.struct(
             F.lit(metric).alias("metric"),
@@ -124,13 +137,17 @@ def metric_curve(
     metrics: DataFrame, key: str = CORRECT_METRIC, scale: float = 100.0, row: str = "row"
 ) -> DataFrame:
     """(step, value) of the metric rows that have ``key``; a plain projection,
-    so it also works on a stream. Other columns travel along."""
+    so it also works on a stream. Other columns travel along. A row that has the
+    key but no whole number as step fails the job."""
     if "'" in key:
         raise ValueError("metric key must not contain a quote")
     others = [c for c in metrics.columns if c != row]
     path = f"$[\\'{key}\\']"
     point = (
-        "named_struct('step', variant_get(_row, '$.step', 'bigint'), "
+        "named_struct('step', CASE WHEN try_variant_get(_row, '$.step', 'double') = "
+        "floor(try_variant_get(_row, '$.step', 'double')) THEN variant_get(_row, '$.step', 'bigint') "
+        f"WHEN try_variant_get(_row, '{path}', 'variant') IS NOT NULL "
+        "THEN CAST(raise_error('metric row without a whole step') AS bigint) END, "
         f"'value', variant_get(_row, '{path}', 'double') * {float(scale)}D, "
         f"'present', try_variant_get(_row, '{path}', 'variant') IS NOT NULL)"
     )

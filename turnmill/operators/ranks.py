@@ -123,13 +123,18 @@ def nth_key(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows in the order of ``order_by``, which must identify a
-    row. Rows are kept by comparing with the n-th key, a plain filter that can
-    reach the scan."""
+    """Exactly the first ``n`` rows in the order of ``order_by``, or all if there
+    are fewer. Rows are kept by comparing with the n-th key, a plain filter that
+    can reach the scan; of rows equal to it, which ones stay is open, and only
+    these are numbered."""
     if n <= 0:
         return df.where(F.lit(False))
     last = nth_key(df, n, order_by).scalar()
-    return df.where(F.coalesce(F.struct(*order_by) <= last, F.lit(True)))
+    key = F.struct(*order_by)
+    before = df.where(F.coalesce(key < last, F.lit(True)))
+    room = F.lit(n) - df.where(key < last).agg(F.count(F.lit(1)).alias("_n")).scalar()
+    ties = df.where(key == last).withColumn("_tie", F.row_number().over(Window.partitionBy(*order_by).orderBy(F.lit(1))))
+    return before.unionByName(ties.where(F.col("_tie") <= room).drop("_tie"))
 
 
 def _nth_of_sorted(keys: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

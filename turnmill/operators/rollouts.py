@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnmill.functions import ratios
 
@@ -110,7 +110,9 @@ def token_log_ratio(tokens: DataFrame, sequence: Sequence[str]) -> DataFrame:
     logprob and advantage. Sums are combined before the shuffle, so one sequence
     may hold any share of the rows."""
     gap = F.col("new_logprob").cast("double") - F.col("logprob").cast("double")
-    mean = F.avg(F.when(F.col("advantage") != 0, gap))
+    missing = F.raise_error(F.lit("token without log-probability or advantage")).cast("double")
+    trained = F.coalesce(F.col("advantage") != 0, missing.cast("boolean"))
+    mean = F.avg(F.when(trained, F.coalesce(gap, missing)))
     return tokens.groupBy(*sequence).agg(
         F.coalesce(mean, F.lit(float("nan"))).alias("log_ratio")
     )
@@ -118,9 +120,21 @@ def token_log_ratio(tokens: DataFrame, sequence: Sequence[str]) -> DataFrame:
 
 def swap_logprobs(datums: DataFrame, new_pass: DataFrame, key: Sequence[str] = ("seq_id",)) -> DataFrame:
     """Datums with the log-probabilities of ``new_pass`` (same key), so that a
-    ratio taken from here on starts at 1."""
-    fresh = new_pass.select(*key, F.col("logprobs").alias("_fresh"))
-    return datums.join(fresh, [*key]).withColumn("logprobs", F.col("_fresh")).drop("_fresh")
+    ratio taken from here on starts at 1. See ``_with_pass`` for what fails."""
+    joined = _with_pass(datums, new_pass, key, "_fresh")
+    return joined.withColumn("logprobs", F.col("_fresh")).drop("_fresh")
+
+
+def _with_pass(datums: DataFrame, new_pass: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """Every datum with its new log-probabilities. A datum without a new pass, a
+    key that the new pass repeats, and arrays of another size fail the job. The
+    repeats are counted in the order that the join needs anyway."""
+    times = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    fresh = new_pass.select(*key, F.col("logprobs").alias(name), times.alias("_times"))
+    sound = (F.col("_times") == 1) & (F.size(name) == F.size("logprobs"))
+    fault = F.raise_error(F.concat(F.lit("no single new pass of the same length for "), F.to_json(F.struct(*key))))
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col(name)).otherwise(fault.cast("array<double>"))
+    return datums.join(fresh, [*key], "left").withColumn(name, checked).drop("_times")
 
 
 def second_pass(
@@ -132,8 +146,7 @@ def second_pass(
 ) -> DataFrame:
     """Ratio, clip gate, re-weighted advantages and fresh log-probabilities in
     one join and one projection."""
-    fresh = new_pass.select(*key, F.col("logprobs").alias("new_logprobs"))
-    rated = sequence_ratios(datums.join(fresh, [*key]), "new_logprobs", low, high)
+    rated = sequence_ratios(_with_pass(datums, new_pass, key, "new_logprobs"), "new_logprobs", low, high)
     return rated.withColumns(
         {
             "advantages": ratios.reweight_advantages(F.col("advantages"), F.col("weight")),

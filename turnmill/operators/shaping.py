@@ -36,27 +36,33 @@ def _every(step: Column, steps: int) -> Column:
 
 
 def training_schedule(
-    batches: DataFrame,
+    rows: DataFrame,
+    batch_size: int = 8,
     epochs: int = 1,
     save_every: int = 20,
     eval_every: int = 0,
     max_steps: int | None = None,
 ) -> DataFrame:
     """One row per step: step, epoch, batch, its size, and whether to save or
-    evaluate after it. ``batches`` is the result of ``batch_plan``."""
-    per_batch = batches.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
-    n_batches = batches.agg((F.max("batch") + 1).alias("_n")).scalar()
-    step = F.col("epoch") * n_batches + F.col("batch")
-    plan = per_batch.withColumn(
-        "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)).cast("array<bigint>"))
-    ).withColumn("step", step)
+    evaluate after it, for ``rows`` in batches of ``batch_size`` as ``batch_plan``
+    makes them. Rows are only counted: all batches are full but the last."""
+    if epochs < 1 or batch_size < 1:
+        raise ValueError("epochs and batch_size must be positive")
+    if save_every < 0 or eval_every < 0 or (max_steps is not None and max_steps < 0):
+        raise ValueError("save_every, eval_every and max_steps must not be negative")
+    counted = rows.agg(F.count(F.lit(1)).alias("_rows"))
+    counted = counted.withColumn("_n", F.expr(f"(_rows + {batch_size - 1}) DIV {batch_size}"))
+    last = F.col("_n") * epochs
     if max_steps is not None:
-        plan = plan.where(F.col("step") < max_steps)
+        last = F.least(last, F.lit(max_steps))
+    steps = F.when(last > 0, F.sequence(F.lit(0).cast("bigint"), last - 1)).otherwise(F.array().cast("array<bigint>"))
+    plan = counted.select("_rows", "_n", F.explode(steps).alias("step"))
+    plan = plan.withColumn("epoch", F.expr("step DIV _n")).withColumn("batch", F.expr("step % _n"))
     return plan.select(
         "step",
         "epoch",
         "batch",
-        "size",
+        F.least(F.lit(batch_size).cast("bigint"), F.col("_rows") - F.col("batch") * batch_size).alias("size"),
         _every(F.col("step"), save_every).alias("save"),
         _every(F.col("step"), eval_every).alias("evaluate"),
     )

@@ -37,7 +37,7 @@ def require_tasks(tasks: DataFrame, source: str, text: str | None = None) -> int
     """How many tasks there are; an error when there are none."""
     found = tasks.count()
     if not found:
-        raise EmptyResultError(f"no tasks matched in {source} (filter={text!r})")
+        raise EmptyResultError(f"{source} has no task" + (f" with {text!r} in its name" if text else ""))
     return found
 
 

@@ -197,8 +197,8 @@ def import_summary(conversations: DataFrame, by: str = "format") -> DataFrame:
 def require_conversations(written: int, min_messages: int = 2) -> int:
     if written == 0:
         raise EmptyResultError(
-            "no usable conversations: each needs an assistant message and "
-            f"min_messages={min_messages}; check the format"
+            "every chat was dropped: none has an assistant turn and "
+            f"min_messages={min_messages} or more; is it another format?"
         )
     return written
 

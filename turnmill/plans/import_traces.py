@@ -18,7 +18,7 @@ from turnmill.operators.traces import (
 )
 from turnmill.session import prepare
 from turnmill.sources.lines import number_lines, scan_jsonl
-from turnmill.sources.sinks import to_messages_jsonl
+from turnmill.sources.sinks import staged, to_messages_jsonl
 
 PLACE = ("file", "lineno")
 _FIRST_FILES = 8
@@ -29,6 +29,7 @@ class ImportResult:
     path: str
     format: str
     conversations: int
+    skipped: int = 0
 
 
 def import_files(
@@ -40,6 +41,7 @@ def import_files(
     limit: int | None = None,
     on_error: str = "fail",
     mode: str = "errorifexists",
+    quarantine: str | None = None,
 ) -> ImportResult:
     """Write the usable conversations of dump files to ``out``.
 
@@ -47,6 +49,11 @@ def import_files(
     checked, and line numbers are not computed. A faulty line fails the write
     job, nothing is committed, and only then is the earliest faulty line looked
     up and raised. With ``limit``, faults after the last kept line do not count.
+    ``out`` is as it was before if anything fails, an empty result included.
+
+    ``on_error='skip'`` leaves faulty lines out and counts them; ``quarantine``
+    is a folder that they go to as JSON, with file, number and error, before the
+    conversations take their place. Counting them reads the input again.
     """
     parser_for(fmt)
     prepare(spark)
@@ -57,24 +64,32 @@ def import_files(
     kept = import_conversations(lines, fmt, min_messages, on_error)
     seen = Observation("import")
     counted = to_messages_jsonl(kept.observe(seen, F.count(F.lit(1)).alias("conversations")))
-    try:
-        counted.write.mode(mode).text(out)
-    except PySparkException:
-        _remove_if_empty(spark, out)
-        if on_error == "fail":
-            raise_first_error(spark, path, fmt)
-        raise
-    written = require_conversations(seen.get["conversations"], min_messages)
-    return ImportResult(out, fmt, written)
-
-
-def _remove_if_empty(spark: SparkSession, out: str) -> None:
-    """Remove the folder an aborted write job leaves, so the job can be run
-    again. Anything in it makes this do nothing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path) and not len(fs.listStatus(path)):
-        fs.delete(path, False)
+    if quarantine and on_error != "skip":
+        raise ValueError("a quarantine needs on_error='skip'")
+    with staged(spark, out, mode) as fresh:
+        try:
+            counted.write.text(fresh)
+        except PySparkException:
+            if on_error == "fail":
+                raise_first_error(spark, path, fmt)
+            raise
+        written = require_conversations(seen.get["conversations"], min_messages)
+        skipped = _skipped(lines, path, fmt, mode, quarantine) if on_error == "skip" else 0
+    return ImportResult(out, fmt, written, skipped)
+
+
+def _skipped(lines: DataFrame, path, fmt: str, mode: str, quarantine: str | None) -> int:
+    """How many lines are faulty; with ``quarantine`` they are written there,
+    those of faulty files being numbered."""
+    if quarantine is None:
+        return import_errors(lines, fmt).count()
+    spark = lines.sparkSession
+    numbered = lines if "lineno" in lines.columns else number_lines(lines)
+    seen = Observation("quarantine")
+    faulty = import_errors(numbered, fmt).observe(seen, F.count(F.lit(1)).alias("lines"))
+    with staged(spark, quarantine, mode) as fresh:
+        faulty.write.json(fresh)
+    return seen.get["lines"]
 
 
 def raise_first_error(spark: SparkSession, path, fmt: str) -> None:

@@ -161,19 +161,29 @@ def scan_task_files(spark: SparkSession, root: str) -> DataFrame:
 
 def task_catalog(files: DataFrame) -> DataFrame:
     """One row per task folder with the text of its files, NULL for a missing
-    one. At most four rows of a task meet in the aggregate."""
+    one: dataset (the folder that the task's is in), task_name, file texts.
+
+    A task is its folder: equal names in different datasets stay apart, and no
+    text comes from another task. A folder below a task's folder is part of that
+    task and none of its own. At most four rows of a task meet.
+    """
     tails = "|".join(name.replace(".", r"\.") for name in TASK_FILES)
-    pattern = rf"([^/]+)/({tails})$"
-    named = files.select(
-        F.regexp_extract("path", pattern, 1).alias("task_name"),
-        F.regexp_extract("path", pattern, 2).alias("name"),
-        "content",
-    ).where(F.col("name") != "")
-    columns = [
-        F.max(F.when(F.col("name") == name, F.col("content"))).alias(column)
-        for name, column in TASK_FILES.items()
-    ]
-    return named.groupBy("task_name").agg(*columns)
+    pattern = rf"^(.+)/({tails})$"
+    folder = F.regexp_extract("path", pattern, 1).alias("folder")
+    named = files.select(folder, F.regexp_extract("path", pattern, 2).alias("name"), "content").where("name != ''")
+    folders = files.select(folder).where("folder != ''").distinct()
+    parts = F.split("folder", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    inner = folders.select("folder", F.explode(above).alias("above")).join(
+        folders.select(F.col("folder").alias("above")), "above", "left_semi"
+    )
+    found = named.join(inner.select("folder").distinct(), "folder", "left_anti")
+    found = found.groupBy("folder").agg(F.collect_list(F.struct("name", "content")).alias("_files"))
+    def text_of(name: str) -> Column:
+        return F.get(F.filter("_files", lambda f: f["name"] == name), 0)["content"]
+
+    texts = [text_of(name).alias(column) for name, column in TASK_FILES.items()]
+    return found.select(F.element_at(parts, -2).alias("dataset"), F.element_at(parts, -1).alias("task_name"), *texts)
 
 
 def scan_task_catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -14,18 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents. A file smaller than one split has few row groups and is
-    read by one task; its rows are then spread, which moves less than one split
-    of data. Larger tables are read as they are."""
-    docs = table(spark, sf_dir, "documents")
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > SMALL_TABLE_BYTES:
-        return docs
-    return docs.repartition(spark.sparkContext.defaultParallelism)
+    """The documents, read as they are at every size."""
+    return table(spark, sf_dir, "documents")
 
 
-SMALL_TABLE_BYTES = 128 * 1024 * 1024
-
 # Role spellings by doc_id % 4, for even and odd positions.
 SPELLINGS = (("human", "ai"), ("user", "MODEL"), ("Human", "Assistant"), ("USER", "model"))
 LONE_USER = 10  # doc_id % 10 = 9: the other side never answers
@@ -71,7 +63,7 @@ def messages_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def openai_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above, with tool calls (null content) and tool rows in between."""
     call = F.struct(
-        F.lit("function").alias("type"), F.struct(F.lit("clock").alias("name")).alias("function")
+        F.lit("function").alias("type"), F.struct(F.lit("lookup").alias("name")).alias("function")
     )
 
     def message(role: Column, content: Column, calls: Column) -> Column:
@@ -85,7 +77,7 @@ def openai_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         plain = message(_spelled(i), p, no_calls)
         tools = F.array(
             message(F.lit("assistant"), F.lit(None).cast("string"), F.array(call)),
-            message(F.lit("tool"), F.lit("12:00"), no_calls),
+            message(F.lit("tool"), F.lit("found: 3 rows"), no_calls),
             plain,
         )
         return F.when(F.col("doc_id") % TOOL_CALLS == 0, tools).otherwise(F.array(plain))

@@ -122,9 +122,10 @@ ORACLES = {
     "json_record": f"SELECT doc_id + 1 AS lineno, {_KIND} <> 0 AS is_json FROM documents",
     "normalize_role": """
 SELECT conv_id, turn, spelled, CASE lower(spelled) WHEN 'human' THEN 'user' WHEN 'ai' THEN 'assistant'
-  WHEN 'model' THEN 'assistant' WHEN 'system' THEN 'system' END AS normalized
-FROM (SELECT conv_id, turn, ['human', 'AI', 'Model', 'tool', 'function', 'narrator', 'SYSTEM']
-             [(conv_id + turn) % 7 + 1] AS spelled FROM conversations)""",
+  WHEN 'model' THEN 'assistant' WHEN 'system' THEN 'system'
+  WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END AS normalized
+FROM (SELECT conv_id, turn, ['human', 'AI', 'Model', 'tool', 'function', 'narrator', 'SYSTEM', role]
+             [(conv_id + turn) % 8 + 1] AS spelled FROM conversations)""",
     "flatten_content": f"""
 WITH {_PARTS}
 SELECT doc_id, coalesce(string_agg(p, chr(10) ORDER BY i)
@@ -144,7 +145,16 @@ SELECT doc_id + 1 AS lineno, {_ERROR} AS error_class, {_DETAIL} AS detail
 FROM documents WHERE {_KIND} % 7 = 0""",
     "first_error": f"""
 SELECT doc_id + 1 AS lineno, {_ERROR} AS error_class, {_DETAIL} AS detail
-FROM documents WHERE {_KIND} IN (7, 14, 21, 28) ORDER BY doc_id LIMIT 1""",
+FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28) ORDER BY doc_id LIMIT 1""",
+    "fail_loud": "SELECT 'ImportFormatError' AS error, true AS raised",
+    "import_file_job": f"""
+WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")},
+kept AS (SELECT count(*) AS n FROM usable), bad AS (SELECT count(*) AS n FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28))
+SELECT kept.n AS conversations, kept.n AS written, bad.n AS skipped, bad.n AS put_aside FROM kept, bad""",
+    "import_stream_restart": f"""
+WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")}
+SELECT 'kept' AS part, count(*) AS n FROM usable
+UNION ALL SELECT 'put aside', count(*) FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28)""",
     "import_skip_errors": f"""
 WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")} SELECT doc_id + 1 AS lineno, n_messages FROM usable""",
     "usable_conversations": f"""
@@ -214,11 +224,18 @@ SELECT conv_id, turn, rank // 64 AS step, rank % 64 AS "group", unnest(range(8))
 FROM ranked""",
     "truncate_tokens": f"WITH {_DATUMS} {_POSITIONS} WHERE pos < 16",
     "task_catalog": """
-SELECT 't' || p_partkey AS task_name, p_name AS instruction, p_brand AS test_script,
+SELECT 'set' || p_partkey % 3 AS dataset, 't' || p_partkey // 3 AS task_name, p_name AS instruction, p_brand AS test_script,
        p_type AS dockerfile, CASE WHEN p_partkey % 5 <> 0 THEN p_size::VARCHAR END AS task_toml
 FROM part""",
     "filter_tasks": """
 SELECT p_partkey, p_name AS task_name FROM part WHERE contains(p_name, 'ring')""",
+    "require_tasks": """
+SELECT text, CASE WHEN n > 0 THEN n END AS n FROM (
+  SELECT text, (SELECT count(*) FROM part WHERE contains(p_name, text)) AS n
+  FROM (VALUES ('ring'), ('e'), ('no part is called so')) t(text))""",
+    "limit_tasks_ties": """
+SELECT task_name, count(*) AS n FROM (
+  SELECT 't' || p_partkey % 10 AS task_name FROM part ORDER BY 1 LIMIT 25) GROUP BY task_name""",
     "limit_tasks": """
 SELECT p_partkey, p_name AS task_name FROM part WHERE contains(p_name, 'ring')
 ORDER BY p_name, p_partkey LIMIT 25""",
@@ -257,7 +274,7 @@ FROM a, b""",
     "bench_tidy": f"""
 WITH runs AS (SELECT user_id % {RECORDS} AS record_id,
   CASE event_type WHEN 'view' THEN 'native_1pass' ELSE 'custom_2pass' END AS path,
-  event_id, value FROM events WHERE event_type IN ('view', 'click')),
+  event_id, value FROM events),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY record_id, path ORDER BY event_id) AS nth FROM runs),
 sides AS (SELECT record_id, path, round(avg(value), 6) AS mean_s,
   round({TOKENS_PER_STEP} / avg(value), 6) AS rate

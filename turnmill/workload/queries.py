@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from turnmill.errors import EmptyResultError, ImportFormatError
 from turnmill.functions import chat, ratios
 from turnmill.functions.text import is_blank
 from turnmill.operators import metrics, rollouts, shaping, tasks, traces
+from turnmill.plans.import_traces import import_files
 from turnmill.session import checkpointed, fresh_dir
 from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import scan_bench_record, scan_metrics_jsonl, task_catalog
 from turnmill.sources.sinks import stage_dataset, write_messages_jsonl
 from turnmill.streaming.metrics import metric_curve_stream
 from turnmill.streaming.run import land
-from turnmill.streaming.traces import import_stream, scan_jsonl_stream
+from turnmill.streaming.traces import import_stream, scan_jsonl_stream, start_import
 from turnmill.workload import inputs
 from turnmill.workload.inputs import table
 
@@ -62,8 +64,8 @@ def json_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalize_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ("human", "AI", "Model", "tool", "function", "narrator", "SYSTEM")
-    index = ((F.col("conv_id") + F.col("turn")) % len(words)).cast("int")
-    spelled = F.get(F.array(*[F.lit(w) for w in words]), index)
+    index = ((F.col("conv_id") + F.col("turn")) % (len(words) + 1)).cast("int")
+    spelled = F.get(F.array(*[F.lit(w) for w in words], F.col("role")), index)
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", spelled.alias("spelled")
     ).withColumn("normalized", F.expr(chat.normalize_role("spelled")))
@@ -118,8 +120,53 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = import_errors(spark, sf_dir).where("error_class <> 'invalid_json'")
-    return traces.first_error(late, ["lineno"])
+    return traces.first_error(import_errors(spark, sf_dir), ["lineno"])
+
+
+def fail_loud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the error of the faulty lines says, as a row."""
+    try:
+        traces.fail_loud(import_errors(spark, sf_dir), ["lineno"])
+    except ImportFormatError as error:
+        return spark.createDataFrame([(type(error).__name__, True)], "error string, raised boolean")
+    return spark.createDataFrame([(None, False)], "error string, raised boolean")
+
+
+def require_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tasks match some texts; null where the error is raised."""
+    rows = []
+    for text in ("ring", "e", "no part is called so"):
+        try:
+            found = tasks.require_tasks(tasks.filter_tasks(_tasks(spark, sf_dir), text), "part", text)
+        except EmptyResultError:
+            found = None
+        rows.append((text, found))
+    return spark.createDataFrame(rows, "text string, n bigint")
+
+
+def import_file_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file job around faulty lines, with its quarantine: what it wrote."""
+    folder = fresh_dir(spark, "job")
+    inputs.faulty_lines(spark, sf_dir).select("value").write.text(f"{folder}/in")
+    done = import_files(spark, f"{folder}/in", f"{folder}/out", on_error="skip", quarantine=f"{folder}/bad")
+    written, bad = (spark.read.text(f"{folder}/{x}").count() for x in ("out", "bad"))
+    return spark.createDataFrame(
+        [(done.conversations, written, done.skipped, bad)], "conversations bigint, written bigint, skipped bigint, put_aside bigint"
+    )
+
+
+def import_stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming import started twice on the same output: on half of the
+    lines, then on the others in another folder; faulty lines are put aside."""
+    folder = fresh_dir(spark, "restart")
+    lines = inputs.faulty_lines(spark, sf_dir)
+    for half in (0, 1):
+        lines.where(F.col("lineno") % 2 == half).select("value").write.text(f"{folder}/in{half}")
+        stream = scan_jsonl_stream(spark, f"{folder}/in{half}")
+        start_import(stream, f"{folder}/out", quarantine=f"{folder}/bad", source=f"half{half}").awaitTermination()
+    kept = spark.read.text(f"{folder}/out").select(F.lit("kept").alias("part"))
+    bad = spark.read.json(f"{folder}/bad").select(F.lit("put aside").alias("part"))
+    return kept.unionByName(bad).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 def import_around_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,8 +339,7 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = shaping.batch_plan(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 8)
-    return shaping.training_schedule(batches, epochs=3, save_every=20, eval_every=7)
+    return shaping.training_schedule(table(spark, sf_dir, "documents"), 8, epochs=3, save_every=20, eval_every=7)
 
 
 def rollout_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,9 +361,11 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a task per part; every fifth part has no task.toml."""
+    """Files of a task per part, in three datasets with equal task names; every
+    fifth part has no task.toml, and each has an instruction that is not its own."""
     def file(name: str, text: Column) -> Column:
-        path = F.concat(F.lit("/tasks/set/t"), F.col("p_partkey"), F.lit(f"/{name}"))
+        folder = F.concat(F.lit("/tasks/set"), F.col("p_partkey") % 3, F.lit("/t"), F.expr("p_partkey DIV 3"))
+        path = F.concat(folder, F.lit(f"/{name}"))
         return F.struct(path.alias("path"), text.alias("content"))
 
     files = F.array(
@@ -325,6 +373,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         file("tests/test.sh", F.col("p_brand")),
         file("environment/Dockerfile", F.col("p_type")),
         file("notes.txt", F.lit("unread")),
+        file("solution/instruction.md", F.lit("of the solution")),
         F.when(F.col("p_partkey") % 5 != 0, file("task.toml", F.col("p_size").cast("string"))),
     )
     rows = table(spark, sf_dir, "part").select(F.explode(files).alias("f")).where("f IS NOT NULL")
@@ -339,6 +388,12 @@ def limit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.limit_tasks(filter_tasks(spark, sf_dir), 25, ["task_name", "p_partkey"])
 
 
+def limit_tasks_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks by name alone, ten names to all of them: exactly as many as asked."""
+    named = _tasks(spark, sf_dir).select(F.concat(F.lit("t"), F.col("p_partkey") % 10).alias("task_name"))
+    return tasks.limit_tasks(named, 25).groupBy("task_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def limit_tasks_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.limit_tasks(_tasks(spark, sf_dir), 1500, ["task_name", "p_partkey"])
 
@@ -379,10 +434,10 @@ def path_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _record_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timings of RECORDS benchmark runs: views are the fused path, clicks the
-    other one."""
-    events = table(spark, sf_dir, "events").where("event_type IN ('view', 'click')")
-    fused = F.col("event_type") == "view"
+    """Timings of RECORDS benchmark runs: views are the fused path, all other
+    events the other one."""
+    events = table(spark, sf_dir, "events")
+    fused = F.coalesce(F.col("event_type") == "view", F.lit(False))
     return events.select(
         (F.col("user_id") % RECORDS).alias("record_id"),
         F.when(fused, metrics.FUSED).otherwise(metrics.TWO_PASS).alias("path"),
@@ -395,16 +450,12 @@ def bench_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as pretty JSON, one file each, read and made tidy."""
     by = ["record_id", "path"]
     summary = metrics.step_timing_summary(_record_timings(spark, sf_dir), TOKENS_PER_STEP, by)
-
-    def side(path: str) -> Column:
-        fields = {"mean_s": "mean_raw", "stdev_s": "stdev_raw", "tokens_per_s": "tokens_per_s_raw"}
-        record = F.struct(*[F.round(F.col(raw), 6).alias(name) for name, raw in fields.items()])
-        return F.max(F.when(F.col("path") == path, record)).alias(path)
-
-    records = summary.groupBy("record_id").agg(side(metrics.FUSED), side(metrics.TWO_PASS))
-    body = F.to_json(F.struct(metrics.FUSED, metrics.TWO_PASS), {"pretty": "true"})
+    exact = {"mean_s": "mean_raw", "stdev_s": "stdev_raw", "tokens_per_s": "tokens_per_s_raw"}
+    records = metrics.bench_record(
+        summary.withColumns({name: F.round(raw, 6) for name, raw in exact.items()}), by=["record_id"]
+    )
     path = fresh_dir(spark, "records")
-    records.select("record_id", body.alias("value")).write.partitionBy("record_id").text(path)
+    metrics.write_bench_records(records, path, ["record_id"])
     read = scan_bench_record(spark, f"{path}/*")
     record_id = F.regexp_extract("file", r"record_id=(\d+)/", 1).cast("bigint")
     tidy = metrics.bench_tidy(read.withColumn("record_id", record_id).drop("file"))
@@ -453,6 +504,9 @@ QUERIES = {
     "import_turns": import_turns,
     "import_errors": import_errors,
     "first_error": first_error,
+    "fail_loud": fail_loud,
+    "import_file_job": import_file_job,
+    "import_stream_restart": import_stream_restart,
     "import_skip_errors": import_around_faults,
     "usable_conversations": usable_conversations,
     "limit_conversations": limit_conversations,
@@ -478,7 +532,9 @@ QUERIES = {
     "truncate_tokens": truncate_tokens,
     "task_catalog": catalog,
     "filter_tasks": filter_tasks,
+    "require_tasks": require_tasks,
     "limit_tasks": limit_tasks,
+    "limit_tasks_ties": limit_tasks_ties,
     "limit_tasks_large": limit_tasks_large,
     "truncate_output": truncate_output,
     "command_outcome": command_outcome,
