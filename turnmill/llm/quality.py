@@ -24,7 +24,7 @@ from turnmill.llm.columns import byte_rows, mix, slices, texts_of
 from turnmill.llm.network import TwoLayers, labelled_sample
 
 WORDS, DIMS = 1 << 15, 32
-_NEAR, _SIGNS, _SLICES, _RUN = 2, 4, 16, 1 << 22
+_NEAR, _SIGNS, _SLICES, _RUN = 2, 4, 16, 1 << 20
 #: Bytes of words (letters, digits and all beyond ASCII), of white space, of signs.
 _KIND = np.array([1 if chr(c).isalnum() or c >= 128 else 0 if c in (9, 10, 11, 12, 13, 32) else 2 for c in range(256)], np.int8)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))

@@ -110,4 +110,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _windows(table_: str, key: str, size: int) -> str:
+    """Windows of ``size`` words, or of all if there are fewer."""
+    return f"""SELECT DISTINCT {key}, n, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM (SELECT {key}, ws, least({size}, len(ws)) AS n, unnest(range(1, len(ws) - least({size}, len(ws)) + 2)) AS k
+        FROM {table_} WHERE len(ws) > 0)"""
+
+
+#: For what SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": rf"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS ({_windows("words", "doc_id", 5)}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.win = b.win AND a.n = b.n
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * o >= 75 * (x.n + y.n - o)),
+reached(doc_id, root) AS (SELECT doc_id, doc_id FROM documents
+  UNION SELECT links.a, reached.root FROM reached JOIN links ON links.b = reached.doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id""",
+    "op8_benchmark_decontamination": rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL),
+sought AS ({_windows("items", "item_id", 10)}),
+sizes AS (SELECT DISTINCT n FROM sought),
+held AS (SELECT doc_id, n, k, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM docs JOIN sizes ON len(ws) >= n)),
+found AS (SELECT doc_id, item_id, n, k FROM held JOIN sought USING (n, win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+}

@@ -29,6 +29,7 @@ RULES = (
     ("com/de/", "block"),
 )
 _BAD = "label=bad"
+RULE = "tokens array<string>, confidence double, lift double, support double, key string"
 
 
 def host_of(url: Column) -> Column:
@@ -73,16 +74,20 @@ def tokens_of(url: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
+def mine_rules(labelled: DataFrame, support: float, confidence: float, least: int = 20) -> DataFrame:
     """Columns tokens, confidence, lift, support and key (the rarest token) of
     the combinations that imply a bad label, from columns url and bad (boolean).
 
+    ``support`` is a share of the examples, ``least`` a number of them; both hold.
     A combination is left out if a part of it is a rule of no less confidence.
     """
+    share = max(support, least / max(1, labelled.count()))
+    if share > 1:
+        return labelled.sparkSession.createDataFrame([], RULE)
     items = labelled.select(
         F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(_BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")
     )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
     # Written down, as the rules are mined anew by every look at them.
     rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"), "mined")
