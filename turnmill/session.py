@@ -12,7 +12,8 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Let the last of several equal keys in a JSON object win, instead of
-    failing the record. Needed by everything that parses dump lines."""
+    failing the record. Needed by everything that parses dump lines; the setting
+    stays with the session."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
@@ -27,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if sc.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="turnmill-")
@@ -48,8 +49,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` written out and counted, with a broadcast hint if it has at most
-    ``max_rows`` rows; otherwise the join it goes into shuffles."""
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """``df`` written out and measured, with a broadcast hint if its rows take at
+    most ``max_bytes`` as text and overhead; otherwise the join it goes into
+    shuffles. The results are the same."""
     written = checkpointed(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    row = F.octet_length(F.to_csv(F.struct("*"))) + F.lit(64)
+    size = written.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0]
+    return F.broadcast(written) if size <= max_bytes else written

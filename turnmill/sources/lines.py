@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnmill.operators.ranks import grouped_offsets
 from turnmill.session import broadcast_if_small, checkpointed
 
-# One row per split, some 150 bytes each: 1.2 million rows stay below 200 MB
-# and cover 150 TB in splits of 128 MB. Beyond that the offsets are shuffled.
-BROADCAST_SPLITS = 1_200_000
+# Most bytes of split offsets that are broadcast.
+BROADCAST_BYTES = 64 << 20
 
 # Splits of one file whose counts are summed in one go.
 _SPLITS_PER_GROUP = 4096
@@ -72,7 +71,7 @@ def number_lines(placed: DataFrame) -> DataFrame:
         order="split_start",
         group=F.floor(F.col("split_start") / F.lit(_group_span(placed.sparkSession))),
     ).select(*split, "task", (F.col("before") - F.col("first_row")).alias("shift"))
-    offsets = broadcast_if_small(offsets, BROADCAST_SPLITS)
+    offsets = broadcast_if_small(offsets, BROADCAST_BYTES)
     matched = placed.withColumn("task", task).join(offsets, [*split, "task"], "left")
     lineno = F.coalesce(
         F.col("row_id") + F.col("shift") + 1,
