@@ -4,7 +4,7 @@ The forest is fitted on a bounded sample; every vector is then dropped down ever
 tree. A query walks all trees through one priority queue, nearest side first and
 the far sides by their distance from the split, until it has its leaves. Leaves
 meet their queries in a shuffle; candidates are reranked by exact cosine there,
-and only each leaf's best leave it.
+and only the best of each query leave a task.
 
 Equal vectors are one, with its smallest ids (k + 1 of them: by the order of ties
 no other copy can be among k neighbours), so a vector that a third of the rows
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from turnmill.llm.tables import stored
 
+_HELD = 50_000  # queries whose best a task keeps
 _LEAVES = "leaf long, kind int, ids array<long>, vector array<double>"
 
 
@@ -144,12 +145,14 @@ def _placed(shared, dims: int, queries: bool, most: int) -> Callable:
 
 
 def _reranked(dims: int, k: int) -> Callable:
-    """A leaf's queries come before its vectors; per query, the best leave it."""
+    """A leaf's queries come before its vectors; the best of each query leave the
+    task, once for all of its leaves while they fit in memory."""
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, queries, best = None, [], {}
+        leaf, queries, best = None, [], {}  # best: of each query, by a vector's first id
 
         def done() -> pa.RecordBatch:
-            rows = [(q, ids, s) for q, found in best.items() for s, ids in found]
+            rows = [(q, ids, s) for q, found in best.items() for s, ids in found.values()]
+            best.clear()
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64())), pa.array(columns[2], pa.float64())],
@@ -166,9 +169,9 @@ def _reranked(dims: int, k: int) -> Callable:
             edges = np.flatnonzero(np.concatenate(([True], (leaves[1:] != leaves[:-1]) | (kinds[1:] != kinds[:-1]))))
             for a, b in zip(edges, [*edges[1:], len(leaves)], strict=True):
                 if leaves[a] != leaf:
-                    if best:
+                    if len(best) > _HELD:
                         yield done()
-                    leaf, queries, best = leaves[a], [], {}
+                    leaf, queries = leaves[a], []
                 if kinds[a] == 0:
                     queries += [(ids[0], points[r], lengths[r]) for r, ids in zip(range(a, b), batch.column(2).slice(a, b - a).to_pylist(), strict=True)]
                     continue
@@ -181,9 +184,8 @@ def _reranked(dims: int, k: int) -> Callable:
                     top = np.argsort(-scores, kind="stable")
                     last = scores[top[min(k, len(top) - 1)]]
                     top = top[scores[top] >= last]
-                    found = [*best.get(q, []), *((float(scores[r]), ids[r]) for r in top)]
-                    found.sort(key=lambda x: (-x[0], x[1]))
-                    best[q] = found[: k + 1]
+                    found = best.get(q, {}) | {ids[r][0]: (float(scores[r]), ids[r]) for r in top}
+                    best[q] = dict(sorted(found.items(), key=lambda x: (-x[1][0], x[0]))[: k + 1])
         if best:
             yield done()
 
