@@ -71,7 +71,7 @@ def _spans(span: int, buckets: int) -> Callable:
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             data, limits = byte_rows(batch.column(1))
-            for i, j in slices(limits, 1 << 22):
+            for i, j in slices(limits, 1 << 20):
                 _, hashes, ends = sentences_of(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
                 n = np.diff(ends)
                 length = np.minimum(n, span)
@@ -149,7 +149,8 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, block: int = 12 << 20)
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, limits = byte_rows(batch.column(1))
-            n = np.diff(sentences_of(data, limits)[2]) if batch.num_rows else np.zeros(0, np.int64)
+            parts = [np.diff(sentences_of(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])[2]) for i, j in slices(limits, 1 << 20)]
+            n = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["doc_id", "text_bytes", "n_sentences", "n_removed"])
 
     return cut.unionByName(clean.unionByName(whole).mapInArrow(counted, _RESULT))
