@@ -48,7 +48,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeated_spans(table(spark, sf_dir, "documents"))
+    kept = remove_repeated_spans(table(spark, sf_dir, "documents"), words=50)
     return kept.select("doc_id", "n_sentences", "n_removed", F.sha2("text_bytes", 256).alias("kept_sha256"))
 
 

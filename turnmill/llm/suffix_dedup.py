@@ -54,14 +54,16 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of some bytes, from running sums."""
+    """Hashes of any substring of some bytes, or of some words given by 64-bit
+    hashes, from running sums."""
 
     def __init__(self, data: np.ndarray):
         if getattr(Hashes, "size", 0) < len(data) + 1:
             Hashes.size = len(data) + 1
             Hashes.up, Hashes.down = _powers(_BASE, Hashes.size), _powers(_INVERSE, Hashes.size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * Hashes.up[: len(data)], out=self.sums[1:])
+        values = data if data.dtype == np.uint64 else _BYTE[data]
+        np.cumsum(values * Hashes.up[: len(data)], out=self.sums[1:])
 
     def at(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * Hashes.down[starts])
@@ -272,7 +274,11 @@ def _by_document(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple
             yield int(doc), int(copy), batch.column("c0")[i].as_buffer(), own
 
 
-def _suffixes(length: int, buckets: int) -> Callable:
+def _bytes_of(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8)
+
+
+def _suffixes(length: int, buckets: int, symbols: Callable[[bytes], np.ndarray] = _bytes_of) -> Callable:
     """The suffixes of places that are to be sorted, packed by bucket."""
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Columns] = []
@@ -288,7 +294,7 @@ def _suffixes(length: int, buckets: int) -> Callable:
         for doc, copy, text, places in _by_document(batches, _OPEN):
             if not len(places["lo"]):
                 continue
-            data = np.frombuffer(text, np.uint8)
+            data = symbols(text)
             # Only the stretches that the places reach over are hashed.
             begin, end = places["lo"], places["hi"] + length
             apart = np.concatenate(([True], begin[1:] > np.maximum.accumulate(end)[:-1]))
