@@ -2,8 +2,9 @@
 
 Labelled URLs become sets of tokens (host words, host endings, path words, file
 ending, query keys) with an item for a bad label; Spark's FP-growth finds the
-combinations that are frequent, and those that imply the bad label with enough
-confidence and support are kept. A rule is listed in an inverted index under its
+combinations that a fixed number of examples have, alike at every size of the
+input, and those that imply the bad label with enough confidence, and surely more
+often than chance, are kept. A rule is listed in an inverted index under its
 rarest token; a URL looks its own tokens up and verifies the whole combination.
 
 DataFrame expressions only. Distinct URLs are matched, so a URL that a third of
@@ -29,6 +30,7 @@ RULES = (
     ("com/de/", "block"),
 )
 _BAD = "label=bad"
+_Z = 2.576
 RULE = "tokens array<string>, confidence double, lift double, support double, key string"
 
 
@@ -78,18 +80,25 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, least: in
     """Columns tokens, confidence, lift, support and key (the rarest token) of
     the combinations that imply a bad label, from columns url and bad (boolean).
 
-    ``support`` is a share of the examples, ``least`` a number of them; both hold.
-    A combination is left out if a part of it is a rule of no less confidence.
+    ``support`` is a share of the examples, ``least`` a number of bad ones; both
+    hold. The lower bound of a rule's confidence (Wilson, 99.5 %) must be above the
+    share of bad examples, so that a rule's lift is above 1. A combination is left
+    out if a part of it is a rule of no less confidence.
     """
-    share = max(support, least / max(1, labelled.count()))
-    if share > 1:
+    total, bad = labelled.agg(F.count("*"), F.coalesce(F.count_if("bad"), F.lit(0))).first()
+    # FP-growth asks for the next whole number of examples from share * total on.
+    share = max(support, (least - 0.5) / max(1, total))
+    if least > total or share > 1:
         return labelled.sparkSession.createDataFrame([], RULE)
     items = labelled.select(
         F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(_BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")
     )
     model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
     # Written down, as the rules are mined anew by every look at them.
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BAD)))
+    n = F.col("support") * total / F.col("confidence")
+    spread = _Z * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / n + _Z**2 / (4 * n * n))
+    bound = (F.col("confidence") + _Z**2 / (2 * n) - spread) / (1 + _Z**2 / n)
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(_BAD))) & (bound > bad / total))
     rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"), "mined")
     # Each rule against those of one token less, found by the rest of its tokens.
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
@@ -104,7 +113,7 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, least: in
 
 
 def judge_urls(
-    pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, support: float = 0.002, confidence: float = 0.6
+    pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, support: float = 0.0, confidence: float = 0.6
 ) -> DataFrame:
     """Of every page: page_id, host, path, rule, verdict, learned_tokens and
     learned_confidence (of the surest mined rule that fits; null without one).
