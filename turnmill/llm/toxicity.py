@@ -8,7 +8,8 @@ below zero, steps back instead (Kiryo and others, 2017).
 
 The classifiers are linear in the distinct words of a text and their beginnings
 of four to six bytes, hashed; three of them with orders of their own, averaged.
-One pass over the texts scores them; training reads its sample once.
+One pass over the texts scores them; training reads its sample once, and counts
+the features of confirmed texts in all documents.
 """
 
 from __future__ import annotations
@@ -178,17 +179,43 @@ def fit_nnpu(
     return w[:-1], float(w[-1])
 
 
+def _counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of all documents, and how many of them have each known feature."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        total = np.zeros(len(own) + 1, np.int64)
+        n = 0
+        for batch in batches:
+            data, limits = byte_rows(batch.column(1))
+            n += batch.num_rows
+            for i, j in slices(limits, _RUN):
+                cells, _ = features(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+                total += np.bincount(_places(own, cells), minlength=len(own) + 1)
+        total[-1] = n
+        which = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], ["place", "n"])
+
+    got = texts_of(docs).mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(known) + 1, np.int64)
+    for place, n in got:
+        out[place] = n
+    return int(out[-1]), out[:-1]
+
+
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, unlabelled: int = 6_000, positives: int = 4_000
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, unlabelled: int = 6_000, positives: int = 4_000, least: int = 3
 ) -> ToxicityModel:
     """Fits the classifiers.
 
     Confirmed examples are at most ``positives`` of at most ``most`` labelled
     documents of the training fold; their share of these is the class prior.
     Unlabelled text is that of ``unlabelled`` documents by hash of the id, or of
-    all if there are fewer. Only features weigh that at least three confirmed
-    texts and one in forty have (copies count once), and confirmed texts at least half as much
-    oftener than unlabelled ones as the prior lets features of toxic texts be.
+    all if there are fewer. Only features weigh that at least ``least`` confirmed
+    texts have, however many these are (copies count once), and confirmed texts at
+    least half as much oftener than all documents as the prior lets features of
+    toxic texts be.
 
     Null text is empty; empty texts score by the bias alone. Null and repeated
     doc_ids are scored row by row. Without confirmed examples or unlabelled text
@@ -210,11 +237,10 @@ def train_toxicity(
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
     single = [one[k] for k in _without_copies(one)]
     known, times = np.unique(np.concatenate(single), return_counts=True)
-    many = times >= max(3, 0.025 * len(single))
-    known, in_one = known[many], times[many]
-    in_rest = np.bincount(_places(known, np.concatenate(rest)), minlength=len(known) + 1)[:-1]
+    known, in_one = known[times >= least], times[times >= least]
+    total_docs, in_all = _counts(docs, known)
     # What only toxic texts have is 1 / prior times as frequent in confirmed ones.
-    known = known[in_one * len(rest) * prior > 0.5 * (in_rest + 1) * len(single)]
+    known = known[in_one * total_docs * prior > 0.5 * (in_all + 1) * len(single)]
     one, rest = ([p[p < len(known)] for p in (_places(known, c) for c in rows)] for rows in (one, rest))
     fits = [fit_nnpu(one, rest, len(known), prior, seed) for seed in (1, 2, 3)]
     return ToxicityModel(known, np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits])))
