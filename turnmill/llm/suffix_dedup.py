@@ -1,18 +1,17 @@
-"""Removal of repeated byte strings by blockwise suffix sorting.
+"""Removal of repeated byte strings by content-chosen hashing.
 
 Whether a string of ``length`` bytes occurs before is a question about equal
-prefixes of suffixes. Suffixes are sorted in blocks, and long ties are settled by
-the ranks of a sample of suffixes that is made first, as in blockwise suffix
-array construction with a difference cover. Two things follow from the size of
-the corpus:
+prefixes of suffixes. There is no suffix order and no difference cover here:
+places chosen by content gather the suffixes that may be equal, and hashes settle
+which are. Two things follow from the size of the corpus:
 
-- The cover sample is chosen by content: of every ``length`` bytes, the place
+- The sample of places is chosen by content: of every ``length`` bytes, the place
   whose first half-length string has the least hash. Equal strings hold equal
   sample places at equal offsets, which is what a cover is for, but one place in
   26 is enough for 100 bytes where an arithmetic cover takes one in six.
 - A suffix belongs to the bucket of its sample place. All suffixes of one place
   that reach over the same bytes (its context) are equal or not together, so the
-  place's rank, a hash of the half-length string and of the context, settles
+  place's hashes, of the half-length string and of the context, settle
   them all at once. Only the first place of every context in a bucket that has
   several contexts is sorted suffix by suffix, each suffix by its offset and the
   hash of its ``length`` bytes.
