@@ -9,8 +9,9 @@ are bounded alike.
 
 Queries are looked up in batches, a batch of them in all sketches of a task as one
 matrix product. A first look-up picks, for every query, the documents of the
-highest bound after the part that chance collisions explain; their exact scores
-give a threshold that the last result cannot fall below. A second look-up returns
+highest expected score, in which a cell counts by the chance that its term is
+truly there (how many documents hold it, against how full the sketch is); their
+exact scores give a threshold that the last result cannot fall below. A second look-up returns
 each document whose bound reaches the threshold; these texts are read again, and
 scored exactly from the highest bound down until the bounds are below the best
 scores met. No document is left out unless its bound excludes it.
@@ -132,11 +133,14 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lookup:
-    """A batch of queries: its terms ascending, their weights, and of every query
-    the places of its terms. Lengths of documents are weighed by the corpus."""
-
-    def __init__(self, terms: np.ndarray, weights: np.ndarray, owners: np.ndarray, places: np.ndarray, documents: int, words: int):
-        self.terms, self.weights, self.documents, self.words = terms, weights, documents, words
+    """A batch of queries: its terms ascending, how many documents hold each,
+    their weights, and of every query the places of its terms. Lengths of
+    documents are weighed by the corpus."""
+
+    def __init__(self, terms: np.ndarray, holders: np.ndarray, owners: np.ndarray, places: np.ndarray, documents: int, words: int):
+        self.terms, self.documents, self.words = terms, documents, words
+        self.weights = np.floor(1000 * np.log((2 * documents + 2) / (2 * holders + 1))).astype(np.int64)
+        self.share = (holders + 0.5) / (documents + 1)
         order = np.argsort(owners, kind="stable")
         self.places = places[order]
         self.limits = np.searchsorted(owners[order], np.arange(owners.max() + 2))
@@ -150,11 +154,10 @@ class Lookup:
         out[self.places, np.repeat(np.arange(self.items), np.diff(self.limits))] = self.weights[self.places]
         return out
 
-    def bounds(self, data: np.ndarray, limits: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of runs of sketches: their rows, a bound of every query's score, and
-        how much of it collisions would give by chance."""
+    def sums(self, data: np.ndarray, limits: np.ndarray, n: np.ndarray, expected: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of runs of sketches: their rows, and a bound of every query's score, or
+        else the score ``expected``."""
         matrix = self.matrix()
-        total = matrix.sum(0)
         # Sums of single precision, held above the true ones.
         margin = np.float32(1 + 2.0**-22 * (2 + np.diff(self.limits).max()))
         sizes = np.diff(limits) // MAPPINGS
@@ -173,10 +176,12 @@ class Lookup:
                 x, y = np.nonzero(least)
                 tf = least[x, y].astype(np.int64)
                 held = np.zeros(least.shape, np.float32)
-                held[x, y] = np.where(tf == _FULL, _MOST, impacts(tf, m[rows][x]))
-                filled = (cells.reshape(len(rows), MAPPINGS, -1) > 0).mean(2).prod(1)
-                chance = (filled * impacts(np.ones(len(rows), np.int64), m[rows]))[:, None] * total[None, :]
-                yield rows, held @ matrix * margin, chance
+                impact = np.where(tf == _FULL, _MOST, impacts(tf, m[rows][x]))
+                if expected:
+                    filled = (cells.reshape(len(rows), MAPPINGS, -1) > 0).mean(2).prod(1)[x]
+                    impact = impact * (self.share[y] / (self.share[y] + (1 - self.share[y]) * filled))
+                held[x, y] = impact
+                yield rows, held @ matrix * margin
 
     def scores(self, texts: tuple[np.ndarray, np.ndarray], rows: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Exact scores of pairs of a text (ascending) and a query."""
@@ -220,12 +225,11 @@ def _seeds(shared, most: int) -> Callable:
 
         for batch in batches:
             doc, known = batch.column(0).fill_null(0).to_numpy(), ~np.asarray(batch.column(0).is_null())
-            for rows, bound, chance in lookup.bounds(*byte_rows(batch.column(2)), batch.column(1).to_numpy()):
-                guess = np.where(bound > 0, bound - chance, -np.inf)
+            for rows, guess in lookup.sums(*byte_rows(batch.column(2)), batch.column(1).to_numpy(), expected=True):
                 some = min(most, len(rows))
                 top = np.argpartition(-guess, some - 1, axis=0)[:some]
                 for item in range(lookup.items):
-                    own = top[:, item][np.isfinite(guess[top[:, item], item])]
+                    own = top[:, item][guess[top[:, item], item] > 0]
                     if len(own):
                         best[item].append((guess[own, item], doc[rows[own]], known[rows[own]]))
                         if len(best[item]) > 8:
@@ -247,7 +251,7 @@ def _reaching(shared, least: np.ndarray) -> Callable:
         lookup = _lookup(shared.value)
         for batch in batches:
             doc = batch.column(0)
-            for rows, bound, _ in lookup.bounds(*byte_rows(batch.column(2)), batch.column(1).to_numpy()):
+            for rows, bound in lookup.sums(*byte_rows(batch.column(2)), batch.column(1).to_numpy()):
                 x, item = np.nonzero(bound >= least[None, :])
                 out = [pa.array(item.astype(np.int32)), doc.take(pa.array(rows[x])), pa.array(bound[x, item].astype(np.float64))]
                 yield pa.RecordBatch.from_arrays(out, ["item", "doc_id", "bound"])
@@ -374,12 +378,11 @@ def rank_documents(docs: DataFrame, queries: DataFrame, k: int = 50, seeds: int
         sought, places = np.unique(hashes, return_inverse=True)
         counts = index.sketches.where("terms is not null").select("terms", "holders")
         counts = counts.mapInArrow(_holders_of(spark.sparkContext.broadcast(sought)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        df = np.zeros(len(sought), np.int64)
+        holders = np.zeros(len(sought), np.int64)
         for r in counts.collect():
-            df[np.searchsorted(sought, np.array([r.term], np.int64).view(np.uint64)[0])] = r.n
-        weights = np.floor(1000 * np.log((2 * index.documents + 2) / (2 * df + 1))).astype(np.int64)
+            holders[np.searchsorted(sought, np.array([r.term], np.int64).view(np.uint64)[0])] = r.n
         owners = np.array([number[r.item_id] for r in mine])
-        found = search(docs, index, (sought, weights, owners, places, index.documents, index.words), k, seeds or 4 * k)
+        found = search(docs, index, (sought, holders, owners, places, index.documents, index.words), k, seeds or 4 * k)
         names = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "item int, item_id long"))  # of one batch
         parts.append(found.join(names, "item").select("item_id", "rank", "doc_id", "score"))
     out = parts.pop(0)
