@@ -13,6 +13,7 @@ from turnmill.llm.licenses import scan_licenses
 from turnmill.llm.neighbours import nearest
 from turnmill.llm.network import training_fold
 from turnmill.llm.packing import pack_sequences
+from turnmill.llm.prefix_trie import prefix_trie
 from turnmill.llm.quality import train_quality
 from turnmill.llm.sentence_spans import remove_repeated_spans
 from turnmill.llm.suffix_dedup import remove_repeats
@@ -99,6 +100,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_packing,
         op11_lexical_search,
+        op13_prefix_trie,
     )
 }
 
@@ -171,4 +177,31 @@ scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20
   FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN factors USING (doc_id) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
 SELECT item_id, place::INT AS rank, doc_id, score FROM ranked WHERE place <= 50""",
+    "op13_prefix_trie": """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 of the decimal id: every byte is put in, then eight steps are taken
+heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1),
+        lambda i: list_concat([ascii(conv_id::VARCHAR[i])::BIGINT], list_transform(range(8), lambda j: (-1)::BIGINT))))),
+    lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+parts AS (SELECT c.conv_id, 0 AS part, t.k, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = base WHERE t.k <= h
+  UNION ALL SELECT c.conv_id, 1, t.k, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.conv_id WHERE t.k > h),
+rebuilt AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS depth FROM parts),
+prefixes AS (SELECT conv_id, depth, length(text) AS chars,
+    md5(string_agg(md5(role || chr(0) || text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+    count(*) OVER (PARTITION BY conv_id) AS size FROM rebuilt),
+members AS (SELECT conv_id, depth, chars, node, lag(node, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = size AS last
+  FROM prefixes UNION ALL SELECT conv_id, 0, 0, 'root', NULL, conv_id NOT IN (SELECT conv_id FROM rebuilt) FROM heads),
+nodes AS (SELECT node, depth, chars, parent, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends FROM members GROUP BY ALL),
+kids AS (SELECT parent AS node, count(*) AS kids FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS node, b.node AS other FROM members a JOIN members b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT below.node, count(*) FILTER (WHERE kids IS NULL) AS leaves, sum((n - 1) * chars) AS saved
+  FROM below JOIN nodes o ON o.node = other LEFT JOIN kids ON kids.node = other GROUP BY below.node)
+SELECT x.conv_id, x.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids, 0)::BIGINT AS n_children,
+       leaves AS n_leaves, saved::BIGINT AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN sums USING (node) LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN kids ON kids.node = x.node""",
 }
