@@ -54,7 +54,7 @@ def corpus(seed=1):
     rng = random.Random(seed)
     rows = []
     for c in [*range(0, 12), *range(100, 130), *range(400, 406), -7, -100, -130]:
-        rows += [(c, k, rng.choice(["user", "assistant", None]), rng.choice(["", "é", "a b", None, "𝄞x"])) for k in range(rng.randint(0, 9))]
+        rows += [(c, k, rng.choice(["user", "assistant", None]), rng.choice(["", "é", "a b", None, "𝄞x", "é" * 130, "x" * 200, "y" * 511])) for k in range(rng.randint(0, 9))]
     deep = [("user", f"t{k % 7}") for k in range(70)]
     for c in range(600, 630):
         n = rng.choice([12, 40, 66, 70])
@@ -90,7 +90,7 @@ def test_a_very_long_text_and_role(spark):
 
 
 def test_peeling_without_a_cluster():
-    chars = (5).to_bytes(8, "little")
+    chars = (5).to_bytes(8, "big")
     a, b, c = (bytes([x]) * 16 for x in (1, 2, 3))
     rows = [(a + b, chars * 2, 2, 2, 4, 0, 0, 0, "x"), (a + c, chars * 2, 2, 1, 3, 0, 0, 0, "y"), (a, chars, 1, 1, 9, 0, 0, 0, "z")]
     nodes, left = peel(rows, 0)

@@ -85,7 +85,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             key = hashlib.blake2b(key + digest, digest_size=KEY).digest()
             path += key
-            chars += length.to_bytes(8, "little")
+            chars += length.to_bytes(8, "big")
         if len(out) > 1000:
             yield _table(out, [pa.binary(), pa.binary(), pa.int64()], ["path", "chars", "conv_id"])
             out = []
@@ -145,7 +145,7 @@ def peel(rows: list[tuple], top: int) -> tuple[list[tuple], list[tuple]]:
         for key, (path, chars, low, n, kids, leaves, saved, ends) in level.items():
             parent = path[KEY * (depth - 2) : KEY * (depth - 1)] if depth > 1 else b""
             leaves = leaves if kids else 1
-            saved += (n - 1) * int.from_bytes(chars[8 * (depth - 1) : 8 * depth], "little")
+            saved += (n - 1) * int.from_bytes(chars[8 * (depth - 1) : 8 * depth], "big")
             nodes.append((key, parent, depth, low, n, kids, leaves, saved, ends))
             _merged(above, parent, [path, chars, low, n, 1, leaves, saved, None])
         level = above
@@ -187,7 +187,7 @@ def _peel_level(state: DataFrame, depth: int, name: str) -> tuple[DataFrame, Dat
     """All rows end at ``depth``: its nodes, and what survives above it."""
     sums = [F.sum(c).alias(c) for c in ("n", "kids", "leaves", "saved")]
     merged = stored(state.groupBy("path", "chars").agg(*sums, F.min("low").alias("low"), F.max("ends").alias("ends")), name)
-    last = F.conv(F.hex(F.reverse(F.col("_last"))), 16, 10).cast("long") if depth else F.lit(0)
+    last = F.conv(F.hex("_last"), 16, 10).cast("long") if depth else F.lit(0)
     merged = merged.withColumn("_last", F.substring("chars", 8 * depth - 7, 8)) if depth else merged
     complete = merged.select(
         "path", "chars", "n", "low", "kids", "ends",

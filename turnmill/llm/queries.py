@@ -184,7 +184,7 @@ WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS
 -- crc32 of the decimal id: every byte is put in, then eight steps are taken
 heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT,
       flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1),
-        lambda i: list_concat([ascii(conv_id::VARCHAR[i])::BIGINT], list_transform(range(8), lambda j: (-1)::BIGINT))))),
+        lambda i: list_concat([ascii((conv_id::VARCHAR)[i])::BIGINT], list_transform(range(8), lambda j: (-1)::BIGINT))))),
     lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384::BIGINT * (c & 1)) END), 4294967295::BIGINT) % 6 AS h
   FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
 parts AS (SELECT c.conv_id, 0 AS part, t.k, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = base WHERE t.k <= h
