@@ -10,6 +10,7 @@ from turnmill.llm.decontamination import contamination
 from turnmill.llm.jaccard_join import similarity_join
 from turnmill.llm.lexical_search import rank_documents
 from turnmill.llm.licenses import scan_licenses
+from turnmill.llm.minhash_join import minhash_join
 from turnmill.llm.neighbours import nearest
 from turnmill.llm.network import training_fold
 from turnmill.llm.packing import pack_sequences
@@ -100,6 +101,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = minhash_join(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_packing,
         op11_lexical_search,
+        op12_minhash_dedup,
         op13_prefix_trie,
     )
 }
@@ -135,20 +142,25 @@ def _windows(table_: str, key: str, size: int) -> str:
         FROM {table_} WHERE len(ws) > 0)"""
 
 
-#: For what SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {
-    "op6_jaccard_join": rf"""
+def _linked(percent: int, more: str = "") -> str:
+    """Components of documents whose sets of shingles are similar."""
+    return rf"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sets AS ({_windows("words", "doc_id", 5)}),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sets a JOIN sets b ON a.win = b.win AND a.n = b.n
   WHERE a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
-  WHERE 100 * o >= 75 * (x.n + y.n - o)),
+  WHERE 100 * o >= {percent} * (x.n + y.n - o)),
 reached(doc_id, root) AS (SELECT doc_id, doc_id FROM documents
   UNION SELECT links.a, reached.root FROM reached JOIN links ON links.b = reached.doc_id)
-SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
-FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id""",
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id{more}
+FROM documents d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id"""
+
+
+#: For what SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op6_jaccard_join": _linked(75),
     "op8_benchmark_decontamination": rf"""
 WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
@@ -177,6 +189,7 @@ scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20
   FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN factors USING (doc_id) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0)
 SELECT item_id, place::INT AS rank, doc_id, score FROM ranked WHERE place <= 50""",
+    "op12_minhash_dedup": _linked(85, ", d.doc_id = min(root) AS kept"),
     "op13_prefix_trie": """
 WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
