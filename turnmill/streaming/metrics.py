@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnmill.operators.metrics import CORRECT_METRIC, metric_curve
 from turnmill.session import prepare
-from turnmill.functions.chat import json_record
-from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import METRICS_FILE, json_row, run_id_of
-from turnmill.sources.sinks import file_system
+from turnmill.sources.tail import scan_appended_lines
+from turnmill.streaming.run import land
 
 
 def metric_curve_stream(
@@ -20,7 +19,8 @@ def metric_curve_stream(
     run_pattern: str = METRICS_FILE,
 ) -> DataFrame:
     """(run_id, step, value) of new metrics files, append mode. A file counts as
-    it is when it is first seen; for files that grow, see ``append_curve``."""
+    it is when it is first seen; for files that grow, see
+    ``metric_curve_tail``."""
     prepare(spark)
     rows = spark.readStream.text(path).select(
         run_id_of(F.col("_metadata.file_path"), run_pattern).alias("run_id"),
@@ -29,26 +29,33 @@ def metric_curve_stream(
     return metric_curve(rows, key, scale)
 
 
+def metric_curve_tail(
+    spark: SparkSession,
+    path: str,
+    key: str = CORRECT_METRIC,
+    scale: float = 100.0,
+    run_pattern: str = METRICS_FILE,
+) -> DataFrame:
+    """(run_id, file, start, step, value) of metrics files that trainers append
+    to, append mode: every trigger reads the lines that were finished since the
+    last one, and no byte before them. ``start`` is where the line of the point
+    begins in its file. A finished line that is no JSON fails the query."""
+    prepare(spark)
+    rows = scan_appended_lines(spark, path).where("value <> ''").select(
+        run_id_of(F.col("file"), run_pattern).alias("run_id"), "file", "start", json_row("value").alias("row")
+    )
+    return metric_curve(rows, key, scale)
+
+
 def append_curve(
     spark: SparkSession, path: str, out: str, key: str = CORRECT_METRIC, scale: float = 100.0, run_pattern: str = METRICS_FILE
 ) -> DataFrame:
     """Bring the curve at ``out`` (Parquet) up to what the metrics files hold now
-    and return it: run_id, step, value, and the file and line of each point.
+    and return it, the columns of ``metric_curve_tail``.
 
-    For files that trainers append to: of each file, the lines after its last
-    point in ``out`` are read as rows; points are added once. A last line that is
-    no JSON yet is still being written and waits for the next call; any other
-    such line fails the job. Run it again and again, by one writer at a time.
+    What was read is kept in the checkpoint in ``out``: a call reads the lines
+    added since the last one and adds their points once, also when a call before
+    failed half way. A line that is not finished waits for the next call. Run it
+    again and again, by one writer at a time.
     """
-    prepare(spark)
-    lines = scan_jsonl(spark, path, line_numbers=True)
-    fs, folder = file_system(spark, out)
-    if fs.exists(folder):
-        last = spark.read.parquet(out).groupBy("file").agg(F.max("lineno").alias("_last"))
-        lines = lines.join(last, "file", "left").where(F.coalesce(F.col("lineno") > F.col("_last"), F.lit(True))).drop("_last")
-    ends = lines.groupBy("file").agg(F.max("lineno").alias("_end"))
-    open_ = (F.col("lineno") == F.col("_end")) & F.expr(json_record("value")).isNull()
-    lines = lines.join(ends, "file").where(~open_)
-    rows = lines.select(run_id_of(F.col("file"), run_pattern).alias("run_id"), "file", "lineno", json_row("value").alias("row"))
-    metric_curve(rows, key, scale).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    return land(metric_curve_tail(spark, path, key, scale, run_pattern), out)

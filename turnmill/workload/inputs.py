@@ -6,8 +6,13 @@ key: every text line of a document is one message.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from turnmill.sources.tail import file_system_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -212,6 +217,46 @@ def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def append_lines(lines: DataFrame, path: str, part: str) -> None:
+    """As trainers do, add lines to ``path``/run/metrics.jsonl in the order of
+    step, a run by one task: those of every step that 3 divides and an unfinished
+    one (``part`` 'first'), or what the file still lacks."""
+    _, folder = file_system_of(path)
+
+    def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = file_system_of(path)
+        run, sink = None, None
+        for batch in batches:
+            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != run:
+                    if sink:
+                        sink.close()
+                    store.create_dir(f"{folder}/{own}", recursive=True)
+                    file = f"{folder}/{own}/metrics.jsonl"
+                    sink = store.open_output_stream(file) if part == "first" else store.open_append_stream(file)
+                    run = own
+                sink.write(value.encode())
+        if sink:
+            sink.close()
+        yield from ()
+
+    # The first line of the rest is cut in two: its head is written at once.
+    rest = F.col("step") % 3 != 0
+    first = lines.where(rest).groupBy("run_id").agg(F.min("step").alias("step")).withColumn("cut", F.lit(True))
+    line = F.concat("value", F.lit("\n"))
+    marked = lines.join(first, ["run_id", "step"], "left")
+    head, tail = F.substring(line, 1, 9), F.expr("substring(concat(value, '\n'), 10)")
+    if part == "first":
+        text = F.when(rest, F.when(F.col("cut"), head)).otherwise(line)
+        place = F.col("cut").isNotNull()
+    else:
+        text = F.when(rest, F.when(F.col("cut"), tail).otherwise(line))
+        place = F.col("cut").isNull()
+    rows = marked.select("run_id", text.alias("text"), place.alias("place"), "step").where("text is not null")
+    dealt = rows.repartition("run_id").sortWithinPartitions("run_id", "place", "step").select("run_id", "text")
+    dealt.mapInArrow(appended, "done boolean").count()
+
+
 def rollout_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Command results from ``lineitem``: the order is the task."""
     n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")

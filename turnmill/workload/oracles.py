@@ -294,5 +294,8 @@ SELECT event_type AS run_id, event_id AS step, 100 * {_METRIC} AS value
 FROM events WHERE event_id % 5 < 2""",
     "metric_curve_stream": f"""
 SELECT event_type AS run_id, event_id AS step, 100 * {_METRIC} AS value
+FROM events WHERE event_id % 5 < 2""",
+    "metric_curve_growing": f"""
+SELECT event_type AS run_id, event_id AS step, 100 * {_METRIC} AS value
 FROM events WHERE event_id % 5 < 2""",
 }

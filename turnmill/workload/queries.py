@@ -13,7 +13,7 @@ from turnmill.session import checkpointed, fresh_dir
 from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import scan_bench_record, scan_metrics_jsonl, task_catalog
 from turnmill.sources.sinks import stage_dataset, write_messages_jsonl
-from turnmill.streaming.metrics import metric_curve_stream
+from turnmill.streaming.metrics import append_curve, metric_curve_stream
 from turnmill.streaming.run import land
 from turnmill.streaming.traces import import_stream, scan_jsonl_stream, start_import
 from turnmill.workload import inputs
@@ -492,6 +492,17 @@ def stream_metric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return land(curve, fresh_dir(spark, "curve"))
 
 
+def growing_metric_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per run, which grows between two triggers: a third of its lines
+    with the beginning of the next one, then the rest."""
+    path, out = fresh_dir(spark, "growing"), fresh_dir(spark, "curve")
+    lines = inputs.metric_lines(spark, sf_dir).withColumn("step", F.get_json_object("value", "$.step").cast("long"))
+    for half in ("first", "then"):
+        inputs.append_lines(lines, path, half)
+        curve = append_curve(spark, f"{path}/*/metrics.jsonl", out)
+    return curve.select("run_id", "step", "value")
+
+
 QUERIES = {
     "scan_jsonl": scan_lines,
     "json_record": json_record,
@@ -546,4 +557,5 @@ QUERIES = {
     "scan_metrics_jsonl": scan_metrics,
     "metric_curve": metric_curve,
     "metric_curve_stream": stream_metric_curve,
+    "metric_curve_growing": growing_metric_curve,
 }
