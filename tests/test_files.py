@@ -7,7 +7,9 @@ from pyspark.errors import PySparkException
 
 from turnmill.errors import EmptyResultError, ImportFormatError
 from turnmill.operators.traces import import_conversations, import_errors
-from turnmill.plans.import_traces import import_files, input_files
+from turnmill.plans.import_traces import import_files
+from turnmill.sources import ranges
+from turnmill.sources.ranges import Span, files_in_order, scan_spans, waves
 from turnmill.sources.lines import number_lines, scan_jsonl
 from turnmill.sources.records import (
     scan_bench_record,
@@ -121,14 +123,75 @@ def test_import_limit_over_many_files(spark, tmp_path):
     folder.mkdir()
     for i in range(20):
         (folder / f"{i:02d} x.jsonl").write_text(f"{GOOD}\n" if i < 12 else "{not json\n")
-    files = input_files(spark, str(folder))
-    assert scan_jsonl(spark, str(folder), until_file=files[7]).count() == 8
+    files = list(files_in_order(spark, str(folder)))
+    assert [f[0].rsplit("/", 1)[1] for f in files] == [f"{i:02d}%20x.jsonl" for i in range(20)]
     assert import_files(spark, str(folder), str(tmp_path / "o1"), limit=3).conversations == 3
     assert import_files(spark, str(folder), str(tmp_path / "o2"), limit=12).conversations == 12
     with pytest.raises(ImportFormatError, match="line 1: invalid_json.*12%20x.jsonl"):
         import_files(spark, str(folder), str(tmp_path / "o3"), limit=13)
 
 
+@pytest.mark.parametrize("span", [7, 64, 1000])
+def test_spans_give_every_line_once(spark, tmp_path, monkeypatch, span):
+    monkeypatch.setattr(ranges, "_FILES", 2)
+    monkeypatch.setattr(ranges, "_CHUNK", 50)
+    monkeypatch.setattr(ranges, "_SEEK", 16)
+    texts = {
+        "a.jsonl": "\ufeff" + "".join(f"line {i} {'x' * (i % 90)}\n" + "\n" * (i % 3) for i in range(60)),
+        "b c.jsonl": "\n\nfirst\r\nsecond\rthird",
+        "d.jsonl": "",
+        "e.jsonl": "only é",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    got, first = [], 0
+    for wave in waves(files_in_order(spark, str(tmp_path)), 3, span):
+        got += [((r.span, r.row), r.value) for r in scan_spans(spark, wave, first).collect()]
+        first += len(wave)
+    assert len({place for place, _ in got}) == len(got)
+    want = [x for t in texts.values() if t for x in lines_in(t.removeprefix("\ufeff"))]
+    assert [value for _, value in sorted(got)] == want
+
+
+def test_waves_grow():
+    sizes = [[sum(s.end - s.start for s in w), len(w)] for w in waves(iter([("f", "f", 500), ("g", "g", 0), ("h", "h", 10**6)]), 2, 100)]
+    assert sizes[0] == [200, 2] and all(b[0] >= a[0] for a, b in zip(sizes, sizes[1:-1]))
+    assert sum(n for n, _ in sizes) == 10**6 + 500
+
+
+def test_limit_stops_reading(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.jsonl").write_text(f"{GOOD}\n" * 40_000)
+    read = []
+    monkeypatch.setattr("turnmill.plans.import_traces.scan_spans", lambda s, spans, first: read.extend(spans) or scan_spans(s, spans, first))
+    assert import_files(spark, str(folder), str(tmp_path / "out"), limit=100).conversations == 100
+    assert sum(s.end - s.start for s in read) < 0.6 * sum(f.stat().st_size for f in folder.iterdir())
+    assert spark.read.text(str(tmp_path / "out")).count() == 100
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_limit_with_quarantine(spark, tmp_path, packed):
+    import gzip
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    texts = {"a": f"{GOOD}\n\n[]\n{GOOD}\n", "b": f"{{not json\n{GOOD}\n{GOOD}\n[]\n{GOOD}\n"}
+    for name, text in texts.items():
+        if packed:
+            (folder / f"{name}.jsonl.gz").write_bytes(gzip.compress(text.encode()))
+        else:
+            (folder / f"{name}.jsonl").write_text(text)
+    for limit, faults in ((1, []), (2, [("a", 3)]), (4, [("a", 3), ("b", 1)]), (9, [("a", 3), ("b", 1), ("b", 4)])):
+        out, bad = str(tmp_path / f"out{limit}"), str(tmp_path / f"bad{limit}")
+        result = import_files(spark, str(folder), out, limit=limit, on_error="skip", quarantine=bad)
+        assert (result.conversations, result.skipped) == (min(limit, 5), len(faults))
+        schema = "file string, lineno bigint, error_class string, detail string"
+        got = sorted((r.file.rsplit("/", 1)[1][0], r.lineno) for r in spark.read.schema(schema).json(bad).collect())
+        assert got == faults and spark.read.text(out).count() == min(limit, 5)
+
+
 def test_stage_dataset(spark, tmp_path, lines_of):
     staged = stage_dataset(lines_of([GOOD, "", SHORT]), str(tmp_path / "staged"))
     assert sorted(r.value for r in staged.collect()) == sorted([GOOD, "", SHORT])

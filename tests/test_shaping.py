@@ -77,15 +77,38 @@ def test_supervised_dataset(rows):
 
 
 @pytest.mark.parametrize("n", [1, 5, 40, 499, 500, 501])
-@pytest.mark.parametrize("top", [1000, 3])
-def test_first_rows(rows, monkeypatch, n, top):
-    monkeypatch.setattr(ranks, "TOP_N", top)
-    df = rows.select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 3).alias("g"))
+def test_first_rows(rows, n):
+    df = rows.select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
     got = {(r.g, r.k) for r in ranks.first_rows(df, n, ["g", "k"]).collect()}
     want = sorted((i % 3, i * 7919 % 500) for i in range(500))[:n]
     assert got == set(want)
 
 
+@pytest.mark.parametrize("n", [1, 30, 77, 100, 101, 499, 500, 600])
+def test_first_rows_with_ties(rows, n):
+    """One key has a third of the rows, one is null; the batches of a task are small."""
+    key = F.when(F.col("id") % 3 == 0, "b").when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("c"), F.col("id") % 9))
+    df = rows.select("id", key.alias("k")).repartition(7)
+    keys = {r.id: r.k for r in df.collect()}
+    got = [r.k for r in ranks.first_rows(df, n, ["k"]).collect()]
+    want = sorted(keys.values(), key=lambda k: (k is not None, k or ""))[:n]
+    assert sorted(got, key=lambda k: (k is not None, k or "")) == want
+    place = ranks.nth_place(df, n, ["k"])
+    if n > 500:
+        assert place is None
+    else:
+        assert place.k == want[-1] and place["_n"] == list(keys.values()).count(want[-1])
+        assert place.before == sum(k != want[-1] for k in want)
+
+
+def test_bound_of_a_limit_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "bigint")
+    df = spark.range(0, 1000, 1, 4).select(count("id").alias("k"))
+    assert ranks.nth_place(df, 10, ["k"]).k == 9
+    assert seen.value <= 1000
+
+
 def test_grouped_offsets(spark):
     rows = [(f, s, (s * 13 + len(f)) % 9) for f in ("a", "bb", "c") for s in range(0, 400, 4)]
     df = spark.createDataFrame(rows, "file string, start bigint, n bigint")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from turnmill.sources import tail
+from turnmill.sources import ranges, tail
 from turnmill.sources.tail import Range, TailReader, matching_files, scan_appended_lines
 from turnmill.streaming.metrics import append_curve
 from turnmill.streaming.run import land
@@ -54,6 +54,7 @@ def rows(reader, start, end):
 
 def test_only_appended_bytes_are_read(tmp_path, monkeypatch):
     monkeypatch.setattr(tail, "_BLOCK", 64)
+    monkeypatch.setattr(ranges, "_SEEK", 64)
     file = tmp_path / "a" / "m.jsonl"
     file.parent.mkdir()
     file.write_text("".join(f"line {k}\n" for k in range(5000)) + "unfini")
@@ -73,7 +74,8 @@ def test_only_appended_bytes_are_read(tmp_path, monkeypatch):
 def test_ranges_give_every_line_once(tmp_path, monkeypatch, seed):
     rng = random.Random(seed)
     monkeypatch.setattr(tail, "_BLOCK", rng.choice([1, 7, 100]))
-    monkeypatch.setattr(tail, "_CHUNK", rng.choice([3, 50, 5000]))
+    monkeypatch.setattr(ranges, "_CHUNK", rng.choice([3, 50, 5000]))
+    monkeypatch.setattr(ranges, "_SEEK", rng.choice([1, 20, 1000]))
     lines = ["x" * rng.choice([0, 0, 1, 5, 300]) + str(k) * rng.randint(0, 1) for k in range(200)]
     file = tmp_path / "m"
     file.write_text("".join(f"{x}\n" for x in lines))

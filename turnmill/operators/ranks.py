@@ -6,18 +6,21 @@ group, so no task sees more than one group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from turnmill.session import checkpointed
+from turnmill.session import checkpointed, ship_by_value
 
 # First four hex digits of a key's hash: at most 65 536 buckets of equal
 # expected size, whatever the keys are. Their counts are a 2 MB table.
 _BUCKET_DIGITS = 4
 
-# Most rows a top-n sort keeps per task; a larger n sorts the keys instead.
-TOP_N = 1000
+ship_by_value(__name__)
 
 
 def bounded_offsets(counts: DataFrame, amount: str, order: str) -> DataFrame:
@@ -112,48 +115,100 @@ def first_hashed(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> Co
     return F.coalesce(here <= last.scalar(), F.lit(True))
 
 
-def nth_key(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The key of the ``n``-th row as one row with the struct ``_last``; NULL or
-    no row where there are fewer. Only keys are sorted."""
+def _leading_runs(n: int) -> Callable:
+    """Sorted keys of a task to (key, how many), up to the run that holds the
+    n-th, counted to its end. Reading stops there."""
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, last = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for column in batch.columns:
+                here, before = column.slice(1), column.slice(0, batch.num_rows - 1)
+                unequal = pc.fill_null(pc.not_equal(here, before), False)
+                unequal = pc.or_(unequal, pc.xor(here.is_null(), before.is_null()))
+                new[1:] |= unequal.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            counts = np.diff(np.append(starts, batch.num_rows))
+            if seen >= n:  # only what goes on with the last run is left
+                if str(batch.slice(0, 1).to_pylist()) != last:
+                    return
+                starts, counts = starts[:1], counts[:1]
+            keep = 1 + int(np.searchsorted(seen + np.cumsum(counts), n))
+            yield _with_counts(batch, starts[:keep], counts[:keep])
+            seen += int(counts[:keep].sum())
+            if seen >= n and keep < int(new.sum()):
+                return
+            last = str(batch.slice(batch.num_rows - 1, 1).to_pylist())
+
+    return runs
+
+
+def _with_counts(batch: pa.RecordBatch, starts: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    keys = batch.take(pa.array(starts))
+    return pa.RecordBatch.from_arrays([*keys.columns, pa.array(counts.astype(np.int64))], [*keys.schema.names, "_n"])
+
+
+def nth_place(df: DataFrame, n: int, order_by: Sequence[str]) -> Row | None:
+    """Where the ``n``-th row lies in the order of ``order_by``: its key, how many
+    rows have a smaller one (``before``) and how many the same (``_n``). None
+    where there are fewer rows.
+
+    The input is evaluated once, its keys only. Each task sorts its keys and sends
+    the first n as (key, count), so keys that repeat are one row; what tasks send
+    is added up, dealt by ranges, and summed range by range.
+    """
     keys = df.select(*order_by)
-    if n > TOP_N:
-        return _nth_of_sorted(keys, n, order_by)
-    last = F.when(F.count(F.lit(1)) == n, F.max(F.struct(*order_by)))
-    return keys.orderBy(*order_by).limit(n).agg(last.alias("_last"))
+    schema = StructType([*keys.schema.fields, StructField("_n", LongType())])
+    runs = keys.sortWithinPartitions(*order_by).mapInArrow(_leading_runs(n), schema)
+    merged = runs.groupBy(*order_by).agg(F.sum("_n").alias("_n")).orderBy(*order_by)
+    # Written out, as ranges must be the same when they are summed and searched.
+    parts = checkpointed(merged).withColumn("_part", F.spark_partition_id())
+    sums = parts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    edge = bounded_offsets(sums, "_sum", "_part").where((F.col("before") < n) & (F.col("before") + F.col("_sum") >= n))
+    earlier = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    found = (
+        parts.join(F.broadcast(edge), "_part")  # one row at most
+        .withColumn("before", F.col("before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n))
+    )
+    return found.select(*order_by, "before", "_n").first()
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """Exactly the first ``n`` rows in the order of ``order_by``, or all if there
-    are fewer. Rows are kept by comparing with the n-th key, a plain filter that
-    can reach the scan; of rows equal to it, which ones stay is open, and only
-    these are numbered."""
+    """Exactly the first ``n`` rows in the order of ``order_by`` (null first), or
+    all if there are fewer. Of rows equal to the n-th, which ones stay is open.
+
+    The input is evaluated once to find the n-th key; the result is a plain filter
+    by it, which can reach the scan. Only if more rows have that key than there is
+    room for, these are read once more: each task writes down no more of them than
+    there is room for, and takes as many as the tasks before it leave open.
+    """
     if n <= 0:
         return df.where(F.lit(False))
-    last = nth_key(df, n, order_by).scalar()
-    key = F.struct(*order_by)
-    before = df.where(F.coalesce(key < last, F.lit(True)))
-    room = F.lit(n) - df.where(key < last).agg(F.count(F.lit(1)).alias("_n")).scalar()
-    ties = df.where(key == last).withColumn("_tie", F.row_number().over(Window.partitionBy(*order_by).orderBy(F.lit(1))))
-    return before.unionByName(ties.where(F.col("_tie") <= room).drop("_tie"))
-
-
-def _nth_of_sorted(keys: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The n-th key as one row, or no row where there are fewer. The sorted keys
-    are written out, as their ranges must be the same when they are counted and
-    when one of them is searched."""
-    sorted_keys = checkpointed(keys.orderBy(*order_by)).withColumn(
-        "_part", F.spark_partition_id()
-    )
-    counts = sorted_keys.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    edge = (
-        bounded_offsets(counts, "_n", "_part")
-        .where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n))
-        .select("_part", (F.lit(n) - F.col("before")).alias("_wanted"))
-    )
-    place = Window.partitionBy("_part").orderBy(*order_by)
-    return (
-        sorted_keys.join(F.broadcast(edge), "_part")  # one row at most
-        .withColumn("_place", F.row_number().over(place))
-        .where(F.col("_place") == F.col("_wanted"))
-        .select(F.struct(*order_by).alias("_last"))
-    )
+    place = nth_place(df, n, order_by)
+    if place is None:
+        return df
+    types = {f.name: f.dataType for f in df.select(*order_by).schema.fields}
+    last = {c: F.lit(place[c]).cast(types[c]) for c in order_by}
+    if len(order_by) == 1:
+        (column,) = order_by
+        less = F.col(column).isNull() | (F.col(column) < last[column])
+        before = F.lit(False) if place[column] is None else less
+        same = F.col(column).isNull() if place[column] is None else F.col(column) == last[column]
+    else:
+        key, bound = F.struct(*order_by), F.struct(*[last[c].alias(c) for c in order_by])
+        before, same = key < bound, key == bound
+    room = n - place["before"]
+    if place["_n"] == room:
+        return df.where(before | same)
+    row = F.monotonically_increasing_id()  # counts the rows of a task that are left here
+    index = row.bitwiseAND((1 << 33) - 1)
+    ties = df.where(same).withColumns({"_task": F.shiftright(row, 33), "_index": index}).where(F.col("_index") < room)
+    ties = checkpointed(ties)
+    offsets = bounded_offsets(ties.groupBy("_task").agg(F.count(F.lit(1)).alias("_sum")), "_sum", "_task")
+    taken = ties.join(F.broadcast(offsets.drop("_sum")), "_task")  # a row per task
+    taken = taken.where(F.col("before") + F.col("_index") < room).select(df.columns)
+    return df.where(before).unionByName(taken)

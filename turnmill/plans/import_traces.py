@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from turnmill.operators.ranks import nth_key
+from turnmill.operators.ranks import nth_place
 from turnmill.operators.traces import (
     fail_loud,
     import_conversations,
     import_errors,
+    parse_lines,
     parser_for,
     require_conversations,
 )
-from turnmill.session import prepare
+from turnmill.session import fresh_dir, prepare
 from turnmill.sources.lines import number_lines, scan_jsonl
-from turnmill.sources.sinks import staged, to_messages_jsonl
+from turnmill.sources.ranges import PACKED, Span, count_lines, file_system_of, files_in_order, scan_spans, waves
+from turnmill.sources.sinks import file_system, staged, to_messages_jsonl
 
 PLACE = ("file", "lineno")
-_FIRST_FILES = 8
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,8 @@ def import_files(
     A sound dump is read once: conversations are written while the lines are
     checked, and line numbers are not computed. A faulty line fails the write
     job, nothing is committed, and only then is the earliest faulty line looked
-    up and raised. With ``limit``, faults after the last kept line do not count.
+    up and raised. With ``limit``, files are read in order, in growing waves, until
+    there are as many conversations; faults after the last kept line do not count.
     ``out`` is as it was before if anything fails, an empty result included.
 
     ``on_error='skip'`` leaves faulty lines out and counts them; ``quarantine``
@@ -57,15 +59,16 @@ def import_files(
     """
     parser_for(fmt)
     prepare(spark)
-    if limit is None:
-        lines = scan_jsonl(spark, path)
-    else:
-        lines = _limited(spark, path, fmt, min_messages, limit)
+    if on_error not in ("fail", "skip"):
+        raise ValueError(f"on_error must be 'fail' or 'skip', not {on_error!r}")
+    if quarantine and on_error != "skip":
+        raise ValueError("a quarantine needs on_error='skip'")
+    if limit is not None:
+        return _import_leading(spark, path, out, fmt, min_messages, limit, on_error, mode, quarantine)
+    lines = scan_jsonl(spark, path)
     kept = import_conversations(lines, fmt, min_messages, on_error)
     seen = Observation("import")
     counted = to_messages_jsonl(kept.observe(seen, F.count(F.lit(1)).alias("conversations")))
-    if quarantine and on_error != "skip":
-        raise ValueError("a quarantine needs on_error='skip'")
     with staged(spark, out, mode) as fresh:
         try:
             counted.write.text(fresh)
@@ -84,7 +87,7 @@ def _skipped(lines: DataFrame, path, fmt: str, mode: str, quarantine: str | None
     if quarantine is None:
         return import_errors(lines, fmt).count()
     spark = lines.sparkSession
-    numbered = lines if "lineno" in lines.columns else number_lines(lines)
+    numbered = number_lines(lines)
     seen = Observation("quarantine")
     faulty = import_errors(numbered, fmt).observe(seen, F.count(F.lit(1)).alias("lines"))
     with staged(spark, quarantine, mode) as fresh:
@@ -102,31 +105,131 @@ def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
         fail_loud(import_errors(number_lines(one), fmt), PLACE)
 
 
-def input_files(spark: SparkSession, path) -> list[str]:
-    """The files in import order, spelled as scans spell them: a local file has
-    one slash after the scheme there and three in the listing."""
-    return sorted(re.sub("^file:/+", "file:/", f) for f in spark.read.text(path).inputFiles())
-
+@dataclass
+class _Leading:
+    """What a limited import has staged: rows (*order, line, error_class, detail),
+    the place of the last conversation wanted (None: all are wanted), how many are
+    kept, and the spans that were read (none: files were read as a whole)."""
+
+    rows: DataFrame
+    order: tuple[str, ...]
+    last: tuple | None
+    kept: int
+    spans: list[Span]
+
+    def conversations(self) -> DataFrame:
+        good = self.rows.where("error_class IS NULL")
+        return good if self.last is None else good.where(self._place() <= self._end())
+
+    def faults(self) -> DataFrame:
+        bad = self.rows.where("error_class IS NOT NULL")
+        return bad if self.last is None else bad.where(self._place() < self._end())
+
+    def _place(self) -> Column:
+        return F.struct(*self.order)
+
+    def _end(self) -> Column:
+        return F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order, self.last, strict=True)])
+
+    def named_faults(self) -> DataFrame:
+        """Faults with file and line number. Lines are counted in the spans of the
+        files that have one."""
+        if not self.spans:
+            return self.faults().drop("line")
+        spark = self.rows.sparkSession
+        spans = {r.span for r in self.faults().select("span").distinct().collect()}
+        files = {self.spans[k].file for k in spans}
+        read = [k for k in range(max(spans, default=-1) + 1) if self.spans[k].file in files]
+        if not read:
+            return spark.createDataFrame([], "file string, lineno bigint, error_class string, detail string")
+        before: dict[str, int] = {}
+        names = []
+        for k, n in zip(read, count_lines(spark, [self.spans[k] for k in read]), strict=True):
+            file = self.spans[k].file
+            names.append((k, file, before.get(file, 0)))
+            before[file] = before.get(file, 0) + n
+        placed = spark.createDataFrame(names, "span bigint, file string, before bigint")
+        lineno = (F.col("before") + F.col("row") + 1).alias("lineno")
+        return self.faults().join(placed, "span").select("file", lineno, "error_class", "detail")
+
+
+def _stage(lines: DataFrame, folder: str, fmt: str, min_messages: int, order: tuple[str, ...]) -> DataFrame:
+    """Usable conversations, as output lines, and faults, written down."""
+    parsed = parse_lines(lines, fmt, min_messages)
+    line = F.when(F.col("error_class").isNull(), F.to_json(F.struct("messages"))).alias("line")
+    parsed.select(*order, line, "error_class", "detail").write.parquet(folder)
+    return lines.sparkSession.read.parquet(folder)
+
+
+def _leading(spark: SparkSession, path, folder: str, fmt: str, min_messages: int, wanted: int) -> _Leading:
+    """Read the files in order until enough conversations are found.
+
+    Spans are read in waves, in parallel within a wave; what is read is parsed once
+    and staged, conversations are counted by span, and the wave that holds the last
+    one wanted is the last. Packed files, and stores that only Spark reads, have no
+    spans and are read as a whole.
+    """
+    spans, found, last = [], 0, None
+    try:
+        order = ("span", "row")
+        for wave in waves(_readable(files_in_order(spark, path)), spark.sparkContext.defaultParallelism):
+            rows = _stage(scan_spans(spark, wave, len(spans)), f"{folder}/spans/wave={len(spans)}", fmt, min_messages, order)
+            spans += wave
+            good = rows.where("error_class IS NULL")
+            for span, n in sorted(good.groupBy("span").agg(F.count(F.lit(1))).collect()):
+                if found + n >= wanted:
+                    rest = good.where(F.col("span") == span).select("row").orderBy("row").limit(wanted - found)
+                    last = (span, rest.agg(F.max("row")).first()[0])
+                    found = wanted
+                    break
+                found += n
+            if last:
+                break
+        if spans:
+            return _Leading(spark.read.parquet(f"{folder}/spans"), order, last, found, spans)
+    except _NoSpans:
+        pass
+    rows = _stage(scan_jsonl(spark, path, line_numbers=True), f"{folder}/whole", fmt, min_messages, PLACE)
+    good = rows.where("error_class IS NULL")
+    place = nth_place(good, wanted, PLACE)
+    if place is None:
+        return _Leading(rows, PLACE, None, good.count(), [])
+    return _Leading(rows, PLACE, (place["file"], place["lineno"]), wanted, [])
+
+
+class _NoSpans(Exception):
+    """A file that cannot be read by spans."""
+
+
+def _readable(files: Iterator[tuple[str, str, int]]) -> Iterator[tuple[str, str, int]]:
+    for file, path, length in files:
+        try:
+            file_system_of(path)
+        except (ValueError, OSError, NotImplementedError) as error:
+            raise _NoSpans from error
+        if path.endswith(PACKED):
+            raise _NoSpans
+        yield file, path, length
 
-def _limited(spark: SparkSession, path, fmt: str, min_messages: int, limit: int) -> DataFrame:
-    """The lines up to the one that holds the last conversation wanted.
 
-    As few leading files are read as hold enough conversations, in steps that
-    grow eightfold.
-    """
-    wanted = max(limit, 1)
-    files = input_files(spark, path)
-    last_file, n_files = None, _FIRST_FILES
-    while n_files < len(files):
-        leading = scan_jsonl(spark, path, until_file=files[n_files - 1])
-        if import_conversations(leading, fmt, min_messages, "skip").count() >= wanted:
-            last_file = files[n_files - 1]
-            break
-        n_files *= 8
-    lines = scan_jsonl(spark, path, line_numbers=True, until_file=last_file)
-    usable = import_conversations(lines, fmt, min_messages, "skip")
-    row = nth_key(usable, wanted, PLACE).first()
-    if row is None or row["_last"] is None:
-        return lines
-    end = F.struct(*[F.lit(row["_last"][c]).alias(c) for c in PLACE])
-    return lines.where(F.struct(*PLACE) <= end)
+def _import_leading(
+    spark: SparkSession, path, out: str, fmt: str, min_messages: int, limit: int, on_error: str, mode: str, quarantine: str | None
+) -> ImportResult:
+    folder = fresh_dir(spark, "leading")
+    fs, work = file_system(spark, folder)
+    try:
+        with staged(spark, out, mode) as fresh:
+            leading = _leading(spark, path, folder, fmt, min_messages, max(limit, 1))
+            skipped = 0
+            if on_error == "fail" and not leading.faults().isEmpty():
+                raise_first_error(spark, path, fmt)
+            if on_error == "skip":
+                skipped = leading.faults().count()
+            leading.conversations().select("line").write.text(fresh)
+            require_conversations(leading.kept, min_messages)
+            if quarantine:
+                with staged(spark, quarantine, mode) as aside:
+                    leading.named_faults().write.json(aside)
+    finally:
+        fs.delete(work, True)
+    return ImportResult(out, fmt, leading.kept, skipped)

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
 
 
+def ship_by_value(module: str) -> None:
+    """Send the functions of ``module`` to executors whole, so that a cluster needs
+    no copy of this package on its workers."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let the last of several equal keys in a JSON object win, instead of
     failing the record. Needed by everything that parses dump lines; the setting

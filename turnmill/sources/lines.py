@@ -27,19 +27,16 @@ def scan_jsonl(
     path,
     line_numbers: bool = False,
     file: str | None = None,
-    until_file: str | None = None,
 ) -> DataFrame:
     """Lines of UTF-8 text files as (file, value) with their place.
 
     ``lineno`` is added on request; otherwise the columns ``split_start``,
     ``split_length`` and ``row_id`` say where the line is. ``file`` reads one of
-    the files only, ``until_file`` those whose path does not sort after it.
+    the files only.
     """
     files = spark.read.text(path).select("*", F.col("_metadata").alias("meta"))
     if file is not None:
         files = files.where(F.col("meta.file_path") == file)
-    if until_file is not None:
-        files = files.where(F.col("meta.file_path") <= until_file)
     placed = files.select(
         F.col("meta.file_path").alias("file"),
         F.col("meta.file_block_start").alias("split_start"),

@@ -13,34 +13,24 @@ systems of pyarrow: local and mounted folders, HDFS, S3, GCS and Azure by URI.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-# Executors get the reader with the query and need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from turnmill.session import ship_by_value
+from turnmill.sources.ranges import file_system_of, line_after, line_blocks
+
+ship_by_value(__name__)
 
 SCHEMA = "file string, start bigint, value string"
 _BLOCK = 1 << 16  # bytes that are read at once to find the end of the last line
-_CHUNK = 4 << 20
 RANGE_BYTES = 64 << 20
 
 
-def file_system_of(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path within it."""
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
-
-
 def matching_files(path: str) -> dict[str, int]:
     """The files of a glob pattern (``*`` and ``?`` stay within a folder's name)
     and their sizes. Folders of the fixed part of the pattern are listed."""
@@ -105,35 +95,13 @@ class TailReader(DataSourceStreamReader):
         with self.opened(partition.file) as source:
             begin = partition.start
             if begin > partition.first:  # a line that begins before belongs to the range before
-                begin = _after_line_feed(source, begin - 1)
-            source.seek(begin)
-            rest = b""
-            while begin < partition.end:
-                got = source.read(min(_CHUNK, max(_BLOCK, partition.end - begin - len(rest))))
-                held = rest + got
-                cut = held.rfind(b"\n") + 1
-                if not got:
-                    return
-                starts, values, at = [], [], 0
-                while at < cut and begin + at < partition.end:
-                    stop = held.index(b"\n", at)
-                    starts.append(begin + at)
-                    values.append(held[at : stop - 1] if held[at:stop].endswith(b"\r") else held[at:stop])
-                    at = stop + 1
-                if values:
-                    yield _lines(partition.file, starts, values)
-                begin += at
-                rest = held[at:]
-
-
-def _after_line_feed(source: pa.NativeFile, at: int) -> int:
-    """The place after the first line feed at ``at`` or later."""
-    while block := source.read_at(_BLOCK, at):
-        found = block.find(b"\n")
-        if found >= 0:
-            return at + found + 1
-        at += len(block)
-    return at
+                begin = line_after(source, begin - 1)
+            for at, block in line_blocks(source, begin, partition.end, unfinished=False):
+                values = block[:-1].split(b"\n")
+                starts = [at]
+                for value in values[:-1]:
+                    starts.append(starts[-1] + len(value) + 1)
+                yield _lines(partition.file, starts, [v.removesuffix(b"\r") for v in values])
 
 
 def _lines(file: str, starts: list[int], values: list[bytes]) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnmill.sources.tail import file_system_of
+from turnmill.sources.ranges import file_system_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
