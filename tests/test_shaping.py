@@ -27,9 +27,30 @@ def test_holdout_is_exact(rows, n):
 
 
 def test_holdout_without_a_shuffle_of_rows(rows):
-    plan = shaping.holdout_split(rows, ["id"], 37)._jdf.queryExecution().optimizedPlan().toString()
-    top = plan.split("scalar-subquery")[0]
-    assert "Join" not in top and "Window" not in top
+    plan = shaping.holdout_split(rows, ["id"], 37)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_input_of_split_and_batches_is_evaluated_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "bigint")
+    rows = spark.range(0, 400, 1, 4).select("id", count("id").alias("k"))
+    train, test = supervised_dataset(rows, ["id"], test_size=30, seed=1)
+    assert train.count() + test.count() == 400 and test.agg(F.sum("k")).first()[0] is not None
+    assert seen.value == 400
+
+
+def test_batches_shuffle_rows_once(rows):
+    plan = shaping.batch_plan(rows, ["id"], 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_bucket") <= 1 and "SortMergeJoin" not in plan
+
+
+def test_schedule_of_more_steps_than_an_array_holds(spark):
+    plan = shaping.training_schedule(spark.range(3), 1, epochs=10**9)
+    assert plan.rdd.getNumPartitions() > 500
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Range" in text and "Generate" not in text and "Exchange" not in text
+    assert plan.limit(1).first().epoch == 0
 
 
 @pytest.mark.parametrize("size", [1, 8, 500, 501])

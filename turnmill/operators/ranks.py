@@ -6,6 +6,7 @@ group, so no task sees more than one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,11 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from turnmill.session import checkpointed, ship_by_value
-
-# First four hex digits of a key's hash: at most 65 536 buckets of equal
-# expected size, whatever the keys are. Their counts are a 2 MB table.
-_BUCKET_DIGITS = 4
+from turnmill.session import checkpointed, kept, ship_by_value, written
 
 ship_by_value(__name__)
 
@@ -65,54 +62,57 @@ def shuffle_hash(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def _bucket_digits(df: DataFrame) -> int:
+    """Hex digits of the hash that make a bucket: enough for sixteen buckets per
+    shuffle partition, so a million at most, whose counts are summed in one place."""
+    wanted = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(5, max(3, math.ceil(math.log(wanted, 16))))
+
+
 def shuffled_rank(df: DataFrame, key: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:
     """Add the exact 0-based rank of each row in the order (hash of key, key).
 
-    ``key`` must identify a row. Buckets are prefixes of the hash, so they are
-    even; counting them reads the key columns only.
+    ``key`` must identify a row. Rows are dealt once, by a prefix of the hash, so
+    evenly whatever the keys are; each is numbered within its prefix and written
+    down. The sizes of the prefixes are read from that table, and their sums are
+    added as it is read. The input is evaluated once.
     """
-    hashed = df.withColumn("_hash", shuffle_hash(key, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
-    )
-    counts = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = bounded_offsets(counts, "_n", "_bucket").select("_bucket", "before")
+    digits = _bucket_digits(df)
+    hashed = df.withColumn("_hash", shuffle_hash(key, seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
     place = Window.partitionBy("_bucket").orderBy("_hash", *key)
+    placed = kept(hashed.withColumn("_place", F.row_number().over(place)).drop("_hash"), "ranked")
+    counts = placed.groupBy("_bucket").agg(F.max("_place").alias("_n"))
+    offsets = bounded_offsets(counts, "_n", "_bucket").select("_bucket", "before")
     return (
-        hashed.withColumn("_place", F.row_number().over(place) - 1)
-        .join(F.broadcast(offsets), "_bucket")  # 65 536 rows at most
-        .withColumn(name, F.col("before") + F.col("_place"))
-        .drop("_hash", "_bucket", "_place", "before")
+        placed.join(F.broadcast(offsets), "_bucket")  # 16 ** 5 rows at most
+        .withColumn(name, F.col("before") + F.col("_place") - 1)
+        .drop("_bucket", "_place", "before")
     )
 
 
-def first_hashed(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> Column:
-    """True for exactly the ``n`` rows that come first in the order (hash of
-    key, key); false for the others.
+def first_hashed(df: DataFrame, key: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """Add ``_first``: true for exactly the ``n`` rows that come first in the order
+    (hash of key, key). ``key`` must identify a row.
 
-    Found from bucket counts and from the keys of the one bucket where the n-th
-    row lies. The test itself is a comparison with one value, so rows are not
-    shuffled.
+    The rows are written down with their hash, so the input is evaluated once; the
+    sizes of the hash prefixes and then the hashes of the one prefix that holds the
+    n-th row are read from there. Rows are not shuffled: the test is a comparison
+    with the n-th hash.
     """
     if n <= 0:
-        return F.lit(False)
-    keys = df.select(shuffle_hash(key, seed).alias("_hash"), *key).withColumn(
-        "_bucket", F.substring("_hash", 1, _BUCKET_DIGITS)
-    )
-    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    edge = (
-        bounded_offsets(counts, "_n", "_bucket")
-        .where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n))
-        .select("_bucket", (F.lit(n) - F.col("before")).alias("_wanted"))
-    )
-    place = Window.partitionBy("_bucket").orderBy("_hash", *key)
-    last = (
-        keys.join(F.broadcast(edge), "_bucket")  # one row, or none when all are taken
-        .withColumn("_place", F.row_number().over(place))
-        .where(F.col("_place") == F.col("_wanted"))
-        .select(F.struct("_hash", *key).alias("_last"))
-    )
-    here = F.struct(shuffle_hash(key, seed).alias("_hash"), *key)
-    return F.coalesce(here <= last.scalar(), F.lit(True))
+        return df.withColumn("_first", F.lit(False))
+    digits = _bucket_digits(df)
+    rows = kept(df.withColumn("_hash", shuffle_hash(key, seed)), "hashed")
+    bucket = F.substring("_hash", 1, digits)
+    counts = rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    edge = bounded_offsets(counts, "_n", "_bucket").where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n)).first()
+    if edge is None:
+        return rows.withColumn("_first", F.lit(True)).drop("_hash")
+    held = rows.where(F.col("_hash").startswith(edge["_bucket"])).select("_hash", *key)
+    last = nth_place(held, n - edge["before"], ["_hash", *key])
+    types = {f.name: f.dataType for f in held.schema.fields}
+    bound = F.struct(*[F.lit(last[c]).cast(types[c]).alias(c) for c in ("_hash", *key)])
+    return rows.withColumn("_first", F.struct("_hash", *key) <= bound).drop("_hash")
 
 
 def _leading_runs(n: int) -> Callable:
@@ -140,6 +140,7 @@ def _leading_runs(n: int) -> Callable:
             yield _with_counts(batch, starts[:keep], counts[:keep])
             seen += int(counts[:keep].sum())
             if seen >= n and keep < int(new.sum()):
+                next(batches, None)  # most inputs end here, which leaves the worker usable
                 return
             last = str(batch.slice(batch.num_rows - 1, 1).to_pylist())
 
@@ -164,17 +165,16 @@ def nth_place(df: DataFrame, n: int, order_by: Sequence[str]) -> Row | None:
     schema = StructType([*keys.schema.fields, StructField("_n", LongType())])
     runs = keys.sortWithinPartitions(*order_by).mapInArrow(_leading_runs(n), schema)
     merged = runs.groupBy(*order_by).agg(F.sum("_n").alias("_n")).orderBy(*order_by)
-    # Written out, as ranges must be the same when they are summed and searched.
-    parts = checkpointed(merged).withColumn("_part", F.spark_partition_id())
-    sums = parts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
-    edge = bounded_offsets(sums, "_sum", "_part").where((F.col("before") < n) & (F.col("before") + F.col("_sum") >= n))
     earlier = Window.partitionBy("_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    found = (
-        parts.join(F.broadcast(edge), "_part")  # one row at most
-        .withColumn("before", F.col("before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n))
-    )
-    return found.select(*order_by, "before", "_n").first()
+    with written(merged.withColumn("_part", F.spark_partition_id()), "ranges") as parts:
+        sums = parts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+        edge = bounded_offsets(sums, "_sum", "_part").where((F.col("before") < n) & (F.col("before") + F.col("_sum") >= n))
+        found = (
+            parts.join(F.broadcast(edge), "_part")  # one row at most
+            .withColumn("before", F.col("before") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+            .where((F.col("before") < n) & (F.col("before") + F.col("_n") >= n))
+        )
+        return found.select(*order_by, "before", "_n").first()
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

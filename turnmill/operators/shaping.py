@@ -1,8 +1,8 @@
 """Dataset shaping for training: splits, batches, schedules, rollout plans.
 
-The order of conversations is the hash of (seed, key), fixed for all runs. The
-keys are read before the rows are, to count them, so the input should be a table
-or staged files and not a costly import.
+The order of conversations is the hash of (seed, key), fixed for all runs. Whole
+rows pass through a table in the shared folder, so a costly input, such as an
+import, is evaluated once.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ def holdout_split(df: DataFrame, key: Sequence[str], test_size: int = 0, seed: i
     """Add ``split``: exactly ``test_size`` rows are 'test', the rest 'train'."""
     if test_size < 0:
         raise ValueError("test_size must not be negative")
-    held_out = first_hashed(df, key, test_size, seed)
-    return df.withColumn("split", F.when(held_out, "test").otherwise("train"))
+    others = [c for c in df.columns if c != "split"]
+    split = F.when(F.col("_first"), "test").otherwise("train").alias("split")
+    return first_hashed(df.select(others), key, test_size, seed).select(*others, split)
 
 
 def batch_plan(df: DataFrame, key: Sequence[str], batch_size: int = 8, seed: int = 0) -> DataFrame:
@@ -30,6 +31,9 @@ def batch_plan(df: DataFrame, key: Sequence[str], batch_size: int = 8, seed: int
     return ranked.withColumn("batch", F.expr(f"rank DIV {int(batch_size)}"))
 
 
+_STEPS_A_TASK = 4_000_000
+
+
 def _every(step: Column, steps: int) -> Column:
     """After each ``steps`` finished steps; never for 0."""
     return F.pmod(step + 1, F.lit(steps)) == 0 if steps else F.lit(False)
@@ -45,18 +49,17 @@ def training_schedule(
 ) -> DataFrame:
     """One row per step: step, epoch, batch, its size, and whether to save or
     evaluate after it, for ``rows`` in batches of ``batch_size`` as ``batch_plan``
-    makes them. Rows are only counted: all batches are full but the last."""
+    makes them. Rows are only counted, at once: all batches are full but the last."""
     if epochs < 1 or batch_size < 1:
         raise ValueError("epochs and batch_size must be positive")
     if save_every < 0 or eval_every < 0 or (max_steps is not None and max_steps < 0):
         raise ValueError("save_every, eval_every and max_steps must not be negative")
-    counted = rows.agg(F.count(F.lit(1)).alias("_rows"))
-    counted = counted.withColumn("_n", F.expr(f"(_rows + {batch_size - 1}) DIV {batch_size}"))
-    last = F.col("_n") * epochs
-    if max_steps is not None:
-        last = F.least(last, F.lit(max_steps))
-    steps = F.when(last > 0, F.sequence(F.lit(0).cast("bigint"), last - 1)).otherwise(F.array().cast("array<bigint>"))
-    plan = counted.select("_rows", "_n", F.explode(steps).alias("step"))
+    n_rows = rows.count()
+    n_batches = -(-n_rows // batch_size)
+    steps = n_batches * epochs if max_steps is None else min(n_batches * epochs, max_steps)
+    # Steps come from tasks of some millions each; nothing is gathered for them.
+    plan = rows.sparkSession.range(0, steps, 1, 1 + steps // _STEPS_A_TASK).withColumnRenamed("id", "step")
+    plan = plan.withColumn("_n", F.lit(max(1, n_batches)).cast("bigint")).withColumn("_rows", F.lit(n_rows).cast("bigint"))
     plan = plan.withColumn("epoch", F.expr("step DIV _n")).withColumn("batch", F.expr("step % _n"))
     return plan.select(
         "step",

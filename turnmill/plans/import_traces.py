@@ -107,29 +107,41 @@ def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
 
 @dataclass
 class _Leading:
-    """What a limited import has staged: rows (*order, line, error_class, detail),
-    the place of the last conversation wanted (None: all are wanted), how many are
-    kept, and the spans that were read (none: files were read as a whole)."""
+    """What a limited import has staged: rows (*order, line, error_class, detail);
+    how many conversations are kept; where the last one wanted lies, its span or
+    its whole place (None: all are wanted), and how many of that span are wanted;
+    the spans that were read (none: files were read as a whole); how many lines up
+    to the end of that span are faulty."""
 
     rows: DataFrame
     order: tuple[str, ...]
-    last: tuple | None
     kept: int
+    end: tuple | None
+    room: int
     spans: list[Span]
+    faulty: int
 
     def conversations(self) -> DataFrame:
         good = self.rows.where("error_class IS NULL")
-        return good if self.last is None else good.where(self._place() <= self._end())
+        if self.end is None:
+            return good
+        if len(self.end) == len(self.order):
+            return good.where(F.struct(*self.order) <= self._place())
+        # A span is a few MB, so its first rows are one small sort.
+        last = good.where(F.col("span") == self.end[0]).orderBy("row").limit(self.room)
+        return good.where(F.col("span") < self.end[0]).unionByName(last)
 
     def faults(self) -> DataFrame:
         bad = self.rows.where("error_class IS NOT NULL")
-        return bad if self.last is None else bad.where(self._place() < self._end())
+        if self.end is None or not self.faulty:
+            return bad.limit(0) if not self.faulty else bad
+        if len(self.end) < len(self.order):
+            last = self.conversations().where(F.col("span") == self.end[0]).agg(F.max("row")).first()[0]
+            self.end = (*self.end, last)
+        return bad.where(F.struct(*self.order) < self._place())
 
     def _place(self) -> Column:
-        return F.struct(*self.order)
-
-    def _end(self) -> Column:
-        return F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order, self.last, strict=True)])
+        return F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order, self.end, strict=True)])
 
     def named_faults(self) -> DataFrame:
         """Faults with file and line number. Lines are counted in the spans of the
@@ -157,8 +169,13 @@ def _stage(lines: DataFrame, folder: str, fmt: str, min_messages: int, order: tu
     """Usable conversations, as output lines, and faults, written down."""
     parsed = parse_lines(lines, fmt, min_messages)
     line = F.when(F.col("error_class").isNull(), F.to_json(F.struct("messages"))).alias("line")
-    parsed.select(*order, line, "error_class", "detail").write.parquet(folder)
-    return lines.sparkSession.read.parquet(folder)
+    rows = parsed.select(*order, line, "error_class", "detail")
+    rows.write.mode("append").parquet(folder)
+    return lines.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _counts() -> tuple[Column, Column]:
+    return F.count_if(F.col("error_class").isNull()), F.count_if(F.col("error_class").isNotNull())
 
 
 def _leading(spark: SparkSession, path, folder: str, fmt: str, min_messages: int, wanted: int) -> _Leading:
@@ -169,32 +186,27 @@ def _leading(spark: SparkSession, path, folder: str, fmt: str, min_messages: int
     one wanted is the last. Packed files, and stores that only Spark reads, have no
     spans and are read as a whole.
     """
-    spans, found, last = [], 0, None
+    spans, found, faulty, rows = [], 0, 0, None
     try:
         order = ("span", "row")
         for wave in waves(_readable(files_in_order(spark, path)), spark.sparkContext.defaultParallelism):
-            rows = _stage(scan_spans(spark, wave, len(spans)), f"{folder}/spans/wave={len(spans)}", fmt, min_messages, order)
+            rows = _stage(scan_spans(spark, wave, len(spans)), f"{folder}/spans", fmt, min_messages, order)
+            new = rows.where(F.col("span") >= len(spans)).groupBy("span").agg(*_counts())
             spans += wave
-            good = rows.where("error_class IS NULL")
-            for span, n in sorted(good.groupBy("span").agg(F.count(F.lit(1))).collect()):
-                if found + n >= wanted:
-                    rest = good.where(F.col("span") == span).select("row").orderBy("row").limit(wanted - found)
-                    last = (span, rest.agg(F.max("row")).first()[0])
-                    found = wanted
-                    break
-                found += n
-            if last:
-                break
+            for span, good, bad in sorted(new.collect()):
+                faulty += bad
+                if found + good >= wanted:
+                    return _Leading(rows, order, wanted, (span,), wanted - found, spans, faulty)
+                found += good
         if spans:
-            return _Leading(spark.read.parquet(f"{folder}/spans"), order, last, found, spans)
+            return _Leading(rows, order, found, None, 0, spans, faulty)
     except _NoSpans:
         pass
     rows = _stage(scan_jsonl(spark, path, line_numbers=True), f"{folder}/whole", fmt, min_messages, PLACE)
-    good = rows.where("error_class IS NULL")
-    place = nth_place(good, wanted, PLACE)
-    if place is None:
-        return _Leading(rows, PLACE, None, good.count(), [])
-    return _Leading(rows, PLACE, (place["file"], place["lineno"]), wanted, [])
+    place = nth_place(rows.where("error_class IS NULL"), wanted, PLACE)
+    good, bad = rows.agg(*_counts()).first()
+    end = None if place is None else (place["file"], place["lineno"])
+    return _Leading(rows, PLACE, min(good, wanted), end, 0, [], bad)
 
 
 class _NoSpans(Exception):
@@ -221,7 +233,7 @@ def _import_leading(
         with staged(spark, out, mode) as fresh:
             leading = _leading(spark, path, folder, fmt, min_messages, max(limit, 1))
             skipped = 0
-            if on_error == "fail" and not leading.faults().isEmpty():
+            if on_error == "fail" and leading.faulty and not leading.faults().isEmpty():
                 raise_first_error(spark, path, fmt)
             if on_error == "skip":
                 skipped = leading.faults().count()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,6 +59,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def written(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table in the shared folder, written in one job; it is deleted
+    when the block ends."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, written in one job. The result reads
+    it, so its input is evaluated once; it is deleted when the application ends."""
+    spark, path = df.sparkSession, fresh_dir(df.sparkSession, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
     """``df`` written out and measured, with a broadcast hint if its rows take at
     most ``max_bytes`` as text and overhead; otherwise the join it goes into

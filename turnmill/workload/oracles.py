@@ -95,6 +95,10 @@ def _ranked(keys: str, source: str, seed: int = SEED) -> str:
 
 _KEYS = f"{_SAID}, {_usable(2)}, keys AS (SELECT doc_id + 1 AS lineno FROM usable)"
 
+# A digest of all messages of a conversation.
+_DIGESTS = """digests AS (
+  SELECT doc_id + 1 AS lineno, md5(string_agg(role || ':' || text, chr(10) ORDER BY i)) AS digest FROM said GROUP BY doc_id)"""
+
 _TIMED = """first AS (SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type),
 timed AS (SELECT e.event_type AS path, e.event_id AS step, e.value AS seconds
   FROM events e JOIN first f ON e.event_type = f.event_type AND e.event_id <> f.event_id)"""
@@ -206,10 +210,15 @@ WITH {_RATED}
 SELECT seq_id % 16 AS batch, round(avg(CASE WHEN inside THEN 0.0 ELSE 1.0 END), 6) AS clip_fraction
 FROM gated GROUP BY 1""",
     "holdout_split": f"""
-WITH {_KEYS}, {_ranked("lineno", "keys")}
-SELECT lineno, CASE WHEN rank < {TEST_SIZE} THEN 'test' ELSE 'train' END AS split FROM ranked""",
+WITH {_KEYS}, {_DIGESTS}, {_ranked("lineno", "keys")}
+SELECT lineno, digest, CASE WHEN rank < {TEST_SIZE} THEN 'test' ELSE 'train' END AS split FROM ranked JOIN digests USING (lineno)""",
     "batch_plan": f"""
-WITH {_KEYS}, {_ranked("lineno", "keys")} SELECT lineno, rank, rank // 8 AS batch FROM ranked""",
+WITH {_KEYS}, {_DIGESTS}, {_ranked("lineno", "keys")}
+SELECT lineno, digest, rank, rank // 8 AS batch FROM ranked JOIN digests USING (lineno)""",
+    "supervised_dataset": f"""
+WITH {_KEYS}, {_DIGESTS}, {_ranked("lineno", "keys")}, placed AS (
+  SELECT lineno, digest, CASE WHEN rank >= {TEST_SIZE} THEN rank - {TEST_SIZE} END AS rank FROM ranked JOIN digests USING (lineno))
+SELECT lineno, digest, rank, rank // 8 AS batch FROM placed""",
     "training_schedule": f"""
 WITH {_ranked("doc_id", "documents", 0)},
 batches AS (SELECT rank // 8 AS batch, count(*) AS size FROM ranked GROUP BY 1),

@@ -8,8 +8,9 @@ from turnmill.errors import EmptyResultError, ImportFormatError
 from turnmill.functions import chat, ratios
 from turnmill.functions.text import is_blank
 from turnmill.operators import metrics, rollouts, shaping, tasks, traces
+from turnmill.plans.datasets import supervised_dataset
 from turnmill.plans.import_traces import import_files
-from turnmill.session import checkpointed, fresh_dir
+from turnmill.session import fresh_dir
 from turnmill.sources.lines import scan_jsonl
 from turnmill.sources.records import scan_bench_record, scan_metrics_jsonl, task_catalog
 from turnmill.sources.sinks import stage_dataset, write_messages_jsonl
@@ -323,19 +324,28 @@ def clip_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- dataset shaping -------------------------------------------------------
 
-def _conversation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of the usable conversations, imported once: splitting reads them
-    more than once."""
-    lines = inputs.messages_lines(spark, sf_dir)
-    return checkpointed(traces.import_conversations(lines).select("lineno"))
+def _digested(conversations: DataFrame, *more: str) -> DataFrame:
+    """lineno, a digest of all messages and the columns ``more``."""
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return conversations.select("lineno", F.md5(F.array_join(said, "\n").cast("binary")).alias("digest"), *more)
 
 
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaping.holdout_split(_conversation_keys(spark, sf_dir), ["lineno"], TEST_SIZE, SEED)
+    imported = traces.import_conversations(inputs.messages_lines(spark, sf_dir))
+    return _digested(shaping.holdout_split(imported, ["lineno"], TEST_SIZE, SEED), "split")
 
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shaping.batch_plan(_conversation_keys(spark, sf_dir), ["lineno"], 8, SEED)
+    imported = traces.import_conversations(inputs.messages_lines(spark, sf_dir))
+    return _digested(shaping.batch_plan(imported, ["lineno"], 8, SEED), "rank", "batch")
+
+
+def supervised_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shaping of a supervised run end to end: import, hold out, batch."""
+    imported = traces.import_conversations(inputs.openai_lines(spark, sf_dir), "openai")
+    train, test = supervised_dataset(imported, ["lineno"], TEST_SIZE, 8, SEED)
+    held_out = test.withColumns({"rank": F.lit(None).cast("bigint"), "batch": F.lit(None).cast("bigint")})
+    return _digested(train.unionByName(held_out), "rank", "batch")
 
 
 def training_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -538,6 +548,7 @@ QUERIES = {
     "clip_fraction": clip_fraction,
     "holdout_split": holdout_split,
     "batch_plan": batch_plan,
+    "supervised_dataset": supervised_data,
     "training_schedule": training_schedule,
     "rollout_plan": rollout_plan,
     "truncate_tokens": truncate_tokens,
