@@ -69,8 +69,7 @@ def test_packing_is_a_partition_of_the_ids(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(byte_bpe_path())
-    tokenizer.encode_special_tokens = True
-    rows = [*model.corpus(), (None, "x y"), (1, "again")]
+    rows = [*model.corpus(), (None, "x y"), (1, "again"), (2, "hello <|endoftext|> world"), (4, "<|endoftext|><|endoftext|>\n<|endof")]
     docs = model.frame(spark, rows).repartition(3)
     ids = {}
     for i, t in rows:
@@ -97,7 +96,6 @@ def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(byte_bpe_path())
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
     bits = ["a", "don't", " ", " ", "  ", "\n", "\t", "\0", "\x1c", "\x85", "7", "é", "中文", ".", "<|endoftext|>", "'ll"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(400)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from turnmill.llm.columns import byte_rows, mix, ranges, slices, texts_of
 from turnmill.llm.graph import components, local_components
-from turnmill.llm.tables import stored
+from turnmill.llm.tables import repeats_an_id, stored, with_own_ids
 
 GROUPS = 256
 _SLICE = 1 << 22
@@ -452,13 +452,16 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` but one of each group of near copies: that of the
-    smallest doc_id; of rows that repeat a doc_id, one. Columns unchanged. Rows
-    with null doc_id and texts without words stay."""
+    smallest doc_id. Columns unchanged. Rows that repeat a doc_id are documents of
+    their own, judged by their texts; of similar ones, that with the least SHA-256
+    of the text stays. Rows with null doc_id and texts without words stay."""
+    if repeats_an_id(docs):
+        kept = _without_near_copies(with_own_ids(docs), size, percent).select("row.*")
+        return kept.unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    return _without_near_copies(docs, size, percent)
+
+
+def _without_near_copies(docs: DataFrame, size: int, percent: int) -> DataFrame:
     members, _ = similarity_join(docs, size, percent)
-    gone = members.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    again = members.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    if again:
-        known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = known.unionByName(kept.where("doc_id is null"))
-    return kept
+    gone = members.where("doc_id != component_id").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 
-from turnmill.llm.tables import stored
+from turnmill.llm.tables import Shipped, stored
 
 _HELD = 50_000  # queries whose best a task keeps
 _LEAVES = "leaf long, kind int, ids array<long>, vector array<double>"
@@ -226,7 +226,7 @@ def nearest(
     single = stored(single.select(F.slice(F.array_sort(F.array_distinct("ids")), 1, k + 1).alias("ids"), "vector"), "vectors")
     chosen = single.orderBy(F.xxhash64("vector")).limit(sample).select("vector").collect()
     forest = Forest(_units(np.array([r[0] for r in chosen])), trees, leaf)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = Shipped(spark, forest)
     asked = clean(queries, dims).dropDuplicates(["vec_id"]).select(F.array("vec_id").alias("ids"), "vector")
     leaves = max(2 * trees, int(share * sum(t.leaves for t in forest.trees)))
     index = single.mapInArrow(_placed(shared, dims, False, leaves), _LEAVES)

@@ -14,6 +14,7 @@ sees its rows in the same order.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -38,10 +39,14 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _whole_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of whole strings. Vocabularies of the byte-level kind are read into
-    tiktoken, which gives the very ids of ``tokenizers`` in a third of the time;
-    others go through ``tokenizers`` itself."""
+def _whole_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, int] | None]:
+    """Ids of whole strings, and the added tokens of the vocabulary, which are one
+    id wherever they stand; strings must not hold one. None for the tokens: the
+    strings may hold them and must be whole texts.
+
+    Vocabularies of the byte-level kind are read into tiktoken, which gives the
+    very ids of ``tokenizers`` in a third of the time; others go through
+    ``tokenizers`` itself."""
     import json
     import os
 
@@ -49,23 +54,24 @@ def _whole_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
     with open(path, encoding="utf-8") as file:
         known = json.load(file)
-    if (known.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not known["pre_tokenizer"].get("add_prefix_space"):
+    added = known.get("added_tokens", ())
+    plain = not any(x[flag] for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    if plain and (known.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not known["pre_tokenizer"].get("add_prefix_space"):
         import tiktoken
 
         # Byte-level vocabularies write bytes without a visible sign as 256, 257 …
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = (b for b in range(256) if b not in seen)
         byte = {chr(b): b for b in seen} | {chr(256 + k): b for k, b in enumerate(rest)}
-        special = {x["content"] for x in known.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in added}
         ranks = {bytes(byte[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [own.encode_ordinary(t) for t in texts]
+        return lambda texts: [own.encode_ordinary(t) for t in texts], special
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], None
 
 
 def _parts(text: str) -> list[str]:
@@ -84,7 +90,10 @@ class WordEncoder:
     """Token ids of texts, each word encoded once while it is in the cache."""
 
     def __init__(self, path: str, max_words: int = 600_000):
-        self.whole = _whole_encoder(path)
+        self.whole, self.added = _whole_encoder(path)
+        # Of added tokens that begin alike, the longest is meant.
+        longest = sorted(self.added or (), key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self.max_words = max_words
         self.clear()
 
@@ -95,8 +104,12 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         for word in words:
             self.known[word] = len(self.known)
-        # Inside a text a word has its space before it; \0 marks what begins one.
-        got = self.whole([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in words])
+        # Inside a text a word has its space before it; \0 marks what begins one,
+        # or a part of it, and \0\0 an added token.
+        added = {f"\0\0{token}": [i] for token, i in (self.added or {}).items()}
+        plain = [w for w in words if w not in added]
+        ids = iter(self.whole([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in plain]))
+        got = [added[w] if w in added else next(ids) for w in words]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes + len(self.flat)
@@ -110,11 +123,15 @@ class WordEncoder:
         words: list[str] = []
         counts = []
         for text in texts:
-            parts = _parts(text) if text else []
-            if parts:
-                parts[0] = f"\0{parts[0]}"
-            counts.append(len(parts))
-            words += parts
+            before = len(words)
+            for k, piece in enumerate(self.split.split(text) if self.split else (text,)):
+                if k % 2:
+                    words.append(f"\0\0{piece}")
+                elif piece:
+                    parts = _parts(piece) if self.added is not None else [piece]
+                    parts[0] = f"\0{parts[0]}"
+                    words += parts
+            counts.append(len(words) - before)
         fresh = [w for w in set(words) if w not in self.known]
         if fresh:
             self._learn(fresh)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnmill.llm.columns import byte_rows, mix, slices, texts_of
 from turnmill.llm.network import TwoLayers, labelled_sample
+from turnmill.llm.tables import Shipped
 
 WORDS, DIMS = 1 << 15, 32
 _NEAR, _SIGNS, _SLICES, _RUN = 2, 4, 16, 1 << 20
@@ -151,12 +152,12 @@ class QualityModel:
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """doc_id and score (0 to 1, higher: label 1 likelier) of every row."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.vectors, self.network))
+        shared = Shipped(docs.sparkSession, (self.vectors, self.network))
         return texts_of(docs).mapInArrow(_scorer(shared), "doc_id long, score double")
 
     def kept(self, docs: DataFrame, least: float) -> DataFrame:
         """The rows of ``docs`` that score at least ``least``, unchanged."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.vectors, self.network))
+        shared = Shipped(docs.sparkSession, (self.vectors, self.network))
         names = docs.columns
         text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
         whole = docs.select(F.struct(*names).alias("row"), text.alias("text"))

@@ -17,8 +17,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm import suffix_dedup as s
-from turnmill.llm.columns import byte_rows, mix, slices
+from turnmill.llm.columns import byte_rows, mix, ranges, slices
+from turnmill.llm.suffix_dedup import (
+    Columns,
+    _HELD,
+    _MARKS,
+    _OPEN,
+    _PACKED,
+    _PLACES,
+    _bitmap,
+    _bucket_of,
+    _by_document,
+    _first_of_equals,
+    _joined,
+    _named,
+    _packed,
+    _powers,
+    _ranges_joined,
+    _segments,
+    _settle,
+    _sorted_bucket,
+    _suffixes,
+    _unpacked,
+    keyed,
+    places_of,
+)
+from turnmill.llm.tables import stored
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,7 +100,7 @@ def words_of(data: np.ndarray, limits: np.ndarray, scripts: bool = False) -> tup
     first = np.searchsorted(where, starts)
     last = where[np.append(first[1:], len(where)) - 1]
     place = np.arange(len(where)) - np.repeat(first, np.diff(np.append(first, len(where))))
-    power = s._powers(_STEPS[0], int(place.max()) + 1)
+    power = _powers(_STEPS[0], int(place.max()) + 1)
     words = mix(np.add.reduceat(_BYTE[_LOWER[data[where]]] * power[place], first))
     row = np.searchsorted(limits, starts, "right") - 1
     feeds = np.concatenate(([0], np.cumsum(data == 10)))
@@ -96,7 +120,7 @@ def _hashed(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
     if not len(begin):
         return np.zeros(0, np.uint64)
     size = np.diff(np.append(begin, len(words)))
-    turn = s._powers(_STEPS[1], int(size.max()))[np.arange(len(words)) - np.repeat(begin, size)]
+    turn = _powers(_STEPS[1], int(size.max()))[np.arange(len(words)) - np.repeat(begin, size)]
     return mix(np.add.reduceat(words * turn, begin))
 
 
@@ -112,23 +136,23 @@ def _spans(span: int, words: int | None, buckets: int) -> Callable:
     reach = words or 1
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[s.Columns] = []
-        places: list[s.Columns] = []
+        held: list[Columns] = []
+        places: list[Columns] = []
 
         def sent() -> Iterator[pa.RecordBatch]:
             found = []
             if held:
-                marks, firsts = s._first_of_equals(s._joined(held))
+                marks, firsts = _first_of_equals(_joined(held))
                 found.append(marks)
-                yield s._packed(firsts, s._bucket_of(firsts["c0"], buckets), _RUNS)
+                yield _packed(firsts, _bucket_of(firsts["c0"], buckets), _RUNS)
             if places:
-                marks, firsts, _ = s._settle(s._joined(places))
+                marks, firsts, _ = _settle(_joined(places))
                 found.append({k: marks[k] for k in ("doc", "copy", "lo", "hi")})
-                yield s._packed(firsts, s._bucket_of(firsts["c0"], buckets), s._PLACES)
+                yield _packed(firsts, _bucket_of(firsts["c0"], buckets), _PLACES)
             held.clear(), places.clear()
-            marks = s._ranges_joined(s._joined(found))
+            marks = _ranges_joined(_joined(found))
             if len(marks["lo"]):
-                yield s._packed(marks, s._bucket_of(marks["doc"], buckets), s._MARKS)
+                yield _packed(marks, _bucket_of(marks["doc"], buckets), _MARKS)
 
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -142,11 +166,11 @@ def _spans(span: int, words: int | None, buckets: int) -> Callable:
                 length = np.minimum(n, span)
                 runs = np.where(n > 0, n - length + 1, 0)
                 own = np.repeat(np.arange(j - i), runs)
-                at = ends[own] + s.ranges(np.zeros(j - i, np.int64), runs)
+                at = ends[own] + ranges(np.zeros(j - i, np.int64), runs)
                 keys = []
                 for step in _STEPS:
                     value = length[own].astype(np.uint64)
-                    turn = s._powers(step, span + 1)
+                    turn = _powers(step, span + 1)
                     for k in range(span):
                         live = length[own] > k
                         value[live] += hashes[at[live] + k] * turn[k + 1]
@@ -154,14 +178,14 @@ def _spans(span: int, words: int | None, buckets: int) -> Callable:
                 if len(own):
                     lo, hi = begin[at] - edges[own], until[at + length[own] - 1] - edges[own] - reach
                     held.append({"c0": keys[0], "c1": keys[1], "doc": docs[i:j][own], "copy": copies[i:j][own], "lo": lo, "hi": hi})
-                for rows, begins, stops in s._segments(edges, words) if words else ():
-                    at = s.ranges(begins, stops - begins)
-                    own, lo, hi, rank, context = s.places_of(values[at], np.concatenate(([0], np.cumsum(stops - begins))), words)
+                for rows, begins, stops in _segments(edges, words) if words else ():
+                    at = ranges(begins, stops - begins)
+                    own, lo, hi, rank, context = places_of(values[at], np.concatenate(([0], np.cumsum(stops - begins))), words)
                     if len(own):
                         shift = (begins - edges[rows])[own]
                         own = i + rows[own]
                         places.append({"c0": rank, "c1": context, "doc": docs[own], "copy": copies[own], "lo": lo + shift, "hi": hi + shift})
-                if sum(len(h["lo"]) for h in held + places) > s._HELD:
+                if sum(len(h["lo"]) for h in held + places) > _HELD:
                     yield from sent()
         if held or places:
             yield from sent()
@@ -173,22 +197,22 @@ def _met(buckets: int) -> Callable:
     """Runs and places that meet, to word ranges to remove and places to sort;
     both packed by document."""
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[int, list[s.Columns]] = {_RUNS: [], s._PLACES: [], s._MARKS: []}
+        kinds: dict[int, list[Columns]] = {_RUNS: [], _PLACES: [], _MARKS: []}
         for batch in batches:
             for kind, rows in kinds.items():
-                rows += s._unpacked(batch, kind)
-        found = kinds[s._MARKS]
+                rows += _unpacked(batch, kind)
+        found = kinds[_MARKS]
         if kinds[_RUNS]:
-            found.append(s._first_of_equals(s._joined(kinds.pop(_RUNS)))[0])
-        if kinds[s._PLACES]:
-            marks, _, several = s._settle(s._joined(kinds.pop(s._PLACES)))
+            found.append(_first_of_equals(_joined(kinds.pop(_RUNS)))[0])
+        if kinds[_PLACES]:
+            marks, _, several = _settle(_joined(kinds.pop(_PLACES)))
             found.append({k: marks[k] for k in ("doc", "copy", "lo", "hi")})
             if len(several["lo"]):
-                yield s._packed(several, s._bucket_of(several["doc"], buckets), s._OPEN)
+                yield _packed(several, _bucket_of(several["doc"], buckets), _OPEN)
         if found:
-            marks = s._ranges_joined(s._joined([{k: f[k] for k in ("doc", "copy", "lo", "hi")} for f in found]))
+            marks = _ranges_joined(_joined([{k: f[k] for k in ("doc", "copy", "lo", "hi")} for f in found]))
             if len(marks["lo"]):
-                yield s._packed(marks, s._bucket_of(marks["doc"], buckets), s._MARKS)
+                yield _packed(marks, _bucket_of(marks["doc"], buckets), _MARKS)
 
     return met
 
@@ -202,7 +226,7 @@ def _cut(words: int | None) -> Callable:
             columns = zip(*out, strict=True) if out else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_bytes", "n_sentences", "n_removed"])
 
-        for doc, _, text, marks in s._by_document(batches, s._MARKS):
+        for doc, _, text, marks in _by_document(batches, _MARKS):
             data = np.frombuffer(text, np.uint8)
             starts, _, _, _, begin = words_of(data, np.array([0, len(data)]), words is not None)
             depth = np.zeros(len(starts) + 1, np.int32)
@@ -239,22 +263,22 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, block: int = 12 << 20,
     """
     if words is not None and not 16 <= words <= 4000:
         raise ValueError("words from 16 to 4000")
-    rows, whole, total = s.keyed(docs)
+    rows, whole, total = keyed(docs)
     buckets = 1 + total // block
-    packed = rows.mapInArrow(_spans(span, words, buckets), s._PACKED).repartition(buckets, "bucket")
-    settled = s.stored(packed.mapInArrow(_met(buckets), s._PACKED), "spans")
-    marks = settled.where(F.col("kind") == s._MARKS)
+    packed = rows.mapInArrow(_spans(span, words, buckets), _PACKED).repartition(buckets, "bucket")
+    settled = stored(packed.mapInArrow(_met(buckets), _PACKED), "spans")
+    marks = settled.where(F.col("kind") == _MARKS)
     if words:
-        open_ = settled.where(F.col("kind") == s._OPEN)
-        texts = rows.mapInArrow(s._named(s._bitmap(open_), buckets, True), s._PACKED)
+        open_ = settled.where(F.col("kind") == _OPEN)
+        texts = rows.mapInArrow(_named(_bitmap(open_), buckets, True), _PACKED)
         met = open_.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-        by_rank = met.mapInArrow(s._suffixes(words, buckets, _word_hashes), s._PACKED).repartition(buckets, "bucket")
-        marks = marks.unionByName(s.stored(by_rank.mapInArrow(s._sorted_bucket(buckets), s._PACKED), "suffixes"))
-    bits = s._bitmap(marks)
-    texts = rows.mapInArrow(s._named(bits, buckets, True), s._PACKED)
+        by_rank = met.mapInArrow(_suffixes(words, buckets, _word_hashes), _PACKED).repartition(buckets, "bucket")
+        marks = marks.unionByName(stored(by_rank.mapInArrow(_sorted_bucket(buckets), _PACKED), "suffixes"))
+    bits = _bitmap(marks)
+    texts = rows.mapInArrow(_named(bits, buckets, True), _PACKED)
     met = marks.unionByName(texts).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
     cut = met.mapInArrow(_cut(words), _RESULT)
-    clean = rows.mapInArrow(s._named(bits, buckets, False), "doc_id long, text binary, copy int").select("doc_id", F.col("text").alias("text_bytes"))
+    clean = rows.mapInArrow(_named(bits, buckets, False), "doc_id long, text binary, copy int").select("doc_id", F.col("text").alias("text_bytes"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from turnmill.llm.columns import byte_rows, mix, slices, texts_of
 from turnmill.llm.network import labelled_sample, sigmoid
+from turnmill.llm.tables import Shipped
 
 _RUN = 1 << 22
 _STARTS = (4, 5, 6)
@@ -89,7 +90,7 @@ class ToxicityModel:
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """doc_id and score (0 to 1, higher: toxic likelier) of every row."""
-        shared = docs.sparkSession.sparkContext.broadcast(self)
+        shared = Shipped(docs.sparkSession, self)
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
