@@ -16,7 +16,7 @@ from turnmill.llm.jaccard_join import without_near_copies
 from turnmill.llm.packing import pack_sequences
 from turnmill.llm.quality import train_quality
 from turnmill.llm.suffix_dedup import remove_repeats
-from turnmill.llm.tables import stored
+from turnmill.llm.tables import repeats_an_id, stored, with_own_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +32,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what is covered by repeated strings of 100 bytes, n_chars
-    counted anew; documents of which nothing is left go. Rows with null doc_id
-    stay as they are."""
+    counted anew; documents of which nothing is left go. Rows that repeat a doc_id
+    are documents of their own, in the order of the SHA-256 of their texts. Rows
+    with null doc_id stay as they are."""
     named = docs.where("doc_id is not null")
-    kept = remove_repeats(named, whole_characters=True).where("n_removed < n_bytes or n_bytes = 0")
+    again = repeats_an_id(named)
+    rows = with_own_ids(named) if again else named.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    left = remove_repeats(rows.select("doc_id", "text"), whole_characters=True).where("n_removed < n_bytes or n_bytes = 0")
     text = F.col("text_bytes").cast("string")
-    changed = named.drop("text", "n_chars").join(
-        kept.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars")), "doc_id"
-    )
-    return changed.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    left = left.select("doc_id", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    changed = rows.drop("text").join(left, "doc_id").select("text", "n_chars", "row")
+    changed = changed.select(*[c if c in ("text", "n_chars") else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return changed.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
