@@ -297,3 +297,40 @@ def test_last_of_repeated_messages_counts(spark, tmp_path, last, key):
     for fmt in ("messages", "openai", "anthropic"):
         with pytest.raises(ImportFormatError):
             import_files(spark, str(dump), str(tmp_path / f"out-{fmt}"), fmt=fmt)
+
+
+def test_outer_folders(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from turnmill.sources.records import outer_folders
+
+    rng = random.Random(6)
+    paths = {"/".join(["t", *(rng.choice("ab-c.") * rng.randint(1, 2) for _ in range(rng.randint(1, 6)))]) for _ in range(400)}
+    paths |= {"deep", *(f"deep/{i:03d}/x/y" for i in range(300)), "deep-not", "deeper/x"}
+    want = {p for p in paths if not any(p.startswith(f"{q}/") for q in paths)}
+    df = spark.createDataFrame([(p,) for p in paths] * 2, "folder string").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r.folder for r in outer_folders(df).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got) == sorted(want) and outer_folders(df.where(F.lit(False))).count() == 0
+
+
+def test_failing_import_reads_one_file_again(spark, tmp_path, monkeypatch):
+    from turnmill.plans import import_traces
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(4):
+        (folder / f"{i}.jsonl").write_text(f"{GOOD}\n" * 3 + ("[]\n" if i % 2 else ""))
+    scans = []
+    monkeypatch.setattr(import_traces, "scan_jsonl", lambda *a, **k: scans.append(k.get("file")) or scan_jsonl(*a, **k))
+    with pytest.raises(ImportFormatError, match="line 4: not_object.*1.jsonl"):
+        import_files(spark, str(folder), str(tmp_path / "out"))
+    assert [f and f.rsplit("/", 1)[1] for f in scans] == [None, "1.jsonl"]
+    scans.clear()
+    assert import_files(spark, str(folder), str(tmp_path / "out"), on_error="skip").skipped == 2
+    assert scans == [None]

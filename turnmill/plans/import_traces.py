@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from turnmill.operators.ranks import nth_place
 from turnmill.operators.traces import (
     fail_loud,
-    import_conversations,
     import_errors,
     parse_lines,
     parser_for,
@@ -46,16 +44,16 @@ def import_files(
 ) -> ImportResult:
     """Write the usable conversations of dump files to ``out``.
 
-    A sound dump is read once: conversations are written while the lines are
-    checked, and line numbers are not computed. A faulty line fails the write
-    job, nothing is committed, and only then is the earliest faulty line looked
-    up and raised. With ``limit``, files are read in order, in growing waves, until
+    The dump is read once: conversations are written while the lines are checked,
+    and line numbers are not computed. Each task notes its earliest faulty line on
+    the way; if there is one, nothing is committed, and the lines of its file, and
+    no others, are numbered to raise it. With ``limit``, files are read in order, in growing waves, until
     there are as many conversations; faults after the last kept line do not count.
     ``out`` is as it was before if anything fails, an empty result included.
 
     ``on_error='skip'`` leaves faulty lines out and counts them; ``quarantine``
     is a folder that they go to as JSON, with file, number and error, before the
-    conversations take their place. Counting them reads the input again.
+    conversations take their place; for their numbers the input is read again.
     """
     parser_for(fmt)
     prepare(spark)
@@ -66,43 +64,37 @@ def import_files(
     if limit is not None:
         return _import_leading(spark, path, out, fmt, min_messages, limit, on_error, mode, quarantine)
     lines = scan_jsonl(spark, path)
-    kept = import_conversations(lines, fmt, min_messages, on_error)
     seen = Observation("import")
-    counted = to_messages_jsonl(kept.observe(seen, F.count(F.lit(1)).alias("conversations")))
+    parsed = parse_lines(lines, fmt, min_messages).observe(seen, *_findings())
     with staged(spark, out, mode) as fresh:
-        try:
-            counted.write.text(fresh)
-        except PySparkException:
-            if on_error == "fail":
-                raise_first_error(spark, path, fmt)
-            raise
-        written = require_conversations(seen.get["conversations"], min_messages)
-        skipped = _skipped(lines, path, fmt, mode, quarantine) if on_error == "skip" else 0
-    return ImportResult(out, fmt, written, skipped)
-
-
-def _skipped(lines: DataFrame, path, fmt: str, mode: str, quarantine: str | None) -> int:
-    """How many lines are faulty; with ``quarantine`` they are written there,
-    those of faulty files being numbered."""
-    if quarantine is None:
-        return import_errors(lines, fmt).count()
-    spark = lines.sparkSession
-    numbered = number_lines(lines)
-    seen = Observation("quarantine")
-    faulty = import_errors(numbered, fmt).observe(seen, F.count(F.lit(1)).alias("lines"))
-    with staged(spark, quarantine, mode) as fresh:
-        faulty.write.json(fresh)
-    return seen.get["lines"]
-
-
-def raise_first_error(spark: SparkSession, path, fmt: str) -> None:
-    """Raise on the earliest faulty line of the files, if any. The faulty file
-    is found first, and only that file's lines are numbered."""
-    errors = import_errors(scan_jsonl(spark, path), fmt)
-    worst = errors.agg(F.min("file").alias("file")).first()["file"]
-    if worst is not None:
-        one = scan_jsonl(spark, path, file=worst)
-        fail_loud(import_errors(number_lines(one), fmt), PLACE)
+        to_messages_jsonl(parsed.where("error_class IS NULL")).write.text(fresh)
+        found = seen.get
+        if on_error == "fail" and found["faulty"]:
+            raise_first_error(spark, path, fmt, found["first"]["file"])
+        written = require_conversations(found["conversations"], min_messages)
+        if quarantine:
+            _put_aside(lines, fmt, mode, quarantine)
+    return ImportResult(out, fmt, written, found["faulty"] if on_error == "skip" else 0)
+
+
+def _findings() -> list[Column]:
+    """What the writing pass learns on the way: conversations, faulty lines, and
+    the place of the earliest of these."""
+    faulty = F.col("error_class").isNotNull()
+    first = F.min(F.when(faulty, F.struct("file", "split_start", "row_id"))).alias("first")
+    return [F.count_if(~faulty).alias("conversations"), F.count_if(faulty).alias("faulty"), first]
+
+
+def _put_aside(lines: DataFrame, fmt: str, mode: str, quarantine: str) -> None:
+    """Write the faulty lines, with their numbers, to ``quarantine``."""
+    with staged(lines.sparkSession, quarantine, mode) as fresh:
+        import_errors(number_lines(lines), fmt).write.json(fresh)
+
+
+def raise_first_error(spark: SparkSession, path, fmt: str, file: str) -> None:
+    """Raise on the earliest faulty line of one of the files; only that file's
+    lines are read and numbered."""
+    fail_loud(import_errors(number_lines(scan_jsonl(spark, path, file=file)), fmt), PLACE)
 
 
 @dataclass
@@ -143,6 +135,10 @@ class _Leading:
     def _place(self) -> Column:
         return F.struct(*[F.lit(v).alias(c) for c, v in zip(self.order, self.end, strict=True)])
 
+    def first_faulty_file(self) -> str:
+        first = self.faults().agg(F.min(F.struct(*self.order)).alias("place")).first()["place"]
+        return self.spans[first["span"]].file if self.spans else first["file"]
+
     def named_faults(self) -> DataFrame:
         """Faults with file and line number. Lines are counted in the spans of the
         files that have one."""
@@ -234,7 +230,7 @@ def _import_leading(
             leading = _leading(spark, path, folder, fmt, min_messages, max(limit, 1))
             skipped = 0
             if on_error == "fail" and leading.faulty and not leading.faults().isEmpty():
-                raise_first_error(spark, path, fmt)
+                raise_first_error(spark, path, fmt, leading.first_faulty_file())
             if on_error == "skip":
                 skipped = leading.faults().count()
             leading.conversations().select("line").write.text(fresh)

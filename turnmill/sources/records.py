@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from turnmill.functions.chat import json_record
-from turnmill.session import prepare
+from turnmill.session import kept, prepare, ship_by_value
+
+ship_by_value(__name__)
 
 _PATH_SUMMARY = T.StructType(
     [
@@ -159,31 +164,64 @@ def scan_task_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted folders ("/" at their end) of a part to those that are in no other
+    folder of the part, and the first and last of all."""
+    first = root = last = None
+    for batch in batches:
+        own = []
+        for folder in batch.column(0).to_pylist():
+            first, last = first or folder, folder
+            if root is None or not folder.startswith(root):
+                root = folder
+                own.append(folder)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.nulls(len(own), pa.string())], ["folder", "last"])
+    if first is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([root], pa.string()), pa.array([last], pa.string())], ["folder", "last"])
+
+
+def outer_folders(folders: DataFrame) -> DataFrame:
+    """The folders (one column) that lie in no other of them.
+
+    All that lies in a folder follows it in the order of paths, so each part of
+    the sorted paths is scanned once for folders that do not begin with the one
+    kept before. A part may begin within the last one kept in earlier parts: that
+    is carried from part to part, with two paths of each.
+    """
+    (name,) = folders.columns
+    paths = folders.select(F.concat(name, F.lit("/")).alias("folder")).distinct().orderBy("folder")
+    part = F.spark_partition_id().alias("_part")
+    scanned = kept(paths.mapInArrow(_outer, "folder string, last string").select("*", part), "folders")
+    carried, root = [], None
+    for row in sorted(scanned.where("last is not null").collect(), key=lambda r: r["_part"]):
+        carried.append((row["_part"], root))
+        if root is None or not row["last"].startswith(root):
+            root = row["folder"]
+    before = folders.sparkSession.createDataFrame(carried, "_part int, _root string")
+    own = scanned.where("last is null").join(F.broadcast(before), "_part")  # a row per task
+    own = own.where(F.coalesce(~F.col("folder").startswith(F.col("_root")), F.lit(True)))
+    return own.select(F.expr("substring(folder, 1, char_length(folder) - 1)").alias(name))
+
+
 def task_catalog(files: DataFrame) -> DataFrame:
     """One row per task folder with the text of its files, NULL for a missing
     one: dataset (the folder that the task's is in), task_name, file texts.
 
     A task is its folder: equal names in different datasets stay apart, and no
     text comes from another task. A folder below a task's folder is part of that
-    task and none of its own. At most four rows of a task meet.
+    task and none of its own; which these are is settled from the paths, before
+    texts are read, so texts are shuffled once. Of a file that is listed twice,
+    the greater text counts.
     """
     tails = "|".join(name.replace(".", r"\.") for name in TASK_FILES)
     pattern = rf"^(.+)/({tails})$"
     folder = F.regexp_extract("path", pattern, 1).alias("folder")
+    tasks = outer_folders(files.select(folder).where("folder != ''"))
     named = files.select(folder, F.regexp_extract("path", pattern, 2).alias("name"), "content").where("name != ''")
-    folders = files.select(folder).where("folder != ''").distinct()
+    texts = [F.max(F.when(F.col("name") == name, F.col("content"))).alias(column) for name, column in TASK_FILES.items()]
     parts = F.split("folder", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    inner = folders.select("folder", F.explode(above).alias("above")).join(
-        folders.select(F.col("folder").alias("above")), "above", "left_semi"
-    )
-    found = named.join(inner.select("folder").distinct(), "folder", "left_anti")
-    found = found.groupBy("folder").agg(F.collect_list(F.struct("name", "content")).alias("_files"))
-    def text_of(name: str) -> Column:
-        return F.get(F.filter("_files", lambda f: f["name"] == name), 0)["content"]
-
-    texts = [text_of(name).alias(column) for name, column in TASK_FILES.items()]
-    return found.select(F.element_at(parts, -2).alias("dataset"), F.element_at(parts, -1).alias("task_name"), *texts)
+    found = named.join(tasks, "folder", "left_semi").groupBy("folder").agg(*texts)
+    return found.select(F.element_at(parts, -2).alias("dataset"), F.element_at(parts, -1).alias("task_name"), *TASK_FILES.values())
 
 
 def scan_task_catalog(spark: SparkSession, root: str) -> DataFrame:

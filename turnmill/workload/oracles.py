@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnmill.workload.inputs import FAULTS, LONE_USER
-from turnmill.workload.queries import RECORDS, SEED, TEST_SIZE, TOKENS_PER_STEP
+from turnmill.workload.queries import LIMIT, RECORDS, SEED, TEST_SIZE, TOKENS_PER_STEP
 
 _BLANK = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
@@ -150,7 +150,13 @@ FROM documents WHERE {_KIND} % 7 = 0""",
     "first_error": f"""
 SELECT doc_id + 1 AS lineno, {_ERROR} AS error_class, {_DETAIL} AS detail
 FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28) ORDER BY doc_id LIMIT 1""",
-    "fail_loud": "SELECT 'ImportFormatError' AS error, true AS raised",
+    "fail_loud": f"""
+WITH earliest AS (SELECT doc_id AS d, {_ERROR} AS error_class FROM documents
+  WHERE {_KIND} IN (0, 7, 14, 21, 28) ORDER BY doc_id LIMIT 1)
+SELECT (SELECT count(*) FROM documents WHERE doc_id <= d) AS lineno, error_class, 0 AS files_before FROM earliest""",
+    "import_limit": f"""
+WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")}, {_DIGESTS}
+SELECT digest FROM digests WHERE lineno IN (SELECT doc_id + 1 FROM usable ORDER BY doc_id LIMIT {LIMIT})""",
     "import_file_job": f"""
 WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")},
 kept AS (SELECT count(*) AS n FROM usable), bad AS (SELECT count(*) AS n FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28))

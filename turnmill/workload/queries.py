@@ -23,6 +23,7 @@ from turnmill.workload.inputs import table
 TOKENS_PER_STEP = 7569
 TEST_SIZE, SEED = 100, 7
 RECORDS = 50
+LIMIT = 60
 RUN_FOLDER = r"run_id=([^/]+)/"
 
 
@@ -125,12 +126,28 @@ def first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fail_loud(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the error of the faulty lines says, as a row."""
+    """The line that a failing import of files names, as it is there: its file's
+    place among the files by path, its number and its error."""
+    path = fresh_dir(spark, "faulty")
+    inputs.faulty_lines(spark, sf_dir).orderBy("lineno").select("value").write.text(path)
     try:
-        traces.fail_loud(import_errors(spark, sf_dir), ["lineno"])
+        import_files(spark, path, fresh_dir(spark, "never"))
     except ImportFormatError as error:
-        return spark.createDataFrame([(type(error).__name__, True)], "error string, raised boolean")
-    return spark.createDataFrame([(None, False)], "error string, raised boolean")
+        lines = scan_jsonl(spark, path, line_numbers=True)
+        before = lines.where(F.col("file") < error.file).select("file").distinct().agg(F.count(F.lit(1)).alias("files_before"))
+        named = lines.where((F.col("file") == error.file) & (F.col("lineno") == error.lineno))
+        return traces.import_errors(named).select("lineno", "error_class", before.scalar().alias("files_before"))
+    return spark.createDataFrame([], "lineno bigint, error_class string, files_before bigint")
+
+
+def import_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The import of files that stops at its limit, faulty lines left out."""
+    folder = fresh_dir(spark, "limited")
+    inputs.faulty_lines(spark, sf_dir).orderBy("lineno").select("value").write.text(f"{folder}/in")
+    import_files(spark, f"{folder}/in", f"{folder}/out", limit=LIMIT, on_error="skip")
+    kept = traces.import_conversations(spark.read.text(f"{folder}/out"))
+    said = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return kept.select(F.md5(F.array_join(said, "\n").cast("binary")).alias("digest"))
 
 
 def require_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,6 +544,7 @@ QUERIES = {
     "first_error": first_error,
     "fail_loud": fail_loud,
     "import_file_job": import_file_job,
+    "import_limit": import_limit,
     "import_stream_restart": import_stream_restart,
     "import_skip_errors": import_around_faults,
     "usable_conversations": usable_conversations,
