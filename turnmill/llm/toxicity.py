@@ -1,15 +1,17 @@
 """Toxicity by non-negative learning from positive and unlabelled texts.
 
-Only confirmed toxic documents count as labelled; a bounded sample of all
-documents, whatever they are marked, is the unlabelled text and may hide toxic
-ones. The risk estimator takes the class prior's share of the positives' loss
-out of the unlabelled loss and, where that drives a mini-batch's negative risk
-below zero, steps back instead (Kiryo and others, 2017).
+Only confirmed toxic documents count as labelled; all documents, whatever they
+are marked, are the unlabelled text and may hide toxic ones. The risk estimator
+takes the class prior's share of the positives' loss out of the unlabelled loss
+and, where that drives the negative risk below zero, steps back instead (Kiryo
+and others, 2017).
 
 The classifiers are linear in the distinct words of a text and their beginnings
-of four to six bytes, hashed; three of them with orders of their own, averaged.
-One pass over the texts scores them; training reads its sample once, and counts
-the features of confirmed texts in all documents.
+of four to six bytes, hashed. Every run of some thousand documents trains one
+against the same confirmed texts, where it is read; their mean over all documents
+is the model. Training reads the documents twice, to count the features of
+confirmed texts in them and to train; scoring reads them once. What tasks send is
+one sum for each feature that weighs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from turnmill.llm.network import labelled_sample, sigmoid
 from turnmill.llm.tables import Shipped
 
 _RUN = 1 << 22
+_DOCUMENTS = 8192  # that train one classifier
 _STARTS = (4, 5, 6)
 _WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -120,11 +123,6 @@ def _collected(rows: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array([r[0] for r in got]), [np.frombuffer(r[1], np.uint32) for r in got]
 
 
-def _flat(rows: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own = [rows[k] for k in which]
-    return np.concatenate(own) if own else np.zeros(0, np.int64), np.concatenate(([0], np.cumsum([len(r) for r in own], dtype=np.int64)))
-
-
 def _without_copies(rows: list[np.ndarray]) -> list[int]:
     """One row of those that share their least uncommon feature; copies would
     pass off their own words as telling."""
@@ -143,43 +141,86 @@ def _without_copies(rows: list[np.ndarray]) -> list[int]:
     return out
 
 
+def _patterns(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different rows, one after the other: cells, limits and how often each is."""
+    times: dict[bytes, int] = {}
+    for row in rows:
+        key = row.astype(np.int64).tobytes()
+        times[key] = times.get(key, 0) + 1
+    own = [np.frombuffer(key, np.int64) for key in times]
+    limits = np.concatenate(([0], np.cumsum([len(r) for r in own], dtype=np.int64)))
+    return np.concatenate(own) if own else np.zeros(0, np.int64), limits, np.array(list(times.values()), float)
+
+
 def fit_nnpu(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float, seed: int,
-    epochs: int = 30, batch: int = 256, rate: float = 0.05, decay: float = 1e-5,
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], features: int, prior: float,
+    steps: int = 200, rate: float = 0.05, shrink: float = 0.15,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss."""
-    rng = np.random.default_rng(seed)
+    """Weights and bias that minimise the non-negative risk with logistic loss.
+    Rows are the features they have; equal rows are one with a weight, so every
+    step is over all of them. ``shrink`` pulls weights towards 0, the less the more
+    positives there are."""
+    decay = shrink / max(1, len(positive))
+    sides = [_patterns(rows) for rows in (positive, unlabelled)]
+    shares = [times / times.sum() for _, _, times in sides]
     w, first, second = (np.zeros(features + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(unlabelled))
-        for at in range(0, len(order), batch):
-            u = order[at : at + batch]
-            p = rng.integers(0, len(positive), batch)
-            slope = np.zeros(features + 1)
-            parts = []
-            for rows, which in ((positive, p), (unlabelled, u)):
-                cells, limits = _flat(rows, which)
-                parts.append((cells, limits, _sums(w, cells, limits) + w[-1]))
-            zp, zu = parts[0][2], parts[1][2]
-            # Loss of a positive log(1 + e^-z), of a negative log(1 + e^z).
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            if negative >= 0:
-                pull = (-prior * sigmoid(-zp) / len(zp) - prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu))
-            else:
-                pull = (prior * sigmoid(zp) / len(zp), -sigmoid(zu) / len(zu))
-            for (cells, limits, _), g in zip(parts, pull, strict=True):
-                slope[:-1] += np.bincount(cells, np.repeat(g, np.diff(limits)), features)
-                slope[-1] += g.sum()
-            slope[:-1] += decay * w[:-1]
-            step += 1
-            first = 0.9 * first + 0.1 * slope
-            second = 0.999 * second + 0.001 * slope * slope
-            w = w - rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
+    for step in range(1, steps + 1):
+        zp, zu = (_sums(w, cells, limits) + w[-1] for cells, limits, _ in sides)
+        p, u = shares
+        # Loss of a positive log(1 + e^-z), of a negative log(1 + e^z).
+        negative = (u * np.logaddexp(0, zu)).sum() - prior * (p * np.logaddexp(0, zp)).sum()
+        if negative >= 0:
+            pull = (-prior * p * (sigmoid(-zp) + sigmoid(zp)), u * sigmoid(zu))
+        else:
+            pull = (prior * p * sigmoid(zp), -u * sigmoid(zu))
+        slope = np.append(decay * w[:-1], 0.0)
+        for (cells, limits, _), g in zip(sides, pull, strict=True):
+            slope[:-1] += np.bincount(cells, np.repeat(g, np.diff(limits)), features)
+            slope[-1] += g.sum()
+        first = 0.9 * first + 0.1 * slope
+        second = 0.999 * second + 0.001 * slope * slope
+        w = w - rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
     return w[:-1], float(w[-1])
 
 
+def _fitted(docs: DataFrame, known: np.ndarray, positive: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+    """The mean, over all documents, of the classifiers of their runs."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, *_patterns(positive), prior))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, cells, limits, times, prior = shared.value
+        confirmed = [cells[a:b] for a, b, n in zip(limits[:-1], limits[1:], times, strict=True) for _ in range(int(n))]
+        total, n = np.zeros(len(known) + 1), 0
+        held: list[np.ndarray] = []
+
+        def fit() -> None:
+            nonlocal total, n
+            w, bias = fit_nnpu(confirmed, held, len(known), prior)
+            total += len(held) * np.append(w, bias)
+            n += len(held)
+            held.clear()
+
+        for batch in batches:
+            data, limits = byte_rows(batch.column(1))
+            for i, j in slices(limits, _RUN):
+                own, ends = features(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+                own = _places(known, own)
+                held += [x[x < len(known)] for x in np.split(own, ends[1:-1])]
+                if len(held) >= _DOCUMENTS:
+                    fit()
+        if held:
+            fit()
+        place = np.arange(len(known) + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.append(total, float(n)))], ["place", "total"])
+
+    sums = texts_of(docs).mapInArrow(fitted, "place long, total double").groupBy("place").agg(F.sum("total").alias("total")).collect()
+    out = np.zeros(len(known) + 2)
+    for place, total in sums:
+        out[place] = total
+    return out[:-2] / out[-1], float(out[-2] / out[-1])
+
+
 def _counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
     """Number of all documents, and how many of them have each known feature."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -206,22 +247,21 @@ def _counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def train_toxicity(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, unlabelled: int = 6_000, positives: int = 4_000, least: int = 3
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, positives: int = 4_000, least: int = 3
 ) -> ToxicityModel:
     """Fits the classifiers.
 
     Confirmed examples are at most ``positives`` of at most ``most`` labelled
     documents of the training fold; their share of these is the class prior.
-    Unlabelled text is that of ``unlabelled`` documents by hash of the id, or of
-    all if there are fewer. Only features weigh that at least ``least`` confirmed
-    texts have, however many these are (copies count once), and confirmed texts at
-    least half as much oftener than all documents as the prior lets features of
-    toxic texts be.
+    Unlabelled text is that of every document. Only features weigh that at least
+    ``least`` confirmed texts have, however many these are (copies count once), and
+    confirmed texts at least half as much oftener than all documents as the prior
+    lets features of toxic texts be.
 
     Null text is empty; empty texts score by the bias alone. Null and repeated
-    doc_ids are scored row by row. Without confirmed examples or unlabelled text
-    every score is the prior (0 without labels). Columns other than doc_id and
-    text play no part.
+    doc_ids are scored row by row. Without confirmed examples or documents every
+    score is the prior (0 without labels). Columns other than doc_id and text play
+    no part.
     """
     sample = labelled_sample(labels, label, most)
     total, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
@@ -229,12 +269,9 @@ def train_toxicity(
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), -40.0)
     prior = min(max(toxic / total, 1e-4), 0.9)
     confirmed = sample.where("label = 1").orderBy(F.xxhash64("doc_id")).limit(positives)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    others = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("label", F.lit(0))
-    rows = texts_of(docs).join(F.broadcast(confirmed.unionByName(others)), "doc_id").select("doc_id", "text", "label")
-    marks, cells = _collected(rows)
-    one, rest = ([c for c, y in zip(cells, marks, strict=True) if y == k] for k in (1, 0))
-    if not one or not rest:
+    rows = texts_of(docs).join(F.broadcast(confirmed), "doc_id").select("doc_id", "text", "label")
+    _, one = _collected(rows)
+    if not one:
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
     single = [one[k] for k in _without_copies(one)]
     known, times = np.unique(np.concatenate(single), return_counts=True)
@@ -242,6 +279,6 @@ def train_toxicity(
     total_docs, in_all = _counts(docs, known)
     # What only toxic texts have is 1 / prior times as frequent in confirmed ones.
     known = known[in_one * total_docs * prior > 0.5 * (in_all + 1) * len(single)]
-    one, rest = ([p[p < len(known)] for p in (_places(known, c) for c in rows)] for rows in (one, rest))
-    fits = [fit_nnpu(one, rest, len(known), prior, seed) for seed in (1, 2, 3)]
-    return ToxicityModel(known, np.mean([w for w, _ in fits], axis=0), float(np.mean([b for _, b in fits])))
+    one = [p[p < len(known)] for p in (_places(known, c) for c in one)]
+    weights, bias = _fitted(docs, known, one, prior)
+    return ToxicityModel(known, weights, bias)
