@@ -36,36 +36,78 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
-def features(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of every row, ascending, and n + 1 limits."""
-    rows = len(limits) - 1
+def _hashed(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every word: its row, its hash, where it begins among ``values``, and its
+    length; and the summands of the bytes of all words."""
     inside = _WORD[data]
     new = inside.copy()
     new[1:] &= ~inside[:-1]
     edges = limits[:-1][limits[:-1] < len(data)]
     new[edges] |= inside[edges]
     starts = np.flatnonzero(new)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(rows + 1, np.int64)
     where = np.flatnonzero(inside)
     first = np.searchsorted(where, starts)
     sizes = np.diff(np.append(first, len(where)))
+    if not len(starts):
+        return starts.astype(np.uint64), starts.astype(np.uint64), first, sizes, np.zeros(0, np.uint64)
     place = np.arange(len(where)) - np.repeat(first, sizes)
     power = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(int(place.max()), _STEP, np.uint64))))
     values = _BYTE[_LOWER[data[where]]] * power[place]
     row = (np.searchsorted(limits, starts, "right") - 1).astype(np.uint64)
-    whole = mix(np.add.reduceat(values, first))
-    _, once = np.unique((row << np.uint64(40)) | (whole >> np.uint64(24)), return_index=True)
-    found = [(row[once], whole[once])]
+    return row, mix(np.add.reduceat(values, first)), first, sizes, values
+
+
+def _beginnings(which: np.ndarray, first: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of ``which`` that are longer than so many bytes, and the hash of
+    their beginning, for each number of bytes."""
     for n in _STARTS:
-        longer = once[sizes[once] > n]
-        begin = first[longer]
-        part = values[begin[:, None] + np.arange(n)].sum(axis=1, dtype=np.uint64)
-        found.append((row[longer], mix(part + np.uint64(n))))
+        longer = which[sizes[which] > n]
+        part = values[first[longer]].copy()
+        for k in range(1, n):
+            part += values[first[longer] + k]
+        yield longer, mix(part + np.uint64(n))
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.unique(np.concatenate([(r << np.uint64(32)) | (h >> np.uint64(32)) for r, h in found]))
     return key.astype(np.uint32), np.searchsorted(key >> np.uint64(32), np.arange(rows + 1))
 
 
+def features(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of every row, ascending, and n + 1 limits."""
+    row, whole, first, sizes, values = _hashed(data, limits)
+    _, once = np.unique((row << np.uint64(40)) | (whole >> np.uint64(24)), return_index=True)
+    found = [(row[once], whole[once])]
+    found += [(row[longer], start) for longer, start in _beginnings(once, first, sizes, values)]
+    return _distinct(found, len(limits) - 1)
+
+
+class Known:
+    """Features that are looked for, ascending; a bitmap keeps most others out
+    before they are sorted."""
+
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[cells & np.uint32((1 << 20) - 1)] = True
+
+    def _may_be(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[((hashes >> np.uint64(32)) & np.uint64((1 << 20) - 1)).astype(np.int64)]
+
+    def places(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``features``, but only those known, by their places."""
+        row, whole, first, sizes, values = _hashed(data, limits)
+        hit = self._may_be(whole)
+        found = [(row[hit], whole[hit])]
+        for longer, start in _beginnings(np.arange(len(row)), first, sizes, values):
+            hit = self._may_be(start)
+            found.append((row[longer[hit]], start[hit]))
+        cells, ends = _distinct(found, len(limits) - 1)
+        at = _places(self.cells, cells)
+        sure = at < len(self.cells)
+        return at[sure], np.concatenate(([0], np.cumsum(sure)))[ends]
+
+
 def _places(known: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """Where features are among the known ones; of others, the place after the last."""
     at = np.searchsorted(known, cells)
@@ -86,10 +128,7 @@ class ToxicityModel:
     that weigh, ascending."""
 
     def __init__(self, known: np.ndarray, weights: np.ndarray, bias: float):
-        self.known, self.weights, self.bias = known, np.append(weights, 0.0), bias
-
-    def logits(self, cells: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        return _sums(self.weights, _places(self.known, cells), limits) + self.bias
+        self.known, self.weights, self.bias = known, weights, bias
 
     def scores(self, docs: DataFrame) -> DataFrame:
         """doc_id and score (0 to 1, higher: toxic likelier) of every row."""
@@ -97,11 +136,12 @@ class ToxicityModel:
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
+            known = Known(model.known)
             for batch in batches:
                 data, limits = byte_rows(batch.column(1))
                 for i, j in slices(limits, _RUN):
-                    cells, ends = features(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
-                    score = sigmoid(model.logits(cells, ends))
+                    cells, ends = known.places(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+                    score = sigmoid(_sums(model.weights, cells, ends) + model.bias)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score)], ["doc_id", "score"])
 
         return texts_of(docs).mapInArrow(scored, "doc_id long, score double")
@@ -190,6 +230,7 @@ def _fitted(docs: DataFrame, known: np.ndarray, positive: list[np.ndarray], prio
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cells, limits, times, prior = shared.value
+        sought = Known(known)
         confirmed = [cells[a:b] for a, b, n in zip(limits[:-1], limits[1:], times, strict=True) for _ in range(int(n))]
         total, n = np.zeros(len(known) + 1), 0
         held: list[np.ndarray] = []
@@ -204,9 +245,8 @@ def _fitted(docs: DataFrame, known: np.ndarray, positive: list[np.ndarray], prio
         for batch in batches:
             data, limits = byte_rows(batch.column(1))
             for i, j in slices(limits, _RUN):
-                own, ends = features(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
-                own = _places(known, own)
-                held += [x[x < len(known)] for x in np.split(own, ends[1:-1])]
+                own, ends = sought.places(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+                held += np.split(own, ends[1:-1])
                 if len(held) >= _DOCUMENTS:
                     fit()
         if held:
@@ -227,14 +267,15 @@ def _counts(docs: DataFrame, known: np.ndarray) -> tuple[int, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        sought = Known(own)
         total = np.zeros(len(own) + 1, np.int64)
         n = 0
         for batch in batches:
             data, limits = byte_rows(batch.column(1))
             n += batch.num_rows
             for i, j in slices(limits, _RUN):
-                cells, _ = features(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
-                total += np.bincount(_places(own, cells), minlength=len(own) + 1)
+                cells, _ = sought.places(data[limits[i] : limits[j]], limits[i : j + 1] - limits[i])
+                total += np.bincount(cells, minlength=len(own) + 1)
         total[-1] = n
         which = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], ["place", "n"])
