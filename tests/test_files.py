@@ -89,8 +89,8 @@ def test_import_fault_leaves_no_output(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "a.jsonl").write_text(f"{GOOD}\n" * 3)
-    (folder / "b x.jsonl").write_text(f"{GOOD}\n\n[]\n{GOOD}\n{{not json\n")
-    (folder / "c.jsonl").write_text("{not json\n")
+    (folder / "b x.jsonl").write_text(f"{GOOD}\n\n[]\n{GOOD}\n{{cut off\n")
+    (folder / "c.jsonl").write_text("{cut off\n")
     with pytest.raises(ImportFormatError, match="line 3: not_object") as raised:
         import_files(spark, str(folder), str(tmp_path / "out"))
     assert raised.value.file.endswith("b%20x.jsonl") and raised.value.lineno == 3
@@ -122,7 +122,7 @@ def test_import_limit_over_many_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(20):
-        (folder / f"{i:02d} x.jsonl").write_text(f"{GOOD}\n" if i < 12 else "{not json\n")
+        (folder / f"{i:02d} x.jsonl").write_text(f"{GOOD}\n" if i < 12 else "{cut off\n")
     files = list(files_in_order(spark, str(folder)))
     assert [f[0].rsplit("/", 1)[1] for f in files] == [f"{i:02d}%20x.jsonl" for i in range(20)]
     assert import_files(spark, str(folder), str(tmp_path / "o1"), limit=3).conversations == 3
@@ -177,7 +177,7 @@ def test_limit_with_quarantine(spark, tmp_path, packed):
 
     folder = tmp_path / "in"
     folder.mkdir()
-    texts = {"a": f"{GOOD}\n\n[]\n{GOOD}\n", "b": f"{{not json\n{GOOD}\n{GOOD}\n[]\n{GOOD}\n"}
+    texts = {"a": f"{GOOD}\n\n[]\n{GOOD}\n", "b": f"{{cut off\n{GOOD}\n{GOOD}\n[]\n{GOOD}\n"}
     for name, text in texts.items():
         if packed:
             (folder / f"{name}.jsonl.gz").write_bytes(gzip.compress(text.encode()))
@@ -268,7 +268,7 @@ def test_output_is_as_before_after_any_failure(spark, tmp_path):
     out, dump = str(tmp_path / "out"), tmp_path / "a.jsonl"
     dump.write_text(GOOD_LINE)
     import_files(spark, str(dump), out)
-    for bad, error in (("{not json", ImportFormatError), ('{"messages":[]}', EmptyResultError)):
+    for bad, error in (("{cut off", ImportFormatError), ('{"messages":[]}', EmptyResultError)):
         dump.write_text(bad + "\n")
         with pytest.raises(error):
             import_files(spark, str(dump), out, mode="overwrite")
