@@ -101,3 +101,18 @@ def test_curve_of_a_growing_file(spark, tmp_path):
     file.write_text('{"step":1,"env/all/correct":0.5}\n{"step":2,"env/all/correct":0.75}\n')
     for _ in range(2):
         assert sorted((r.step, r.value) for r in append_curve(spark, path, out).collect()) == [(1, 50.0), (2, 75.0)]
+
+
+def test_equal_faulty_lines_keep_their_places(spark, tmp_path):
+    folder, out, bad = tmp_path / "dump", str(tmp_path / "out"), str(tmp_path / "bad")
+    folder.mkdir()
+    (folder / "a.jsonl").write_bytes((GOOD % 1).encode() + b"\n[]\n\n[]\n\xff\n")
+    for n_bad in (3, 4):
+        start_import(scan_jsonl_stream(spark, str(folder), places=True), out, quarantine=bad).awaitTermination()
+        found = spark.read.schema("file string, start bigint, error_class string").json(bad).collect()
+        assert len({(r.file, r.start) for r in found}) == len(found) == n_bad
+        assert spark.read.text(out).count() == 1
+        with (folder / "a.jsonl").open("a") as sink:
+            sink.write("[]\n" + GOOD % 2)
+    first = len((GOOD % 1).encode()) + 1
+    assert sorted((r.start, r.error_class) for r in found)[:3] == [(first, "not_object"), (first + 4, "not_object"), (first + 7, "invalid_utf8")]

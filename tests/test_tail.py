@@ -48,7 +48,8 @@ def rows(reader, start, end):
     out = []
     for part in reader.partitions(start, end):
         for batch in reader.read(part):
-            out += list(zip(*(c.to_pylist() for c in batch.columns)))
+            file, start, value = (c.to_pylist() for c in batch.columns)
+            out += list(zip(file, start, [v.decode() for v in value]))
     return out
 
 
@@ -87,12 +88,13 @@ def test_ranges_give_every_line_once(tmp_path, monkeypatch, seed):
 
 
 def test_files_of_a_pattern(tmp_path):
-    for name in ("r1/metrics.jsonl", "r2/metrics.jsonl", "r2/deep/metrics.jsonl", "r3/other.jsonl"):
+    for name in ("r1/metrics.jsonl", "r2/metrics.jsonl", "r2/deep/metrics.jsonl", "r3/other.jsonl", "r1/.hidden", "r1/_SUCCESS"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("{}\n")
     found = matching_files(f"file://{tmp_path}/r?/metrics.jsonl")
     assert found == {str(tmp_path / r / "metrics.jsonl"): 3 for r in ("r1", "r2")}
     assert matching_files(f"{tmp_path}/none/*.jsonl") == {}
+    assert list(matching_files(f"{tmp_path}/r1/*")) == [str(tmp_path / "r1/metrics.jsonl")]
 
 
 def test_a_replaced_file_is_an_error(tmp_path):

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from turnmill.session import ship_by_value
@@ -26,14 +26,15 @@ from turnmill.sources.ranges import file_system_of, line_after, line_blocks
 
 ship_by_value(__name__)
 
-SCHEMA = "file string, start bigint, value string"
+SCHEMA = "file string, start bigint, value binary"
 _BLOCK = 1 << 16  # bytes that are read at once to find the end of the last line
 RANGE_BYTES = 64 << 20
 
 
 def matching_files(path: str) -> dict[str, int]:
     """The files of a glob pattern (``*`` and ``?`` stay within a folder's name)
-    and their sizes. Folders of the fixed part of the pattern are listed."""
+    and their sizes, without hidden ones. Folders of the fixed part of the pattern
+    are listed."""
     store, where = file_system_of(path)
     fixed = []
     for part in where.split("/")[:-1]:
@@ -43,7 +44,8 @@ def matching_files(path: str) -> dict[str, int]:
     wanted = re.compile("".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in where))
     below = fs.FileSelector("/".join(fixed) or "/", recursive=True, allow_not_found=True)
     found = store.get_file_info(below)
-    return {f.path: f.size for f in found if f.type == fs.FileType.File and wanted.fullmatch(f.path)}
+    found = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
+    return {f.path: f.size for f in found if wanted.fullmatch(f.path)}
 
 
 @dataclass
@@ -105,8 +107,7 @@ class TailReader(DataSourceStreamReader):
 
 
 def _lines(file: str, starts: list[int], values: list[bytes]) -> pa.RecordBatch:
-    text = pa.array([v.decode("utf-8", "replace") for v in values], pa.string())
-    columns = [pa.array([file] * len(values), pa.string()), pa.array(starts, pa.int64()), text]
+    columns = [pa.array([file] * len(values), pa.string()), pa.array(starts, pa.int64()), pa.array(values, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["file", "start", "value"])
 
 
@@ -128,12 +129,13 @@ class TailSource(DataSource):
 def scan_appended_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A stream of (file, start, value): every finished line of the files that
     match ``path``, now or later, once; ``start`` is the byte where it begins, so
-    (file, start) names a line. Lines are UTF-8, other bytes become U+FFFD; a
-    carriage return at the end is dropped.
+    (file, start) names a line. Bytes are taken as UTF-8 and not checked; a carriage
+    return at the end is dropped.
 
     A file that has fewer bytes of lines than were read was replaced and stops
     the query. A file that is gone is not missed. The offset has one entry per
     file that is there.
     """
     spark.dataSource.register(TailSource)
-    return spark.readStream.format("appended_lines").option("path", path).option("rangeBytes", str(range_bytes)).load()
+    lines = spark.readStream.format("appended_lines").option("path", path).option("rangeBytes", str(range_bytes)).load()
+    return lines.withColumn("value", F.col("value").cast("string"))

@@ -8,11 +8,17 @@ from pyspark.sql.streaming import StreamingQuery
 from turnmill.operators.traces import import_conversations, parse_lines
 from turnmill.session import prepare
 from turnmill.sources.sinks import to_messages_jsonl
+from turnmill.sources.tail import scan_appended_lines
 from turnmill.streaming.run import checkpoint_of
 
 
-def scan_jsonl_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """(file, value) of new files. A stream has no line numbers."""
+def scan_jsonl_stream(spark: SparkSession, folder: str, max_files: int | None = None, places: bool = False) -> DataFrame:
+    """(file, value) of new files. With ``places`` also ``start``, the byte at which
+    a line begins: equal lines of a file stay apart, and lines that are added to a
+    file later are read then (see ``scan_appended_lines``; its files are those
+    straight in ``folder``)."""
+    if places:
+        return scan_appended_lines(prepare(spark), f"{folder.rstrip('/')}/*")
     reader = prepare(spark).readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

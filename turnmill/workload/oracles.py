@@ -165,6 +165,8 @@ SELECT kept.n AS conversations, kept.n AS written, bad.n AS skipped, bad.n AS pu
 WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")}
 SELECT 'kept' AS part, count(*) AS n FROM usable
 UNION ALL SELECT 'put aside', count(*) FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28)""",
+    "import_stream_faults": f"""
+SELECT {_ERROR} AS error_class, count(*) AS places FROM documents WHERE {_KIND} IN (0, 7, 14, 21, 28) GROUP BY 1""",
     "import_skip_errors": f"""
 WITH {_SAID}, {_usable(2, "doc_id % 7 <> 0")} SELECT doc_id + 1 AS lineno, n_messages FROM usable""",
     "usable_conversations": f"""

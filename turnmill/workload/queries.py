@@ -187,6 +187,16 @@ def import_stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(bad).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def import_stream_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulty lines of a streaming import by their places in the files."""
+    folder = fresh_dir(spark, "places")
+    inputs.faulty_lines(spark, sf_dir).select("value").write.text(f"{folder}/in")
+    lines = scan_jsonl_stream(spark, f"{folder}/in", places=True)
+    start_import(lines, f"{folder}/out", quarantine=f"{folder}/bad").awaitTermination()
+    bad = spark.read.schema("file string, start bigint, error_class string").json(f"{folder}/bad")
+    return bad.groupBy("error_class").agg(F.count_distinct("file", "start").alias("places"))
+
+
 def import_around_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = traces.import_conversations(inputs.faulty_lines(spark, sf_dir), on_error="skip")
     return kept.select("lineno", F.size("messages").cast("bigint").alias("n_messages"))
@@ -546,6 +556,7 @@ QUERIES = {
     "import_file_job": import_file_job,
     "import_limit": import_limit,
     "import_stream_restart": import_stream_restart,
+    "import_stream_faults": import_stream_faults,
     "import_skip_errors": import_around_faults,
     "usable_conversations": usable_conversations,
     "limit_conversations": limit_conversations,
