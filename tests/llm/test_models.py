@@ -4,6 +4,7 @@ URL rules and licences by cases."""
 import os
 import random
 import sys
+import textwrap
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import model
-from turnmill.llm.licenses import scan_licenses
+from turnmill.llm.licenses import TEMPLATES, scan_licenses
 from turnmill.llm.neighbours import nearest
 from turnmill.llm.packing import WordEncoder, byte_bpe_path, pack_sequences
 from turnmill.llm.quality import train_quality
@@ -182,3 +183,38 @@ def test_licences(spark):
     assert got[2].n_licensed == 2 and got[4].probability is None
     assert not any(got[i].families for i, _ in plain)
     assert scan_licenses(model.frame(spark, [(1, "a")]).limit(0)).count() == 0
+
+
+def test_licences_in_wrapped_paragraphs(spark):
+    rng = random.Random(8)
+    mit = "MIT License\n\nCopyright (c) 2020 A. Nother\n\n" + "\n".join(
+        textwrap.wrap(" ".join(t for f, t in TEMPLATES if f == "mit" and len(t) > 100 and not t.endswith("documentation files.")), 60)
+    )
+    apache = "# Copyright 2019\n# Licensed under the Apache License,\n#   Version 2.0 (the \"License\"); you may not use\n# this file except in compliance with the License.\n"
+    words = ["license", "licence", "warranty", "the", "of", "copyright", "software", "work", "under", "terms", "this", "permission", "public"]
+
+    def prose(n):
+        return " ".join(rng.choice(words) + rng.choice(["", "", "", ".", "\n", ". The"]) for _ in range(n))
+
+    rows = [
+        (1, mit), (2, apache), (3, "Released under the MIT License. Copyright 2020 A. Nother."),
+        (4, f"{prose(4000)}\n\n{mit.upper()}\n\n{prose(4000)}"),
+        (5, f"{prose(30)} Released under the MIT License. {prose(30)}. " + apache),
+        (6, "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"),
+        (7, "You may modify it under the terms of the GNU Lesser General Public License. This work is licensed under the GNU Lesser General Public License."),
+        (8, "They said the license was granted, free of charge, to any person who asked."),
+        *((100 + i, prose(200)) for i in range(80)),
+    ]
+    got = {r.doc_id: r for r in scan_licenses(model.frame(spark, rows)).collect()}
+    found = {i: got[i].families for i in range(1, 9)}
+    assert found == {1: "mit", 2: "apache-2.0", 3: "mit", 4: "mit", 5: "apache-2.0,mit", 6: "bsd-3-clause", 7: "lgpl-3.0", 8: ""}
+    assert got[1].n_licensed == got[4].n_licensed >= 3
+    assert not any(r.families for i, r in got.items() if i >= 100)
+
+
+def test_licence_templates(spark):
+    """Each is found in its own family, and with any one word of a long one left out."""
+    rows = [(i, t) for i, (_, t) in enumerate(TEMPLATES)]
+    cut = [(1000 + i, " ".join(w for k, w in enumerate(t.split()) if k != len(t.split()) // 2)) for i, t in rows if len(t.split()) > 12]
+    got = {r.doc_id: r.families for r in scan_licenses(model.frame(spark, rows + cut)).collect()}
+    assert all(got[i] == TEMPLATES[i % 1000][0] for i, _ in rows + cut)
