@@ -81,7 +81,7 @@ def test_sentence_spans(docs, rows):
 ITEMS = [(1, "A b, c"), (1, "a b c"), (20, None), (3, ""), (None, "a b c"), (10, "éñ 7"), (2, "...")]
 
 
-@pytest.mark.parametrize("most", [8 << 20, 600])
+@pytest.mark.parametrize("most", [8 << 20, 600, 200])
 def test_contamination(spark, docs, rows, most):
     long = model.words(rows[70][1], model.ALNUM)
     items = [*ITEMS, (200, b" ".join(long[3:40]).decode().upper()), (9, b"--".join(long[30:45]).decode())]

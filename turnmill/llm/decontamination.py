@@ -7,7 +7,9 @@ document is scanned once, and matches are mapped back to bytes of the original.
 One pass, no shuffle. The automaton is built once per Python worker from the
 broadcast windows. The benchmark's size is counted first: beyond
 ``max_pattern_bytes`` its items are dealt over several automata, each of that
-size, and the documents are scanned with one after the other; results stay whole.
+size, and the documents pass from one to the next within a stage; results stay whole.
+Each automaton is held by a Python worker of its own, so the texts are written down
+after every ``CHAINED`` of them, for the memory of an executor.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from turnmill.session import checkpointed
 
 SCHEMA = "doc_id long, n_words long, n_hit long, item_ids array<long>, spans array<struct<start: long, end: long>>"
 STATE = "doc_id long, text binary, item_ids array<long>, hits array<long>"
+#: Automata that one task runs through at once.
+CHAINED = 8
 _UPPER = {c: c + 32 for c in range(65, 91)}
 #: Every byte as it counts in a word; a space between words.
 TABLE = bytes(
@@ -127,9 +131,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_pat
     groups = _groups(benchmark, size, max_pattern_bytes)
     none = F.array().cast("array<long>")
     rows = texts_of(docs, none.alias("item_ids"), none.alias("hits"))
-    for own in groups[:-1]:
+    for k, own in enumerate(groups[:-1], 1):
         held = spark.sparkContext.broadcast({"items": _rows(own)})
-        rows = checkpointed(rows.mapInArrow(_scanner(held, size, False), STATE))
+        rows = rows.mapInArrow(_scanner(held, size, False), STATE)
+        if k % CHAINED == 0:
+            rows = checkpointed(rows)
     held = spark.sparkContext.broadcast({"items": _rows(groups[-1])})
     return rows.mapInArrow(_scanner(held, size, True), SCHEMA)
 
@@ -139,7 +145,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, max_p
     contamination. Rows with null text stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"))
-    for own in _groups(benchmark, size, max_pattern_bytes):
+    for k, own in enumerate(_groups(benchmark, size, max_pattern_bytes)):
+        if k and k % CHAINED == 0:
+            rows = checkpointed(rows)
         held = docs.sparkSession.sparkContext.broadcast({"items": _rows(own)})
         rows = rows.mapInArrow(_sieve(held, size), rows.schema)
     return rows.select("row.*")
