@@ -1,10 +1,9 @@
 """URL filter: host and path rules first, mined association rules for the rest.
 
 Labelled URLs become sets of tokens (host words, host endings, path words, file
-ending, query keys) with an item for a bad label; Spark's FP-growth finds the
-combinations that a fixed number of examples have, alike at every size of the
-input, and those that imply the bad label with enough confidence, and surely more
-often than chance, are kept. A rule is listed in an inverted index under its
+ending, query keys); Spark's FP-growth finds the combinations that a fixed number of
+bad examples have, alike at every size of the input, and those that imply the bad
+label with enough confidence, and surely more often than chance, are kept. A rule is listed in an inverted index under its
 rarest token; a URL looks its own tokens up and verifies the whole combination.
 
 DataFrame expressions only. Distinct URLs are matched, so a URL that a third of
@@ -14,6 +13,7 @@ rows never meet in one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -29,7 +29,6 @@ RULES = (
     ("com/fr/", "allow"),
     ("com/de/", "block"),
 )
-_BAD = "label=bad"
 _Z = 2.576
 RULE = "tokens array<string>, confidence double, lift double, support double, key string"
 
@@ -83,40 +82,62 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, least: in
     ``support`` is a share of the examples, ``least`` a number of bad ones; both
     hold. The lower bound of a rule's confidence (Wilson, 99.5 %) must be above the
     share of bad examples, so that a rule's lift is above 1. A combination is left
-    out if a part of it is a rule of no less confidence.
+    out if a part of it is a rule of no less confidence. Of tokens that the very same
+    examples have, the first in order stands for all.
+
+    FP-growth sees bad examples only, as a rule has the bad label; how often a
+    combination occurs in all examples is then counted through its rarest token.
     """
-    total, bad = labelled.agg(F.count("*"), F.coalesce(F.count_if("bad"), F.lit(0))).first()
-    # FP-growth asks for the next whole number of examples from share * total on.
-    share = max(support, (least - 0.5) / max(1, total))
-    if least > total or share > 1:
-        return labelled.sparkSession.createDataFrame([], RULE)
-    items = labelled.select(
-        F.when(F.col("bad"), F.concat(tokens_of(F.col("url")), F.array(F.lit(_BAD)))).otherwise(tokens_of(F.col("url"))).alias("items")
+    spark = labelled.sparkSession
+    urls = labelled.groupBy("url").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    urls = stored(urls.select("*", tokens_of(F.col("url")).alias("own")), "labelled-urls")
+    total, bad = urls.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))).first()
+    need = max(least, math.ceil(support * total - 1e-9))
+    if bad < max(1, need):
+        return spark.createDataFrame([], RULE)
+    had = urls.select("url", "n", "n_bad", F.explode("own").alias("token"))
+    # Tokens of the same examples have the same counts and the same hashes of their URLs.
+    same = ["n_bad", "n", "low", "high"]
+    tokens = had.groupBy("token").agg(
+        F.sum("n_bad").alias("n_bad"), F.sum("n").alias("n"), F.bit_xor(F.xxhash64("url")).alias("low"), F.bit_xor(F.xxhash64("url", F.lit(1))).alias("high")
     )
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(items)
-    # Written down, as the rules are mined anew by every look at them.
-    n = F.col("support") * total / F.col("confidence")
-    spread = _Z * F.sqrt(F.col("confidence") * (1 - F.col("confidence")) / n + _Z**2 / (4 * n * n))
-    bound = (F.col("confidence") + _Z**2 / (2 * n) - spread) / (1 + _Z**2 / n)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(_BAD))) & (bound > bad / total))
-    rules = stored(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"), "mined")
+    tokens = stored(tokens.where(F.col("n_bad") >= need).groupBy(*same).agg(F.min("token").alias("token")).select("token", "n"), "tokens")
+    items = had.where("n_bad > 0").join(tokens.select("token"), "token").groupBy("url").agg(F.collect_list("token").alias("items"))
+    # Every bad example is a row, one without a frequent token an empty one.
+    rows = labelled.where("bad").select("url").join(items, "url", "left")
+    rows = rows.select(F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    # FP-growth asks for the next whole number of examples from share * rows on.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / bad, numPartitions=parts).fit(rows)
+    sets = stored(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")), "itemsets")
+    rarest = sets.select("tokens", F.explode("tokens").alias("token")).join(tokens, "token")
+    keys = rarest.groupBy("tokens").agg(F.min(F.struct("n", "token"))["token"].alias("key"))
+    listed = stored(sets.join(keys, "tokens"), "candidates")
+    met = urls.select("n", "own", F.explode("own").alias("key")).join(listed, "key")
+    met = met.where(F.size(F.array_except("tokens", "own")) == 0)
+    sums = met.groupBy("tokens", "n_bad", "key").agg(F.sum("n").alias("n"))
+    sure, n = F.col("n_bad") / F.col("n"), F.col("n")
+    spread = _Z * F.sqrt(sure * (1 - sure) / n + _Z**2 / (4 * n * n))
+    bound = (sure + _Z**2 / (2 * n) - spread) / (1 + _Z**2 / n)
+    rules = sums.where((sure >= confidence) & (bound > bad / total))
+    # Written down, as the rules are looked at several times.
+    rules = stored(rules.select("tokens", sure.alias("confidence"), (sure * total / bad).alias("lift"), (F.col("n_bad") / total).alias("support"), "key"), "mined")
     # Each rule against those of one token less, found by the rest of its tokens.
     shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
-    parts = rules.where(F.size("tokens") > 1).select(
+    parts_of = rules.where(F.size("tokens") > 1).select(
         "tokens", "confidence", F.explode(F.transform("tokens", lambda t: F.array_except(F.col("tokens"), F.array(t)))).alias("part")
     )
-    beaten = parts.join(shorter, "part").where("least >= confidence").select("tokens").distinct()
-    counts = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = rules.select("tokens", F.explode("tokens").alias("token")).join(counts, "token")
-    keys = rarest.groupBy("tokens").agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    return rules.join(beaten, "tokens", "left_anti").join(keys, "tokens")
+    beaten = parts_of.join(shorter, "part").where("least >= confidence").select("tokens").distinct()
+    return rules.join(beaten, "tokens", "left_anti")
 
 
 def judge_urls(
     pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, support: float = 0.0, confidence: float = 0.6
 ) -> DataFrame:
     """Of every page: page_id, host, path, rule, verdict, learned_tokens and
-    learned_confidence (of the surest mined rule that fits; null without one).
+    learned_confidence (of the surest mined rule that fits; null without one). Of
+    equally sure rules the one of more support counts, then the one whose tokens come
+    last in order.
 
     ``labels`` has doc_id (the page_id it is about) and quality, 0 for bad; null
     ids and labels are left out, repeated ones are each an example. The verdict
