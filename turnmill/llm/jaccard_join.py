@@ -29,11 +29,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from turnmill.llm.columns import byte_rows, mix, ranges, slices, texts_of
 from turnmill.llm.graph import components, local_components
 from turnmill.llm.tables import repeats_an_id, stored, with_own_ids
+from turnmill.operators.ranks import grouped_offsets
 
 GROUPS = 256
 _SLICE = 1 << 22
@@ -418,9 +419,14 @@ def similarity_join(docs: DataFrame, size: int = 5, percent: int = 75, tile: int
     rare = shared.mapInArrow(_rarest(percent), packed).repartition(buckets, "bucket")
     groups = components(rare.mapInArrow(_chains(percent), "a long, b long"))
 
-    by_size = Window.partitionBy("component").orderBy("n", "sig")
-    members = groups.join(classes, groups["node"] == classes["sig"]).select("component", "sig", "n", "class_id")
-    members = members.withColumn("run", F.floor((F.sum("n").over(by_size) - F.col("n")) / tile))
+    # Sets of like size are neighbours in a group; by their hash, no window holds a large
+    # group. A group has some hundred sizes of 256 slots each at most.
+    like = F.floor(F.log(F.col("n").cast("double")) * 10).cast("long")
+    slot = like * 256 + F.shiftright("sig", 56) + 128
+    members = groups.join(classes, groups["node"] == classes["sig"]).select("component", "sig", "n", "class_id", slot.alias("slot"))
+    members = stored(members.withColumn("place", F.struct("slot", "sig", "n")), "members")
+    members = grouped_offsets(members, "n", ["component"], "place", F.col("slot"))
+    members = members.select("component", "sig", "n", "class_id", F.floor(F.col("before") / tile).alias("run"))
     runs = members.groupBy("component").agg(F.max("run").alias("last"))
     tiles = members.join(runs, "component").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     tiles = tiles.select(
