@@ -3,14 +3,16 @@
 import os
 import random
 import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import model
-from turnmill.llm.minhash_join import matching_links, minhash_join, set_ids, signatures
+from turnmill.llm.minhash_join import _profiles, _sets, matching_links, minhash_join, set_ids, signatures
 
 
 def hard():
@@ -99,3 +101,31 @@ def test_links_of_a_tile():
     # Copies that lack k of 400 are similar to the first up to k = 32; a spanning tree of these.
     assert len(found) == 31
     assert matching_links(signed, sets, np.zeros(len(sets), int), side, 85, 38) == []
+
+
+def peak(work):
+    """MB of arrays that are held at once."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_profiles_of_a_large_batch_take_little_memory():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([t.encode() for t in texts])], ["doc_id", "text"])
+    for reader in (_profiles(5), _sets(5)):
+        assert peak(lambda: [None for _ in reader(iter([batch]))]) < 50
+
+
+def test_a_tile_of_many_small_sets_takes_little_memory():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 1 << 63, 6).astype(np.uint64)) for _ in range(20_000)]
+    signed = signatures(np.concatenate(sets), np.arange(0, 6 * len(sets) + 1, 6))
+    label = np.arange(len(sets))
+    found = []
+    assert peak(lambda: found.extend(matching_links(signed, sets, label, np.zeros(len(sets), int), 85, 38))) < 35
+    assert found == []

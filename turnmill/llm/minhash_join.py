@@ -41,7 +41,7 @@ from turnmill.llm.tables import stored
 from turnmill.operators.ranks import grouped_offsets
 
 COORDINATES, MATCHES = 64, 38
-_SLICE = 1 << 22
+_SLICE = 1 << 19  # bytes of text; its arrays take some forty times that
 _MULTIPLY = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(5001, COORDINATES + 5001, dtype=np.uint64))
 
@@ -126,16 +126,16 @@ def matching_links(signed: np.ndarray, sets: list[np.ndarray], label: np.ndarray
     across = len(np.unique(side)) > 1
     rows = len(order)
     # Of every coordinate, the sets by value, and where the list of a set lies.
-    listed = np.argsort(signed, axis=0, kind="stable")
-    ordered = np.take_along_axis(signed, listed, axis=0)
-    new = np.ones((rows + 1, COORDINATES), bool)
-    new[1:-1] = ordered[1:] != ordered[:-1]
-    begin, length = np.zeros((2, rows, COORDINATES), np.int64)
+    # A tile of small sets has many of them: 64 coordinates, 12 bytes for each.
+    listed = np.empty((COORDINATES, rows), np.int32)
+    begin, length = np.empty((2, rows, COORDINATES), np.int32)
     for k in range(COORDINATES):
-        edges = np.flatnonzero(new[:, k])
+        listed[k] = np.argsort(signed[:, k], kind="stable")
+        ordered = signed[listed[k], k]
+        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))
         lengths = np.diff(edges)
-        begin[listed[:, k], k] = np.repeat(edges[:-1], lengths)
-        length[listed[:, k], k] = np.repeat(lengths, lengths)
+        begin[listed[k], k] = np.repeat(edges[:-1], lengths)
+        length[listed[k], k] = np.repeat(lengths, lengths)
     prefix = COORDINATES - matches + 1
     out = []
     for i in range(rows):
@@ -144,7 +144,7 @@ def matching_links(signed: np.ndarray, sets: list[np.ndarray], label: np.ndarray
         short = short[length[i, short] > 1]
         if not len(short):
             continue
-        met = np.concatenate([listed[begin[i, k] : begin[i, k] + length[i, k], k] for k in short])
+        met = np.concatenate([listed[k, begin[i, k] : begin[i, k] + length[i, k]] for k in short])
         met = met[(met < i) & (label[met] != label[i])]
         if across:
             met = met[side[met] != side[i]]
