@@ -6,8 +6,8 @@ dot product with what the bin has left, both as shares of the limits; if none
 fits, the best one is cut and its head fills the bin.
 
 One pass over the input, no shuffle. Every task packs its own rows from a pool
-of bounded size, so memory holds one Arrow batch, the pool and a bounded cache
-of encoded words; a lost task is done anew from its own input split. Read the
+of bounded size, so memory holds one Arrow batch, the pool and the ids of a
+bounded slice of text, whose distinct words are encoded once each; a lost task is done anew from its own input split. Read the
 documents from a table (not straight from a shuffle), so that a repeated task
 sees its rows in the same order.
 """
@@ -21,15 +21,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from turnmill.llm.columns import ranges
+from turnmill.llm.columns import byte_rows, ranges, slices
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "loss_tokens long"
 )
+_SLICE = 1 << 24  # bytes of text that are encoded at once
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_WIDE = [int.from_bytes(chr(c).encode().ljust(3, b"\0")) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 def byte_bpe_path() -> str:
@@ -39,10 +44,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _whole_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, int] | None]:
-    """Ids of whole strings, and the added tokens of the vocabulary, which are one
-    id wherever they stand; strings must not hold one. None for the tokens: the
-    strings may hold them and must be whole texts.
+def _whole_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], dict[str, int] | None, np.ndarray | None]:
+    """Ids of whole strings, the added tokens of the vocabulary, which are one id
+    wherever they stand, and the bytes of each id; strings must not hold an added
+    token. None for the tokens: the strings may hold them and must be whole texts.
 
     Vocabularies of the byte-level kind are read into tiktoken, which gives the
     very ids of ``tokenizers`` in a third of the time; others go through
@@ -66,80 +71,120 @@ def _whole_encoder(path: str) -> tuple[Callable[[list[str]], list[list[int]]], d
         special = {x["content"]: x["id"] for x in added}
         ranks = {bytes(byte[c] for c in t): i for t, i in known["model"]["vocab"].items() if t not in special}
         own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [own.encode_ordinary(t) for t in texts], special
+        lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        lengths[list(ranks.values())] = list(map(len, ranks))
+        return lambda texts: [own.encode_ordinary(t) for t in texts], special, lengths
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], None
+    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], None, None
 
 
-def _parts(text: str) -> list[str]:
-    """Words with the white space before them, where that is safe; else the text.
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 that belong to white space of any script."""
+    out = _BLANK[data]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        ahead = np.concatenate((data, np.zeros(2, np.uint8))).astype(np.uint32)
+        two = ahead[lead] == 0xC2
+        code = (ahead[lead] << 16) | (ahead[lead + 1] << 8) | np.where(two, 0, ahead[lead + 2])
+        wide = np.isin(code, _WIDE)
+        for k, own in enumerate((lead[wide], lead[wide], lead[wide & ~two])):
+            out[own + k] = True
+    return out
+
+
+def _pieces(data: np.ndarray, limits: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin: words with the white space before them,
+    where that is safe; texts that are ``whole`` are one piece.
 
     A byte-level BPE never joins tokens across a single space or line feed
     between two other characters.
     """
-    lone = not ("\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace())
-    if lone and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-        return text.replace("\n", " \n").split(" ")
-    return [text]
+    begins = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        blank = _blanks(data)
+        begins[1:-2] = ((data[1:-1] == 32) | (data[1:-1] == 10)) & ~blank[:-2] & ~blank[2:]
+    begins[limits[1:][limits[1:] > 0] - 1] = False
+    for k in np.flatnonzero(whole):
+        begins[limits[k] : limits[k + 1]] = False
+    begins[limits[:-1]] = True
+    return np.flatnonzero(begins[:-1])
 
 
 class WordEncoder:
-    """Token ids of texts, each word encoded once while it is in the cache."""
+    """Token ids of texts, each distinct word of a call encoded once.
 
-    def __init__(self, path: str, max_words: int = 600_000):
-        self.whole, self.added = _whole_encoder(path)
+    ``max_words``: words that are given to the vocabulary as one string."""
+
+    def __init__(self, path: str, max_words: int = 100_000):
+        self.whole, self.added, lengths = _whole_encoder(path)
         # Of added tokens that begin alike, the longest is meant.
         longest = sorted(self.added or (), key=len, reverse=True)
         self.split = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
-        self.max_words = max_words
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for word in words:
-            self.known[word] = len(self.known)
-        # Inside a text a word has its space before it; \0 marks what begins one,
-        # or a part of it, and \0\0 an added token.
-        added = {f"\0\0{token}": [i] for token, i in (self.added or {}).items()}
-        plain = [w for w in words if w not in added]
-        ids = iter(self.whole([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in plain]))
-        got = [added[w] if w in added else next(ids) for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes + len(self.flat)
-        self.flat = np.concatenate((self.flat, new))
-        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.max_words, self.lengths = max_words, lengths
+
+    def _text(self, text: str) -> list[int]:
+        """Ids of one text, which may hold added tokens."""
+        parts = self.split.split(text) if self.split else [text]
+        ids = self.whole(parts[::2])
+        for k, token in enumerate(parts[1::2], start=1):
+            ids[2 * k - 1 : 2 * k - 1] = [[self.added[token]]]
+        return list(chain.from_iterable(ids))
+
+    def _holds_added(self, column: pa.Array) -> np.ndarray:
+        out = np.zeros(len(column), bool)
+        for token in self.added:
+            out |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        return out
+
+    def _learned(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, and where those of each begin and how many they are."""
+        data, limits = byte_rows(words)
+        first, last = limits[:-1], limits[1:] - 1
+        blank = _blanks(data)
+        # What begins with a single space or line feed and ends with neither can
+        # stand among others: the vocabulary sees one string, cut by its tokens' bytes.
+        joined = (last > first) & ((data[first] == 32) | (data[first] == 10)) & ~blank[last] & ~self._holds_added(words)
+        joined[joined] = ~blank[first[joined] + 1]
+        flat, sizes = [], np.zeros(len(words), np.int64)
+        some, ends = byte_rows(words.filter(pa.array(joined)))
+        together = []
+        for a in range(0, len(ends) - 1, self.max_words):
+            own = ends[a : a + self.max_words + 1]
+            got = self.whole([some[own[0] : own[-1]].tobytes().decode()])[0]
+            flat.append(np.fromiter(got, np.uint32, len(got)))
+            cut = np.searchsorted(np.cumsum(self.lengths[flat[-1]]), own[1:] - own[0]) + 1
+            together.append(np.diff(cut, prepend=0))
+        alone = [self._text(w.decode()) for w in words.filter(pa.array(~joined)).to_pylist()]
+        flat.append(np.fromiter(chain.from_iterable(alone), np.uint32, sum(map(len, alone))))
+        sizes[joined] = np.concatenate(together) if together else 0
+        sizes[~joined] = np.fromiter(map(len, alone), np.int64, len(alone))
+        order = np.concatenate((np.flatnonzero(joined), np.flatnonzero(~joined)))
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(flat), starts, sizes
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and n + 1 limits."""
-        if len(self.known) > self.max_words:
-            self.clear()
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            before = len(words)
-            for k, piece in enumerate(self.split.split(text) if self.split else (text,)):
-                if k % 2:
-                    words.append(f"\0\0{piece}")
-                elif piece:
-                    parts = _parts(piece) if self.added is not None else [piece]
-                    parts[0] = f"\0{parts[0]}"
-                    words += parts
-            counts.append(len(words) - before)
-        fresh = [w for w in set(words) if w not in self.known]
-        if fresh:
-            self._learn(fresh)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[which]
-        ids = self.flat[ranges(self.starts[which], sizes)]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        if self.added is None:
+            got = self.whole(texts.to_pylist())
+            ends = np.cumsum([0, *map(len, got)])
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1])), ends
+        data, limits = byte_rows(texts)
+        starts = _pieces(data, limits, self._holds_added(texts))
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(limits), np.int64)
+        buffers = [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        flat, begin, sizes = self._learned(words.dictionary)
+        which = words.indices.to_numpy()
+        sizes = sizes[which]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        return ids, ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
+        return flat[ranges(begin[which], sizes)], ends[np.searchsorted(starts, limits)]
 
 
 class Pool:
@@ -221,9 +266,18 @@ class Pool:
         self.rows = [(place[e], s, n) for e, s, n in self.rows]
 
 
+def _encoded(encoder: WordEncoder, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of each text; null is empty."""
+    texts = pc.fill_null(texts, "")
+    for i, j in slices(byte_rows(texts)[1], _SLICE):
+        ids, ends = encoder.encode(texts.slice(i, j - i))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield ids[a:b]
+
+
 def _packer(shared, limits: tuple[int, int, int], end_id: int, pool_size: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value  # stays with the worker, and so does its cache of words
+        held = shared.value  # stays with the worker, and so does its vocabulary
         if "encoder" not in held:
             held["encoder"] = WordEncoder(held["path"])
         encoder, pool = held["encoder"], Pool(np.array(limits))
@@ -248,11 +302,10 @@ def _packer(shared, limits: tuple[int, int, int], end_id: int, pool_size: int) -
 
         for batch in batches:
             docs, texts, unscored = (batch.column(k) for k in range(3))
+            encoded = _encoded(encoder, texts)
             for at in range(0, len(docs), 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                ids, ends = encoder.encode(part)
-                for k, (doc, skip) in enumerate(zip(docs.slice(at, 256).to_pylist(), unscored.slice(at, 256).to_pylist(), strict=True)):
-                    own = np.append(ids[ends[k] : ends[k + 1]], np.uint32(end_id))
+                for doc, skip in zip(docs.slice(at, 256).to_pylist(), unscored.slice(at, 256).to_pylist(), strict=True):
+                    own = np.append(next(encoded), np.uint32(end_id))
                     e, start = len(pool.examples), 0
                     pool.examples.append((doc, own, max(0, skip or 0)))
                     while len(own) - start:
