@@ -18,7 +18,10 @@ exact, no table is broadcast but a bitmap of fixed size.
 Texts travel only if a bitmap of fixed size says that they may be in a group.
 
 Copies are one point. A group beyond ``tile`` shingles is cut into runs by size
-and every pair of runs gets a tree of its own. Within a tree, pairs that are
+and every pair of runs gets a tree of its own. Texts of a tree most of whose
+shingles no other text of it has are left out, again and again; a text is looked
+up among those only that share one of its rarest shingles with it, so texts that
+common lines brought together are not held against each other. Pairs that are
 connected already are not looked at again: the result is the links that span
 the components, never all pairs of a group.
 """
@@ -37,7 +40,8 @@ from turnmill.llm.tables import repeats_an_id, stored, with_own_ids
 from turnmill.operators.ranks import grouped_offsets
 
 GROUPS = 256
-_SLICE = 1 << 22
+_SLICE = 1 << 19
+_FEW = 32  # sets that are verified at once, at first
 _POSTING = np.dtype([("token", "<u4"), ("text", "<i8"), ("n", "<u4")])
 _SHARED = np.dtype([("key", "<u8"), ("times", "<u4"), ("text", "<i8"), ("n", "<u4")])
 _BITS = 1 << 22  # of the bitmap of documents that are to meet
@@ -47,10 +51,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BASE = _STEP | np.uint64(1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CODE = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64))))
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, out=out)
 
 
 def shingles(data: np.ndarray, limits: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,36 +71,41 @@ def shingles(data: np.ndarray, limits: np.ndarray, size: int) -> tuple[np.ndarra
     """
     rows = len(limits) - 1
     inside = ~_SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[limits] = True
-    before = np.concatenate(([False], inside[:-1])) if len(data) else inside
-    starts = np.flatnonzero(inside & (~before | cut[:-1]))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    firsts = limits[:-1][limits[:-1] < limits[1:]]
+    begins[firsts] = inside[firsts]
+    starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    where = np.flatnonzero(inside)
-    first = np.searchsorted(where, starts)
-    lengths = np.diff(np.append(first, len(where)))
-    place = np.arange(len(where)) - np.repeat(first, lengths)
-    power = _powers(_STEP | np.uint64(1), int(lengths.max()))
-    words = mix(np.add.reduceat(_BYTE[_LOWER[data[where]]] * power[place], first))
-    row = np.searchsorted(limits, starts, "right") - 1
-    counts = np.bincount(row, minlength=rows)
-    begin = np.cumsum(counts) - counts
-    span = np.minimum(counts, size)
-    n = np.where(counts > 0, counts - span + 1, 0)
-    owner = np.repeat(np.arange(rows), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)
-    value = span[owner].astype(np.uint64)
+    # Bytes count by the power of their place in the data; the inverse power of a
+    # word's first place makes that the place in the word.
+    words = np.add.reduceat(_CODE[data] * _powers(_BASE, len(data)), starts)
+    words = mix(words * _powers(_INVERSE, len(data))[starts])
+    begin = np.searchsorted(starts, limits)
+    counts = np.diff(begin)
+    n = np.where(counts > 0, np.maximum(counts - size, 0) + 1, 0)
     factor = _powers(np.uint64(0xD6E8FEB86659FD93), size + 1)
-    for k in range(size):
-        live = span[owner] > k
-        value[live] += words[at[live] + k] * factor[k + 1]
+    window = np.full(len(words), size, np.uint64)
+    for k in range(min(size, len(words))):
+        window[: len(words) - k] += words[k:] * factor[k + 1]
+    value = window[ranges(begin[:-1], n)]
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    few = np.flatnonzero((counts > 0) & (counts < size))
+    if len(few):
+        whole = counts[few].astype(np.uint64)
+        for k in range(size - 1):
+            live = counts[few] > k
+            whole[live] += words[begin[few[live]] + k] * factor[k + 1]
+        value[ends[few]] = whole
     value = mix(value)
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
+    several = np.flatnonzero(n > 1)
+    for i, j in zip(ends[several].tolist(), ends[several + 1].tolist(), strict=True):
+        value[i:j].sort()
     keep = np.ones(len(value), bool)
-    keep[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[keep], np.searchsorted(owner[keep], np.arange(rows + 1))
+    keep[1:] = value[1:] != value[:-1]
+    keep[ends[:-1][n > 0]] = True
+    return value[keep], np.concatenate((np.zeros(1, np.int64), np.cumsum(keep)))[ends]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -159,7 +173,8 @@ def _shared_at_least(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _packed(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     """One row of bytes for each bucket."""
-    order = np.argsort(bucket, kind="stable")
+    few = np.uint16 if len(bucket) and bucket.max() < 1 << 16 else bucket.dtype  # sorted by counting
+    order = np.argsort(bucket.astype(few), kind="stable")
     bucket, rows = bucket[order], rows[order]
     edges = np.append(np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), len(bucket))
     blobs = [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -206,8 +221,14 @@ def _postings(size: int, percent: int, buckets: int) -> Callable:
 
 
 def _runs(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by hash, size and text, without repeats; keys; run lengths by row."""
+    """Rows whose hash several texts have, sorted by hash, size and text, without
+    repeats; keys; run lengths by row."""
     key = (bucket.astype(np.uint64) << np.uint64(32)) | rows["token"]
+    order = np.argsort(key)
+    same = key[order]
+    same = same[1:] == same[:-1]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+    rows, key = rows[order], key[order]
     order = np.lexsort((rows["text"], rows["n"], key))
     rows, key = rows[order], key[order]
     new = np.ones(len(rows), bool)
@@ -215,7 +236,9 @@ def _runs(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     rows, key = rows[new], key[new]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     length = np.diff(np.append(first, len(key)))
-    return rows, key, np.repeat(length, length)
+    length = np.repeat(length, length)
+    several = length > 1
+    return rows[several], key[several], length[several]
 
 
 def _shared(buckets: int) -> Callable:
@@ -225,10 +248,9 @@ def _shared(buckets: int) -> Callable:
         if not len(rows):
             return
         rows, key, length = _runs(rows, bucket)
-        several = length > 1
-        out = np.zeros(int(several.sum()), _SHARED)
-        out["key"], out["times"] = key[several], length[several]
-        out["text"], out["n"] = rows["text"][several], rows["n"][several]
+        out = np.zeros(len(rows), _SHARED)
+        out["key"], out["times"] = key, length
+        out["text"], out["n"] = rows["text"], rows["n"]
         if len(out):
             yield _packed((mix(out["text"].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
 
@@ -284,66 +306,177 @@ class CountTree:
             at = np.arange(0, len(corner), fan)
             self.levels.append(tuple(f.reduceat(x, at, axis=0) for f, x in ((np.maximum, corner), (np.minimum, low), (np.maximum, high))))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points that may reach the similarity with ``point``, and their bounds."""
-        at = np.arange(len(self.levels[-1][0]))
-        for depth in range(len(self.levels) - 1, -1, -1):
+    def search(self, point: np.ndarray, size: int, percent: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the points ``among`` (ascending) that may reach the similarity with
+        ``point``, and their bounds. Branches without any of them are not entered."""
+        held, ups = [among], []
+        # A box is worth a look if it stands for several of its points.
+        while len(held) < len(self.levels) and len(held[-1]) > self.fan:
+            box = held[-1] // self.fan
+            new = np.concatenate(([True], box[1:] != box[:-1]))
+            if 4 * np.count_nonzero(new) > len(box):
+                break
+            held.append(box[new])
+            ups.append(np.cumsum(new) - 1)
+        inside = np.ones(len(held[-1]), bool)
+        for depth in range(len(held) - 1, -1, -1):
+            at = held[depth][inside]
             corner, low, high = (x[at] for x in self.levels[depth])
-            bound = np.minimum(corner, point).sum(axis=1, dtype=np.int64)
+            bound = np.minimum(corner, point).sum(axis=1, dtype=np.int32)
             # overlap >= t / (1 + t) (size + other) and both sizes within a factor t
             fits = (bound * (100 + percent) >= percent * (size + low)) & (100 * high >= percent * size) & (percent * low <= 100 * size)
-            at, bound = at[fits], bound[fits]
             if depth:
-                at = (at[:, None] * self.fan + np.arange(self.fan)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return at, bound
+                inside[inside] = fits
+                inside = inside[ups[depth - 1]]
+        return at[fits], bound[fits].astype(np.int64)
 
 
 def group_points(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Shingles per group of every set."""
     rows = len(limits) - 1
-    owner = np.repeat(np.arange(rows), np.diff(limits))
-    cell = owner * GROUPS + (hashes % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(cell, minlength=rows * GROUPS).reshape(rows, GROUPS).astype(np.int32)
-
+    points = np.zeros((rows, GROUPS), np.int32)
+    for i in range(0, rows, 4096):
+        j = min(i + 4096, rows)
+        owner = np.repeat(np.arange(j - i), np.diff(limits[i : j + 1]))
+        cell = owner * GROUPS + (hashes[limits[i] : limits[j]] % np.uint64(GROUPS)).astype(np.int64)
+        points[i:j] = np.bincount(cell, minlength=(j - i) * GROUPS).reshape(j - i, GROUPS)
+    return points
+
+
+class _Sets:
+    """Sets that may be similar to another one, by size: of every set the hashes
+    that another one has, the rarest first.
+
+    Similar sets share t of the larger one. A set of which too few hashes occur in
+    others is left out, and then what only it has in common with others no longer
+    counts for these; and so on while many go.
+    """
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    return int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    def __init__(self, ids: np.ndarray, side: np.ndarray | None, hashes: np.ndarray, limits: np.ndarray, percent: int):
+        sizes = np.diff(limits)
+        order = np.lexsort((ids, sizes))
+        n = len(order)
+        names, token = np.unique(hashes, return_inverse=True)
+        owner = np.repeat(np.argsort(order), sizes)
+        ids, sizes, side = ids[order], sizes[order], None if side is None else side[order]
+        need = np.maximum(1, (percent * sizes + 99) // 100)
+        left = n
+        while True:
+            if side is None:
+                kept = np.bincount(token, minlength=len(names))[token] > 1
+            else:
+                other = np.bincount(2 * token + side[owner], minlength=2 * len(names))
+                kept = other[2 * token + 1 - side[owner]] > 0
+            stays = np.bincount(owner[kept], minlength=n) >= need
+            kept &= stays[owner]
+            token, owner = token[kept], owner[kept]
+            before, left = left, np.count_nonzero(stays)
+            if 50 * (before - left) <= before:
+                break
+        place = np.cumsum(stays) - 1
+        self.ids, self.sizes, self.side = ids[stays], sizes[stays], None if side is None else side[stays]
+        self.limits = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)[stays])))
+        # Tokens by how many sets have them, then sorted within their set.
+        times = np.bincount(token, minlength=len(names))
+        rank = np.argsort(np.argsort(times, kind="stable"))
+        pairs = np.sort(place[owner].astype(np.int64) << 32 | rank[token])
+        self.tokens = pairs & 0xFFFFFFFF
+        self.names = names[np.argsort(times, kind="stable")]
+        # A smaller set shares 2 t / (1 + t) of itself with a larger one that is similar.
+        shared = np.diff(self.limits)
+        probe = shared - need[stays] + 1
+        smaller = np.maximum(0, shared - (2 * percent * self.sizes + 99 + percent) // (100 + percent) + 1)
+        posted = self.tokens[ranges(self.limits[:-1], smaller)] << 32 | np.repeat(np.arange(left), smaller)
+        posted.sort()
+        self._posted = posted & 0xFFFFFFFF
+        asked = self.tokens[ranges(self.limits[:-1], probe)] << 32
+        by = np.repeat(np.arange(left), probe)
+        self.first = np.searchsorted(100 * self.sizes, percent * self.sizes)  # of like size
+        self._from = np.searchsorted(posted, asked | self.first[by])
+        self._length = np.searchsorted(posted, asked | by) - self._from
+        self._asked = np.concatenate(([0], np.cumsum(probe)))
+        self.met = np.bincount(by, self._length, left).astype(np.int64)  # with repeats, of smaller sets
+
+    def sharing(self, i: int, most: int | None = None) -> np.ndarray:
+        """Smaller sets that share one of the rarest hashes with set i, as every
+        similar one does; ``most``: of about so many hits."""
+        a, b = self._asked[i], self._asked[i + 1]
+        start, length = self._from[a:b], self._length[a:b]
+        if most is not None:
+            length = np.minimum(length, np.maximum(0, most - np.cumsum(length) + length))
+        return np.unique(self._posted[ranges(start, length)])
+
+    def overlaps(self, i: int, others: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Hashes that set i shares with each of ``others``; ``mark``: all False."""
+        own = self.tokens[self.limits[i] : self.limits[i + 1]]
+        length = self.limits[others + 1] - self.limits[others]
+        mark[own] = True
+        found = mark[self.tokens[ranges(self.limits[others], length)]]
+        mark[own] = False
+        return np.add.reduceat(found, np.cumsum(length) - length, dtype=np.int64)
 
 
 def spanning_links(ids: np.ndarray, run: np.ndarray, hashes: np.ndarray, limits: np.ndarray, percent: int) -> list[tuple]:
     """Verified links (id, id, overlap, union) that connect all that is similar.
-    ``run``: rows of the same run are compared only if there is one run."""
-    sizes = np.diff(limits)
+    ``run``: rows of the same run are compared only if there is one run.
+
+    A set is looked up in the tree among the smaller ones that share one of its
+    rarest hashes, and only if there are any.
+    """
     if len(ids) < 2:
         return []
-    order = np.lexsort((ids, sizes))
-    points = group_points(hashes, limits)
-    tree = CountTree(points[order], sizes[order])
-    label = np.arange(len(ids))  # by place in the tree
-    across = run.min() != run.max()
-    sides = run[order]
+    side = (run != run.min()).astype(np.int64) if run.min() != run.max() else None
+    sets = _Sets(ids, side, hashes, limits, percent)
+    busy = np.flatnonzero(sets.met)
+    if not len(busy):
+        return []
+    sizes, names = sets.sizes, sets.ids.tolist()
+    points = group_points(sets.names[sets.tokens], sets.limits)
+    tree = CountTree(points, sizes)
+    mark = np.zeros(len(sets.names), bool)
+    label = np.arange(len(sizes))
+    members: dict[int, list[int]] = {}
     out = []
-    for i in range(1, len(ids)):
-        k = order[i]
-        near, bound = tree.search(points[k], int(sizes[k]), percent)
-        open_ = (near < i) & (label[near] != label[i])
-        if across:
-            open_ &= sides[near] != sides[i]
-        near, bound = near[open_], bound[open_]
-        for j in near[np.argsort(-bound, kind="stable")]:
-            if label[j] == label[i]:
-                continue
-            o = order[j]
-            shared = _overlap(hashes[limits[k] : limits[k + 1]], hashes[limits[o] : limits[o + 1]])
-            union = int(sizes[k] + sizes[o]) - shared
-            if 100 * shared >= percent * union:
-                out.append((min(ids[k], ids[o]), max(ids[k], ids[o]), shared, union))
-                low, high = sorted((label[i], label[j]))
-                label[label == high] = low
+
+    def apart(i: int, others: np.ndarray) -> np.ndarray:
+        open_ = label[others] != label[i]
+        if side is not None:
+            open_ &= sets.side[others] != sets.side[i]
+        return others[open_]
+
+    def verify(i: int, others: np.ndarray) -> None:
+        shared = sets.overlaps(i, others, mark)
+        union = sizes[i] + sizes[others] - shared
+        hit = 100 * shared >= percent * union
+        for j, o, u in zip(others[hit].tolist(), shared[hit].tolist(), union[hit].tolist(), strict=True):
+            x, y = int(label[i]), int(label[j])
+            if x != y:
+                out.append((min(names[i], names[j]), max(names[i], names[j]), o, u))
+                x, y = sorted((x, y), key=lambda k: len(members.get(k, (k,))))
+                gone = members.pop(x, [x])
+                label[gone] = y
+                members.setdefault(y, [y]).extend(gone)
+
+    for i in busy.tolist():
+        window = i - sets.first[i]
+        if sets.met[i] > _FEW:
+            # In a large group the first ones mostly link it with almost all others.
+            some = apart(i, sets.sharing(i, _FEW))
+            if len(some):
+                verify(i, some)
+        if sets.met[i] > 4 * window:
+            others = np.arange(sets.first[i], i)
+        else:
+            others = sets.sharing(i)
+        others = apart(i, others)
+        if not len(others):
+            continue
+        near, bound = tree.search(points[i], int(sizes[i]), percent, others)
+        near = near[np.argsort(-bound, kind="stable")]
+        step = _FEW
+        while len(near := apart(i, near)):
+            verify(i, near[:step])
+            near, step = near[step:], min(4 * step, 1 << 12)
     return out
 
 
