@@ -80,7 +80,10 @@ def shingles(data: np.ndarray, limits: np.ndarray, size: int) -> tuple[np.ndarra
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
     # Bytes count by the power of their place in the data; the inverse power of a
     # word's first place makes that the place in the word.
-    words = np.add.reduceat(_CODE[data] * _powers(_BASE, len(data)), starts)
+    codes = _CODE[data]
+    codes *= _powers(_BASE, len(data))
+    words = np.add.reduceat(codes, starts)
+    del codes
     words = mix(words * _powers(_INVERSE, len(data))[starts])
     begin = np.searchsorted(starts, limits)
     counts = np.diff(begin)
@@ -322,13 +325,13 @@ class CountTree:
         for depth in range(len(held) - 1, -1, -1):
             at = held[depth][inside]
             corner, low, high = (x[at] for x in self.levels[depth])
-            bound = np.minimum(corner, point).sum(axis=1, dtype=np.int32)
+            bound = np.minimum(corner, point).sum(axis=1, dtype=np.int64)
             # overlap >= t / (1 + t) (size + other) and both sizes within a factor t
             fits = (bound * (100 + percent) >= percent * (size + low)) & (100 * high >= percent * size) & (percent * low <= 100 * size)
             if depth:
                 inside[inside] = fits
                 inside = inside[ups[depth - 1]]
-        return at[fits], bound[fits].astype(np.int64)
+        return at[fits], bound[fits]
 
 
 def group_points(hashes: np.ndarray, limits: np.ndarray) -> np.ndarray:
